@@ -1,4 +1,11 @@
-from .charts import box_stats, distribution_by, histogram, scatter_sample, yearly_average
+from .charts import (
+    QUARTILES,
+    box_stats,
+    distribution_by,
+    histogram,
+    scatter_sample,
+    yearly_average,
+)
 from .clean import drop_columns, drop_sparse_columns, normalize_category, standardize_columns
 from .correlate import (
     collinear_with,

@@ -120,13 +120,16 @@ def _wide_correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def correlation_matrix(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Long form (a, b, r) of the full symmetric matrix, in one pass over the data.
+def correlation_matrix(
+    df: DataFrame, cols: Iterable[str], compiled_width: int = COMPILED_WIDTH
+) -> DataFrame:
+    """Long form (a, b, r) of the full symmetric matrix.
 
+    One pass over the data; tables wider than ``compiled_width`` take a second one for the means.
     A column without spread has no correlation: null, also with itself.
     """
     cols = list(cols)
-    if len(cols) > COMPILED_WIDTH:
+    if len(cols) > compiled_width:
         return _wide_correlation(df, cols)
     cells = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _r_of(i, j).alias("r"))

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import rows_to_frame
+from ..sources import kept, rows_to_frame
 from ..spec import FeatureSpec
 from .features import FEATURES, feature_pipeline, feature_slots, prepared
 from .models import (
@@ -72,21 +70,6 @@ def combinations_of(values: Mapping[str, Sequence[float]]) -> list[dict[str, flo
     return [dict(zip(values, point)) for point in product(*values.values())]
 
 
-@contextmanager
-def _kept(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep rows that several passes read, in memory and else on executor disks.
-
-    A lost executor costs the recomputation of its partitions, not the run.
-    """
-    stored = df.storageLevel.useMemory or df.storageLevel.useDisk
-    kept = df if stored else df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield kept
-    finally:
-        if not stored:
-            kept.unpersist()
-
-
 def _best(points: Sequence[CvPoint]) -> CvPoint:
     sign = 1.0 if _HIGHER_IS_BETTER[points[0].metric] else -1.0
     return max(points, key=lambda p: sign * p.mean)
@@ -126,8 +109,8 @@ def ridge_cv(
         raise ValueError("a linear model has no use for missing numbers: 'error' or 'skip'")
     grid = tuple(grid)
     columns = df.select(*spec.columns, fold)
-    with _kept(columns) as kept:
-        rows = prepared(kept, spec, invalid)
+    with kept(columns) as stored:
+        rows = prepared(stored, spec, invalid)
         features = feature_pipeline(spec, invalid).fit(rows)
         slots = feature_slots(features.transform(rows), spec)
         if len(slots) > MAX_SLOTS:
@@ -152,7 +135,7 @@ def ridge_cv(
             for i, penalty in enumerate(grid)
         )
         best = _best([p for p in points if p.metric == metrics[0]]).params
-        fitted = fit_linear(kept, spec, best["regParam"], invalid) if refit else None
+        fitted = fit_linear(stored, spec, best["regParam"], invalid) if refit else None
     return CvResult(model, points, best, fitted)
 
 
@@ -180,7 +163,7 @@ def _spark_cv(
         foldCol=fold,
         parallelism=parallelism,
     )
-    with _kept(with_features.select(FEATURES, spec.target, fold)) as vectors:
+    with kept(with_features.select(FEATURES, spec.target, fold)) as vectors:
         cv = validator.fit(vectors)
     points = tuple(
         CvPoint(params, metric, float(mean), float(std))

@@ -1,8 +1,9 @@
-from .scratch import checkpointed, scratch_dir
+from .scratch import checkpointed, kept, scratch_dir
 from .tables import read_table, rows_to_frame, schema_report, write_table
 
 __all__ = [
     "checkpointed",
+    "kept",
     "read_table",
     "rows_to_frame",
     "schema_report",

@@ -1,10 +1,16 @@
-"""Shared scratch storage, named by the cluster in ``spark.checkpoint.dir``."""
+"""Rows that are kept for a while: cached, or in the shared scratch folder of the cluster.
+
+The cluster names that folder in ``spark.checkpoint.dir``.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +40,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(_checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep rows that several passes read, in memory and else on executor disks.
+
+    A lost executor costs the recomputation of its partitions, not the run. Rows that the caller
+    has cached already stay as they are.
+    """
+    cached = df.storageLevel.useMemory or df.storageLevel.useDisk
+    stored = df if cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield stored
+    finally:
+        if not cached:
+            stored.unpersist()
