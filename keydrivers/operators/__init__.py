@@ -8,6 +8,7 @@ from .charts import (
 )
 from .clean import drop_columns, drop_sparse_columns, normalize_category, standardize_columns
 from .correlate import (
+    COMPILED_WIDTH,
     collinear_with,
     correlation_matrix,
     correlation_wide,
@@ -32,7 +33,7 @@ from .features import (
     one_hot,
     prepared,
 )
-from .metrics import leaderboard, regression_metrics
+from .metrics import leaderboard, regression_metrics, stacked
 from .models import (
     FittedRegression,
     fit_forest,
@@ -47,6 +48,7 @@ from .profile import category_cardinality, category_values, null_profile
 from .quantiles import quantiles_by
 from .split import assign_folds, mark_split, random_split, split
 from .tuning import (
+    FOLDS,
     FOREST_GRID,
     RIDGE_GRID,
     CvResult,

@@ -44,8 +44,13 @@ def regression_metrics(
     )
 
 
+def stacked(tables: Iterable[DataFrame]) -> DataFrame:
+    """Small result tables with the same columns as one table."""
+    return reduce(DataFrame.unionByName, tables)
+
+
 def leaderboard(results: Iterable[DataFrame]) -> DataFrame:
     """One table (model, split, n, rmse, mae, r2) of several metric tables, best first."""
     columns = ["model", "split", "n", "rmse", "mae", "r2"]
-    stacked = reduce(DataFrame.unionByName, [r.select(*columns) for r in results])
-    return stacked.orderBy("split", F.desc_nulls_last("r2"), "model")
+    rows = stacked(r.select(*columns) for r in results)
+    return rows.orderBy("split", F.desc_nulls_last("r2"), "model")

@@ -38,7 +38,7 @@ def query(run: Query) -> Query:
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Doubles that differ in the last bits between engines become equal.
 
-    The order of summation changes from run to run, so digits are chosen to leave at least four
+    The order of summation changes from run to run, so digits are chosen to leave at least three
     orders of magnitude between the rounding step and the largest difference seen.
     """
     return df.withColumns({c: F.round(F.col(c), d) + F.lit(0.0) for c, d in digits.items()})
