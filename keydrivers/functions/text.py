@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The cleaning patterns of a category text.
+# Fixed value: what separates the words of a category text.
 NOT_ALPHANUMERIC_RUN = "[^a-zA-Z0-9]+"
-OUTER_DASHES = "^-+|-+$"
 
 # How an encoded category is named, as in fuel_type_vec_X.
 VECTOR_SUFFIX = "_vec"
@@ -18,11 +17,12 @@ def normalized(text: Column | str) -> Column:
     """Lower case, every run of other characters as one dash, no dash at either end.
 
     Null stays null; a text without any ASCII letter or digit becomes the empty string.
-    A run is already replaced by one dash, so no further merging of dashes is needed.
+    A run is already replaced by one dash, so no further merging of dashes is needed, and outer
+    dashes are trimmed without a second regular expression.
     """
     text = F.col(text) if isinstance(text, str) else text
     dashed = F.regexp_replace(F.lower(F.trim(text)), NOT_ALPHANUMERIC_RUN, "-")
-    return F.regexp_replace(dashed, OUTER_DASHES, "")
+    return F.btrim(dashed, F.lit("-"))
 
 
 def field_of(slot: Column | str) -> Column:

@@ -8,7 +8,6 @@ from .charts import (
 )
 from .clean import drop_columns, drop_sparse_columns, normalize_category, standardize_columns
 from .correlate import (
-    COMPILED_WIDTH,
     collinear_with,
     correlation_matrix,
     correlation_wide,
@@ -36,8 +35,10 @@ from .features import (
 from .metrics import leaderboard, regression_metrics, stacked
 from .models import (
     FittedRegression,
+    LinearFit,
     fit_forest,
     fit_linear,
+    fit_linear_pipeline,
     forest_regressor,
     linear_regressor,
     model_pipeline,

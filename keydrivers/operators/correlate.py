@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import combinations
+from collections.abc import Iterable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import FeatureSpec
+from .products import COMPILED_WIDTH, column_stats, product_sums
 
-# Up to here the aggregate of all pairs is one compiled stage. For wider tables each task
-# multiplies blocks of rows as matrices instead.
-COMPILED_WIDTH = 24
+# Up to here the pairs are correlated directly, in one pass.
+DIRECT_PAIRS = 6
+# A spread below this share of the distance from the column mean is rounding noise.
+NOISE = 1e-12
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -38,105 +37,51 @@ def _doubles(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     )
 
 
-def _pair_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row with r of every pair of columns as r_i_j, i < j."""
-    pairs = list(combinations(range(len(cols)), 2))
-    return _doubles(df, cols).agg(
-        *[correlation(F.col(cols[i]), F.col(cols[j])).alias(f"r_{i}_{j}") for i, j in pairs],
-        *[F.min(c).alias(f"lo_{i}") for i, c in enumerate(cols)],
-        *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(cols)],
+def _direct(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, r) of a few pairs."""
+    row = df.agg(
+        *[correlation(F.col(a), F.col(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]
     )
+    cells = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r"))
+        for k, (a, b) in enumerate(pairs)
+    ]
+    return row.select(F.inline(F.array(*cells)))
 
 
-def _r_of(i: int, j: int) -> Column:
-    if i == j:
-        return F.when(F.col(f"lo_{i}") < F.col(f"hi_{i}"), F.lit(1.0))
-    return F.col(f"r_{min(i, j)}_{max(i, j)}")
-
-
-def _matrix_sums(cols: Sequence[str], centres: Sequence[float]):
-    """For mapInArrow: the pairwise sums of one task's rows, as one long table."""
-    p = len(cols)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, sx, sxx, sxy = (np.zeros((p, p)) for _ in range(4))
-        for batch in batches:
-            raw = np.column_stack(
-                [c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns]
-            )
-            there = (~np.isnan(raw)).astype("float64")
-            x = np.where(there > 0, raw - centres, 0.0)
-            n += there.T @ there
-            sx += x.T @ there
-            sxx += (x * x).T @ there
-            sxy += x.T @ x
-        i, j = np.triu_indices(p)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "i": i.astype("int32"),
-                "j": j.astype("int32"),
-                "n": n[i, j],
-                "sx": sx[i, j],
-                "sy": sx.T[i, j],
-                "sxx": sxx[i, j],
-                "syy": sxx.T[i, j],
-                "sxy": sxy[i, j],
-            }
-        )
-
-    return run
-
-
-def _wide_correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """All pairs of many columns: matrix products in the tasks, sums by pair across tasks."""
-    doubles = _doubles(df, cols)
-    means = doubles.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    centres = [means[c] if means[c] is not None else 0.0 for c in cols]
-    sums = doubles.mapInArrow(
-        _matrix_sums(cols, centres),
-        "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
-    )
-    total = sums.groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-    )
+def _from_products(df: DataFrame, cols: Sequence[str], compiled_width: int) -> DataFrame:
+    """(a, b, r) of all pairs of columns in their order, a column with itself included."""
+    stats = column_stats(df, cols)
+    sums = product_sums(df, cols, stats, compiled_width=compiled_width)
     cxy = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
     cxx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
     cyy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
-    # Centring leaves rounding noise in the spread of a constant column.
-    flat = (cxx <= F.col("sxx") * 1e-14) | (cyy <= F.col("syy") * 1e-14)
-    r = F.when(~flat, F.when(F.col("i") == F.col("j"), 1.0).otherwise(cxy / F.sqrt(cxx * cyy)))
-    upper = total.select("i", "j", r.alias("r"))
-    names = F.array(*[F.lit(c) for c in cols])
-    both_ways = F.when(
-        F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")))
-    ).otherwise(
-        F.array(
-            F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
-            F.struct(F.col("j").alias("a"), F.col("i").alias("b")),
-        )
-    )
-    return upper.select("r", F.explode(both_ways).alias("p")).select(
-        names[F.col("p.a")].alias("a"), names[F.col("p.b")].alias("b"), "r"
+    flat = F.array(*[F.lit(c in stats.flat) for c in cols])
+    i, j = F.col("i"), F.col("j")
+    spread = (
+        ~flat[i] & ~flat[j] & (cxx > F.col("sxx") * NOISE) & (cyy > F.col("syy") * NOISE)
     )
+    r = F.when(spread, F.when(i == j, F.lit(1.0)).otherwise(cxy / F.sqrt(cxx * cyy)))
+    names = F.array(*[F.lit(c) for c in cols])
+    return sums.select(names[i].alias("a"), names[j].alias("b"), r.alias("r"))
 
 
 def correlation_matrix(
     df: DataFrame, cols: Iterable[str], compiled_width: int = COMPILED_WIDTH
 ) -> DataFrame:
-    """Long form (a, b, r) of the full symmetric matrix.
+    """Long form (a, b, r) of the full symmetric matrix, in two passes over the data.
 
-    One pass over the data; tables wider than ``compiled_width`` take a second one for the means.
-    A column without spread has no correlation: null, also with itself.
+    The first pass gives means and null counts; the second sums products around the means. A
+    column without spread has no correlation: null, also with itself.
     """
     cols = list(cols)
-    if len(cols) > compiled_width:
-        return _wide_correlation(df, cols)
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _r_of(i, j).alias("r"))
-        for i, a in enumerate(cols)
-        for j, b in enumerate(cols)
-    ]
-    return _pair_row(df, cols).select(F.inline(F.array(*cells)))
+    upper = _from_products(_doubles(df, cols), cols, compiled_width)
+    one_way = F.struct(F.col("a"), F.col("b"))
+    other_way = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(one_way)).otherwise(
+        F.array(one_way, other_way)
+    )
+    return upper.select("r", F.explode(ways).alias("p")).select("p.a", "p.b", "r")
 
 
 def correlation_wide(df: DataFrame, cols: Iterable[str]) -> DataFrame:
@@ -153,16 +98,16 @@ def correlation_wide(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 def correlations_with(df: DataFrame, column: str, others: Iterable[str]) -> DataFrame:
     """(feature, r, abs_r) of one column with each of the others, strongest first."""
     others = list(others)
-    row = _doubles(df, [column, *others]).agg(
-        *[correlation(F.col(c), F.col(column)).alias(f"r{i}") for i, c in enumerate(others)]
-    )
-    cells = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r"))
-        for i, c in enumerate(others)
-    ]
+    doubles = _doubles(df, [*others, column])
+    if len(others) <= DIRECT_PAIRS:
+        pairs = _direct(doubles, [(c, column) for c in others])
+    else:
+        # The column stands last, so it is the second of each of its pairs.
+        pairs = _from_products(doubles, [*others, column], COMPILED_WIDTH).where(
+            (F.col("b") == column) & (F.col("a") != column)
+        )
     return (
-        row.select(F.inline(F.array(*cells)))
-        .withColumn("abs_r", F.abs("r"))
+        pairs.select(F.col("a").alias("feature"), "r", F.abs("r").alias("abs_r"))
         .orderBy(F.desc_nulls_last("abs_r"), "feature")
     )
 

@@ -6,39 +6,46 @@ import numpy as np
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources import rows_to_frame
+from ..sources import result_schema, rows_to_frame
 from .features import FEATURES, prepared
 from .metrics import regression_metrics
-from .models import FULL_FEATURES, PREDICTION, FittedRegression, score
+from .models import FULL_FEATURES, PREDICTION, FittedRegression, LinearFit, score
 
 INTERCEPT = "(intercept)"
 
-_COEFFICIENTS = (
-    "feature string, field string, category string, "
-    "coefficient double, abs_coefficient double, std_coefficient double"
+_TEXT, _NUMBER, _WHOLE = T.StringType(), T.DoubleType(), T.IntegerType()
+_COEFFICIENTS = result_schema(
+    feature=_TEXT,
+    field=_TEXT,
+    category=_TEXT,
+    coefficient=_NUMBER,
+    abs_coefficient=_NUMBER,
+    std_coefficient=_NUMBER,
 )
-_IMPORTANCES = "feature string, field string, importance double, rank int"
-_SLOTS = "idx int, slot string, field string, category string"
+_IMPORTANCES = result_schema(feature=_TEXT, field=_TEXT, importance=_NUMBER, rank=_WHOLE)
+_SLOTS = result_schema(idx=_WHOLE, slot=_TEXT, field=_TEXT, category=_TEXT)
 
 
-def slot_table(spark: SparkSession, model: FittedRegression) -> DataFrame:
+def slot_table(spark: SparkSession, model: LinearFit | FittedRegression) -> DataFrame:
     """(idx, slot, field, category): what each position of the feature vector stands for."""
     rows = [(s.idx, s.name, s.field, s.category) for s in model.slots]
     return rows_to_frame(spark, rows, _SLOTS)
 
 
-def effects(model: FittedRegression) -> tuple[float, np.ndarray]:
+def effects(model: LinearFit | FittedRegression) -> tuple[float, np.ndarray]:
     """Intercept and one coefficient for each slot.
 
     Where reference levels were left out of the fit, the levels of such a field are given as
     differences from the mean over its levels, so that no level is special.
     """
+    if isinstance(model, LinearFit):
+        return model.intercept, model.coefficients
     full = np.zeros(len(model.slots))
     full[list(model.used)] = model.regressor.coefficients.toArray()
     intercept = float(model.regressor.intercept)
-    reduced = {s.field for s in model.slots if s.idx not in set(model.used)}
-    for field in sorted(reduced):
+    for field in {s.field for s in model.slots if s.idx not in set(model.used)}:
         levels = [s.idx for s in model.slots if s.field == field]
         centre = float(full[levels].mean())
         full[levels] -= centre
@@ -46,38 +53,40 @@ def effects(model: FittedRegression) -> tuple[float, np.ndarray]:
     return intercept, full
 
 
-def _spreads(model: FittedRegression, train: DataFrame) -> tuple[np.ndarray, float]:
+def _spreads(model: FittedRegression, train: DataFrame) -> np.ndarray:
     """Standard deviation of each slot and of the target: one pass, one row to the driver."""
-    target = model.spec.target
-    stages = model.pipeline.stages[:-1]
     rows = prepared(train, model.spec, model.invalid)
-    for stage in stages:
+    for stage in model.pipeline.stages[:-1]:
         rows = stage.transform(rows)
     vector = FULL_FEATURES if FULL_FEATURES in rows.columns else FEATURES
     row = rows.select(
         Summarizer.metrics("variance").summary(F.col(vector)).alias("slots"),
-        F.stddev_samp(F.col(target).cast("double")).alias("target"),
+        F.var_samp(F.col(model.spec.target).cast("double")).alias("target"),
     ).first()
-    return np.sqrt(row["slots"]["variance"].toArray()), float(row["target"] or 0.0)
+    return np.sqrt(np.append(row["slots"]["variance"].toArray(), row["target"] or 0.0))
 
 
 def coefficient_table(
     spark: SparkSession,
-    model: FittedRegression,
+    model: LinearFit | FittedRegression,
     train: DataFrame | None = None,
     intercept: bool = False,
 ) -> DataFrame:
     """Named coefficients of a linear model, strongest first.
 
-    With the training rows given, ``std_coefficient`` compares predictors of different units: it
-    is the coefficient times the spread of the slot over the spread of the target.
+    ``std_coefficient`` compares predictors of different units: it is the coefficient times the
+    spread of the slot over the spread of the target. A pipeline does not know these spreads; it
+    needs the training rows.
     """
     constant, beta = effects(model)
-    spread, target_spread = (None, 0.0) if train is None else _spreads(model, train)
+    if isinstance(model, LinearFit):
+        spread = model.spread
+    else:
+        spread = np.zeros(len(beta) + 1) if train is None else _spreads(model, train)
     rows = []
     for s in model.slots:
         b = float(beta[s.idx])
-        std = b * float(spread[s.idx]) / target_spread if target_spread else None
+        std = b * float(spread[s.idx] / spread[-1]) if spread[-1] > 0 else None
         rows.append((s.name, s.field, s.category, b, abs(b), std))
     if intercept:
         rows.append((INTERCEPT, INTERCEPT, None, constant, abs(constant), None))
@@ -126,7 +135,9 @@ def residual_table(scored: DataFrame, label: str, keys: tuple[str, ...] = ()) ->
     )
 
 
-def model_metrics(model: FittedRegression, rows: DataFrame, name: str, split: str) -> DataFrame:
+def model_metrics(
+    model: LinearFit | FittedRegression, rows: DataFrame, name: str, split: str
+) -> DataFrame:
     """(model, split, n, rmse, mae, r2) of one model on one set of rows."""
     return regression_metrics(score(model, rows), model.spec.target).select(
         F.lit(name).alias("model"), F.lit(split).alias("split"), "n", "rmse", "mae", "r2"
@@ -134,7 +145,10 @@ def model_metrics(model: FittedRegression, rows: DataFrame, name: str, split: st
 
 
 def overfit_report(
-    model: FittedRegression, marked: DataFrame, name: str = "model", split: str = "split"
+    model: LinearFit | FittedRegression,
+    marked: DataFrame,
+    name: str = "model",
+    split: str = "split",
 ) -> DataFrame:
     """Training against test metrics, from one pass over rows marked 'train' / 'test'."""
     return regression_metrics(score(model, marked), model.spec.target, by=split).select(

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources import result_schema, rows_to_frame
 from ..spec import FeatureSpec
 from .features import (
     FEATURES,
@@ -21,6 +24,7 @@ from .features import (
     prepared,
     require_values,
 )
+from .moments import MAX_SLOTS, Moments, design_moments, ridge_path
 
 PREDICTION = "prediction"
 FULL_FEATURES = "all_features"
@@ -28,9 +32,27 @@ FULL_FEATURES = "all_features"
 FOREST_SEED = 42
 
 
+@dataclass(frozen=True)
+class LinearFit:
+    """A linear or ridge model as numbers: one coefficient for each slot.
+
+    Without a penalty, the levels of a category that every row has are given as differences from
+    the mean over the levels, as their common level cannot be told from the intercept.
+    """
+
+    spec: FeatureSpec
+    slots: tuple[Slot, ...]
+    reg_param: float
+    intercept: float
+    coefficients: np.ndarray
+    # Standard deviation of each slot and, last, of the target in the training rows.
+    spread: np.ndarray
+    invalid: str = "error"
+
+
 @dataclass(frozen=True)
 class FittedRegression:
-    """A fitted pipeline with the names that belong to it."""
+    """A fitted Spark pipeline with the names that belong to it."""
 
     spec: FeatureSpec
     pipeline: PipelineModel
@@ -78,6 +100,49 @@ def forest_regressor(
     )
 
 
+def linear_from_moments(
+    train: Moments,
+    spec: FeatureSpec,
+    slots: tuple[Slot, ...],
+    reg_param: float,
+    invalid: str = "error",
+) -> LinearFit:
+    """The linear or ridge model of the rows behind the moments; no row is read."""
+    ((intercept, beta),) = ridge_path(train, (reg_param,))
+    if reg_param == 0.0:
+        for field in spec.categorical:
+            levels = [s.idx for s in slots if s.field == field]
+            # Rows without a level hold the intercept apart from the levels.
+            if levels and abs(train.mean[levels].sum() - 1.0) < 0.5 / train.n:
+                centre = float(beta[levels].mean())
+                beta[levels] -= centre
+                intercept += centre
+    spread = np.sqrt(np.clip(np.diag(train.scatter), 0.0, None) / max(train.n - 1.0, 1.0))
+    return LinearFit(spec, slots, reg_param, intercept, beta, spread, invalid)
+
+
+def fit_linear(
+    df: DataFrame, spec: FeatureSpec, reg_param: float = 0.0, invalid: str = "error"
+) -> LinearFit | FittedRegression:
+    """Fit least squares (``reg_param`` 0) or ridge on the predictors of ``spec``.
+
+    The model equals that of Spark's ``LinearRegression``, its penalty on standardised predictors
+    and target included. It is solved from moments that two or three aggregates over the rows
+    give, without building vectors. Designs with more than ``MAX_SLOTS`` slots go through
+    ``fit_linear_pipeline``.
+    """
+    moments = design_moments(df, spec, invalid=_no_gaps(invalid))
+    if moments is None:
+        return fit_linear_pipeline(df, spec, reg_param, invalid)
+    return linear_from_moments(moments.total(), spec, moments.slots, reg_param, invalid)
+
+
+def _no_gaps(invalid: str) -> str:
+    if invalid == "keep":
+        raise ValueError("a linear model has no use for missing numbers: 'error' or 'skip'")
+    return invalid
+
+
 def _reference_slots(df: DataFrame, spec: FeatureSpec, slots: list[Slot]) -> set[int]:
     """The first slot of every field without missing values.
 
@@ -94,16 +159,15 @@ def _reference_slots(df: DataFrame, spec: FeatureSpec, slots: list[Slot]) -> set
     return set(first.values())
 
 
-def fit_linear(
+def fit_linear_pipeline(
     df: DataFrame, spec: FeatureSpec, reg_param: float = 0.0, invalid: str = "error"
 ) -> FittedRegression:
-    """Fit least squares (``reg_param`` 0) or ridge on the predictors of ``spec``.
+    """The same fit as a Spark ML pipeline, which can be saved and served as such.
 
-    The penalty has Spark's scale: it acts on standardised predictors and target. The fit is one
-    pass over the data for the second moments. Without a penalty the most frequent level of each
-    category is the reference level; predictions equal those of the design with all levels.
+    Without a penalty the most frequent level of each category is the reference level;
+    predictions equal those of the design with all levels.
     """
-    rows = prepared(df, spec, invalid)
+    rows = prepared(df, spec, _no_gaps(invalid))
     features = feature_pipeline(spec, invalid).fit(rows)
     with_features = features.transform(rows)
     slots = feature_slots(with_features, spec)
@@ -150,12 +214,37 @@ def fit_forest(
     )
 
 
-def score(model: FittedRegression, df: DataFrame) -> DataFrame:
-    """The rows as they are, with a ``prediction`` column; a projection, no shuffle."""
+def score(model: LinearFit | FittedRegression, df: DataFrame) -> DataFrame:
+    """The rows as they are, with a ``prediction`` column; no shuffle, and no target needed."""
     spec = model.spec
     missing = [c for c in spec.predictors if c not in df.columns]
     if missing:
         raise ValueError(f"columns not in the table: {missing}")
     rows = named_categories(df.withColumn("__row", F.struct(*df.columns)), spec.categorical)
-    scored = model.pipeline.transform(require_values(rows, spec.numeric, model.invalid))
-    return scored.select("__row.*", PREDICTION)
+    rows = require_values(rows, spec.numeric, model.invalid)
+    if isinstance(model, LinearFit):
+        return _score_linear(model, rows)
+    return model.pipeline.transform(rows).select("__row.*", PREDICTION)
+
+
+def _score_linear(model: LinearFit, rows: DataFrame) -> DataFrame:
+    """Coefficients times numbers, plus the effect of each level from a small lookup table.
+
+    The lookup tables have one row for each slot, at most ``MAX_SLOTS``, so they are broadcast.
+    A missing or unseen category adds nothing.
+    """
+    prediction = F.lit(float(model.intercept))
+    for i, field in enumerate(model.spec.categorical):
+        levels = [s for s in model.slots if s.field == field]
+        assert len(levels) <= MAX_SLOTS
+        effects = rows_to_frame(
+            rows.sparkSession,
+            [(s.category, float(model.coefficients[s.idx])) for s in levels],
+            result_schema(**{f"__level{i}": T.StringType(), f"__effect{i}": T.DoubleType()}),
+        )
+        rows = rows.join(F.broadcast(effects), F.col(field) == F.col(f"__level{i}"), "left")
+        prediction = prediction + F.coalesce(F.col(f"__effect{i}"), F.lit(0.0))
+    for s in model.slots:
+        if s.category is None:
+            prediction = prediction + F.col(s.name) * F.lit(float(model.coefficients[s.idx]))
+    return rows.select("__row.*", prediction.alias(PREDICTION))

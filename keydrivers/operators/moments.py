@@ -1,20 +1,32 @@
-"""Second moments of a feature design by fold, from two aggregates over the data."""
+"""Second moments of a feature design by fold, from a few aggregates over the data."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations
+from math import prod
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions.text import VECTOR_INFIX
+from ..sources import checkpointed
 from ..spec import FeatureSpec
-from .features import Slot
+from .features import Slot, prepared
+from .products import (
+    COMPILED_WIDTH,
+    column_stats,
+    compiled_sums,
+    listed_pairs,
+    product_sums,
+)
 
 # Up to here the p x p matrices are small enough for one machine (32 MB for one fold).
 MAX_SLOTS = 2000
+# Combinations of all levels and folds that rows are summed up to; a task has more rows than this.
+MAX_CELLS = 100_000
 
 
 @dataclass(frozen=True)
@@ -37,108 +49,170 @@ class Moments:
         )
 
 
-def measure_moments(df: DataFrame, spec: FeatureSpec, fold: str) -> DataFrame:
-    """One row for each fold: n, mean and covariance of all measures. No row is expanded."""
-    cols = [F.col(c).cast("double") for c in spec.measures]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    return df.groupBy(F.col(fold).alias("fold")).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.avg(c) for c in cols]).alias("means"),
-        F.array(*[F.covar_pop(cols[i], cols[j]) for i, j in pairs]).alias("covariances"),
-    )
+@dataclass(frozen=True)
+class DesignMoments:
+    """The slots of a feature design and its moments in each fold."""
+
+    slots: tuple[Slot, ...]
+    by_fold: Mapping[int, Moments]
+
+    def total(self, without: int | None = None) -> Moments:
+        """Moments of all rows, or of all rows outside one fold."""
+        width = len(self.slots) + 1
+        nothing = Moments(0.0, np.zeros(width), np.zeros((width, width)))
+        return sum((m for f, m in self.by_fold.items() if f != without), nothing)
 
 
-def level_moments(df: DataFrame, spec: FeatureSpec, fold: str) -> DataFrame:
-    """Counts by level and by pair of levels, and the means of all measures by level.
+def _level_sums(rows: DataFrame, spec: FeatureSpec, fold: str) -> DataFrame:
+    """Counts by level and by pair of levels, and the sums of all measures by level.
 
-    One row for each fold and (pair of) levels, whatever the number of data rows, because rows
-    are combined before the shuffle. ``level_2`` is null for single levels.
+    One row for each fold and level (``level_2`` null) or pair of levels. ``rows`` hold a count n
+    and measure sums s<i>: data rows, or cells that were summed up before.
     """
     cats = list(spec.categorical)
-    sets = [[fold, c] for c in cats] + [[fold, a, b] for a, b in combinations(cats, 2)]
-    grouped = df.groupingSets(sets, fold, *cats).agg(
-        *[F.grouping(c).alias(f"__out_{i}") for i, c in enumerate(cats)],
-        F.count("*").alias("n"),
-        F.array(*[F.avg(F.col(c).cast("double")) for c in spec.measures]).alias("means"),
-    )
-    present = F.filter(
-        F.array(
-            *[
-                F.when(
-                    F.col(f"__out_{i}") == 0,
-                    F.struct(F.lit(i).alias("field"), F.col(c).alias("level")),
-                )
-                for i, c in enumerate(cats)
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return (
-        grouped.select(F.col(fold).alias("fold"), "n", "means", present.alias("p"))
+    names = [f"s{i}" for i in range(len(spec.measures))]
+
+    def by_sets(size: int, aggregates: list[Column]) -> DataFrame:
+        sets = [[fold, *some] for some in combinations(cats, size)]
+        grouped = rows.groupingSets(sets, fold, *cats).agg(
+            *[F.grouping(c).alias(f"out{i}") for i, c in enumerate(cats)], *aggregates
+        )
+        levels = F.filter(
+            F.array(
+                *[
+                    F.when(
+                        F.col(f"out{i}") == 0,
+                        F.struct(F.lit(i).alias("field"), F.col(c).alias("level")),
+                    )
+                    for i, c in enumerate(cats)
+                ]
+            ),
+            lambda x: x.isNotNull(),
+        )
         # A missing category has no slot.
-        .where(~F.exists("p", lambda x: x["level"].isNull()))
-        .select(
-            "fold",
-            "n",
-            F.when(F.size("p") == 1, F.col("means")).alias("means"),
-            F.col("p")[0]["field"].alias("field_1"),
-            F.col("p")[0]["level"].alias("level_1"),
-            F.get("p", F.lit(1))["field"].alias("field_2"),
-            F.get("p", F.lit(1))["level"].alias("level_2"),
+        return grouped.withColumn("levels", levels).where(
+            ~F.exists("levels", lambda x: x["level"].isNull())
         )
+
+    one, two = F.col("levels")[0], F.get("levels", F.lit(1))
+    columns = [
+        F.col(fold).alias("fold"),
+        "n",
+        one["field"].alias("field_1"),
+        one["level"].alias("level_1"),
+        two["field"].alias("field_2"),
+        two["level"].alias("level_2"),
+    ]
+    counts = [F.sum("n").alias("n")]
+    singles = by_sets(1, counts + [F.sum(s).alias(s) for s in names]).select(
+        *columns, F.array(*names).alias("sums")
     )
+    if len(cats) == 1:
+        return singles
+    # Pairs need no sums of measures, which makes the wider grouping sets the cheaper ones.
+    return singles.unionByName(by_sets(2, counts).select(*columns), allowMissingColumns=True)
+
 
+def _slots_of(levels: Mapping[tuple[int, str], int], spec: FeatureSpec) -> tuple[Slot, ...]:
+    """Slots as the feature stages lay them out: levels by falling count, ties by name."""
+    names = []
+    for i, field in enumerate(spec.categorical):
+        mine = sorted((-n, level) for (f, level), n in levels.items() if f == i)
+        names += [(field + VECTOR_INFIX + level, field, level) for _, level in mine]
+    names += [(c, c, None) for c in spec.numeric]
+    return tuple(Slot(idx, *name) for idx, name in enumerate(names))
 
-def _rows(df: DataFrame) -> Iterator:
-    return iter(df.collect())
 
+def design_moments(
+    df: DataFrame, spec: FeatureSpec, fold: str | None = None, invalid: str = "error"
+) -> DesignMoments | None:
+    """Moments of the whole feature design (one fold without ``fold``), in two or three passes.
 
-def moments_by_fold(
-    df: DataFrame, spec: FeatureSpec, slots: list[Slot], fold: str
-) -> dict[int, Moments]:
-    """The moments of each fold as matrices in slot order.
+    The first pass gives means and the rough number of levels. Where all combinations of levels
+    are few, the second sums up everything by combination, and the rest works on these sums. Else
+    one pass sums products by fold, and one sums up single levels and pairs of levels.
 
-    What reaches the driver is bounded by folds x slots², see ``MAX_SLOTS``.
+    None if the design has more than ``MAX_SLOTS`` slots. What reaches the driver is bounded by
+    folds x slots².
     """
-    if len(slots) > MAX_SLOTS:
-        raise ValueError(f"{len(slots)} slots; moment matrices are for up to {MAX_SLOTS}")
-    p, m = len(slots), len(spec.measures)
-    dummy = {(s.field, s.category): s.idx for s in slots if s.category is not None}
+    cats, measures = list(spec.categorical), list(spec.measures)
+    key = fold or "__fold"
+    rows = prepared(df if fold else df.withColumn(key, F.lit(0)), spec, invalid).select(
+        key, *cats, *[F.col(c).cast("double").alias(c) for c in measures]
+    )
+    stats = column_stats(rows, measures, [*cats, key])
+    if sum(stats.distinct[c] for c in cats) + len(spec.numeric) > MAX_SLOTS:
+        return None
+    cells = prod(1 + stats.distinct[c] for c in cats) * stats.distinct[key]
+    levels = None
+    if cats and cells <= MAX_CELLS and len(measures) <= COMPILED_WIDTH:
+        combined = checkpointed(
+            rows.groupBy(key, *cats).agg(*compiled_sums(measures, stats.mean))
+        )
+        sums = [c for c in combined.columns if c not in (key, *cats)]
+        by_fold = combined.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums])
+        products = listed_pairs(by_fold, len(measures), [key])
+        levels = _level_sums(combined, spec, key)
+    else:
+        products = product_sums(rows, measures, stats, by=key)
+        if cats:
+            centred = [
+                (F.col(c) - F.lit(stats.mean[c])).alias(f"s{i}") for i, c in enumerate(measures)
+            ]
+            one_each = rows.select(key, *cats, F.lit(1).cast("bigint").alias("n"), *centred)
+            levels = _level_sums(one_each, spec, key)
+
+    level_rows = levels.collect() if levels is not None else []
+    counts: dict[tuple[int, str], int] = {}
+    for r in level_rows:
+        if r["field_2"] is None:
+            level = (r["field_1"], r["level_1"])
+            counts[level] = counts.get(level, 0) + r["n"]
+    slots = _slots_of(counts, spec)
+    p = len(slots)
     # Where each measure stands: its slot, and for the target the place after all slots.
-    numeric = {s.field: s.idx for s in slots if s.category is None}
-    at = np.array([numeric[c] for c in spec.numeric] + [p])
+    place = {s.name: s.idx for s in slots}
+    at = np.array([place[c] for c in spec.numeric] + [p])
 
     found: dict[int, Moments] = {}
-    measure_means: dict[int, np.ndarray] = {}
-    for r in _rows(measure_moments(df, spec, fold)):
-        mean, scatter = np.zeros(p + 1), np.zeros((p + 1, p + 1))
-        mean[at] = r["means"]
-        i, j = np.triu_indices(m)
-        scatter[at[i], at[j]] = scatter[at[j], at[i]] = np.array(r["covariances"]) * r["n"]
-        found[r["fold"]] = Moments(float(r["n"]), mean, scatter)
-        measure_means[r["fold"]] = mean[at]
-    if not spec.categorical:
-        return found
-
-    pairs = []
-    for r in _rows(level_moments(df, spec, fold)):
-        one = dummy[(spec.categorical[r["field_1"]], r["level_1"])]
-        moments = found[r["fold"]]
+    for r in products.collect():
+        m = found.setdefault(r[key], Moments(r["n"], np.zeros(p + 1), np.zeros((p + 1, p + 1))))
+        i, j = at[r["i"]], at[r["j"]]
+        m.mean[i], m.mean[j] = r["sx"] / r["n"], r["sy"] / r["n"]
+        m.scatter[i, j] = m.scatter[j, i] = r["sxy"] - r["sx"] * r["sy"] / r["n"]
+    _add_levels(found, level_rows, spec, slots, at)
+    for m in found.values():
+        m.mean[at] += np.array([stats.mean[c] for c in measures])
+    return DesignMoments(slots, found)
+
+
+def _add_levels(
+    found: Mapping[int, Moments],
+    level_rows: Sequence[Row],
+    spec: FeatureSpec,
+    slots: Sequence[Slot],
+    at: np.ndarray,
+) -> None:
+    """Fill in the dummy slots; the means of the measures still are differences from the centre."""
+    dummy = {
+        (spec.categorical.index(s.field), s.category): s.idx
+        for s in slots
+        if s.category is not None
+    }
+    for r in level_rows:
+        m = found[r["fold"]]
+        one = dummy[(r["field_1"], r["level_1"])]
         if r["field_2"] is not None:
-            pairs.append((r["fold"], one, dummy[(spec.categorical[r["field_2"]], r["level_2"])], r["n"]))
+            two = dummy[(r["field_2"], r["level_2"])]
+            m.scatter[one, two] = m.scatter[two, one] = r["n"]
             continue
-        moments.mean[one] = r["n"] / moments.n
-        moments.scatter[one, one] = r["n"]
-        cross = r["n"] * (np.array(r["means"]) - measure_means[r["fold"]])
-        moments.scatter[one, at] = moments.scatter[at, one] = cross
-    for f, one, two, n in pairs:
-        found[f].scatter[one, two] = found[f].scatter[two, one] = n
-    is_dummy = np.zeros(p + 1, dtype=bool)
-    is_dummy[list(dummy.values())] = True
-    both = np.outer(is_dummy, is_dummy)
-    for moments in found.values():
-        moments.scatter[both] -= (moments.n * np.outer(moments.mean, moments.mean))[both]
-    return found
+        m.mean[one] = r["n"] / m.n
+        m.scatter[one, one] = r["n"]
+        m.scatter[one, at] = m.scatter[at, one] = np.array(r["sums"]) - r["n"] * m.mean[at]
+    places = np.array(sorted(dummy.values()), dtype=int)
+    both = np.ix_(places, places)
+    for m in found.values():
+        m.scatter[both] -= m.n * np.outer(m.mean[places], m.mean[places])
 
 
 def ridge_path(train: Moments, grid: tuple[float, ...]) -> list[tuple[float, np.ndarray]]:

@@ -12,18 +12,21 @@ from pyspark.ml.base import Estimator
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources import kept, rows_to_frame
+from ..sources import kept, result_schema, rows_to_frame
 from ..spec import FeatureSpec
 from .features import FEATURES, feature_pipeline, feature_slots, prepared
 from .models import (
     PREDICTION,
     FittedRegression,
-    fit_linear,
+    LinearFit,
     forest_regressor,
+    linear_from_moments,
     linear_regressor,
 )
-from .moments import MAX_SLOTS, Moments, held_out_metrics, moments_by_fold, ridge_path
+from .moments import design_moments, held_out_metrics, ridge_path
 from .split import FOLD
 
 # The tuning grids.
@@ -31,8 +34,11 @@ RIDGE_GRID = (0.0, 0.01, 0.05, 0.1, 0.3, 0.5, 0.7, 1.0, 1.5)
 FOREST_GRID = {"numTrees": (25, 50), "maxDepth": (9, 12), "minInfoGain": (0.01,)}
 FOLDS = 5
 
-_CV_SCHEMA = "model string, param string, value double, metric string, mean double, std double"
-_BEST_SCHEMA = "model string, param string, value double"
+_TEXT, _NUMBER = T.StringType(), T.DoubleType()
+_CV_SCHEMA = result_schema(
+    model=_TEXT, param=_TEXT, value=_NUMBER, metric=_TEXT, mean=_NUMBER, std=_NUMBER
+)
+_BEST_SCHEMA = result_schema(model=_TEXT, param=_TEXT, value=_NUMBER)
 
 _HIGHER_IS_BETTER = {"r2": True, "rmse": False, "mae": False}
 
@@ -54,7 +60,7 @@ class CvResult:
     model: str
     points: tuple[CvPoint, ...]
     best: Mapping[str, float]
-    fitted: FittedRegression | None
+    fitted: LinearFit | FittedRegression
 
 
 def param_grid(estimator: Estimator, values: Mapping[str, Sequence[float]]) -> list[dict]:
@@ -92,15 +98,14 @@ def ridge_cv(
     metrics: Sequence[str] = ("r2",),
     model: str = "ridge",
     invalid: str = "error",
-    refit: bool = True,
 ) -> CvResult:
     """Cross-validate ridge penalties from the moments of each fold.
 
-    The training moments of a fold are the sum over all other folds. So the number of passes over
-    the data depends neither on the number of penalties nor on the number of folds. The result is
-    that of ``CrossValidator`` with the same fold column, where the feature stages were fitted
-    once on all rows. The first of ``metrics`` ('r2', 'rmse') picks the best penalty. Specs with
-    more than ``MAX_SLOTS`` slots go through ``CrossValidator``.
+    The training moments of a fold are the sum over all other folds, and the best model comes
+    from the sum over all. So two or three passes over the data serve any number of penalties and
+    folds. The result is that of ``CrossValidator`` with the same fold column, where the feature
+    stages were fitted once on all rows. The first of ``metrics`` ('r2', 'rmse') picks the best
+    penalty. Designs with more than ``MAX_SLOTS`` slots go through ``CrossValidator``.
     """
     unknown = set(metrics) - {"r2", "rmse"}
     if unknown:
@@ -108,75 +113,28 @@ def ridge_cv(
     if invalid == "keep":
         raise ValueError("a linear model has no use for missing numbers: 'error' or 'skip'")
     grid = tuple(grid)
-    columns = df.select(*spec.columns, fold)
-    with kept(columns) as stored:
-        rows = prepared(stored, spec, invalid)
-        features = feature_pipeline(spec, invalid).fit(rows)
-        slots = feature_slots(features.transform(rows), spec)
-        if len(slots) > MAX_SLOTS:
-            regressor = linear_regressor(spec)
-            return _spark_cv(
-                rows, spec, features, regressor, {"regParam": grid}, fold, metrics[0], model, 1, invalid
-            )
-        by_fold = moments_by_fold(rows, spec, slots, fold)
-        scores = {name: [[] for _ in grid] for name in ("r2", "rmse")}
-        for held_out, test in sorted(by_fold.items()):
-            train = sum(
-                (m for f, m in by_fold.items() if f != held_out),
-                Moments(0.0, np.zeros_like(test.mean), np.zeros_like(test.scatter)),
-            )
-            for i, (intercept, beta) in enumerate(ridge_path(train, grid)):
-                r2, rmse = held_out_metrics(test, intercept, beta)
-                scores["r2"][i].append(r2)
-                scores["rmse"][i].append(rmse)
-        points = tuple(
-            _summarised({"regParam": penalty}, name, scores[name][i])
-            for name in metrics
-            for i, penalty in enumerate(grid)
+    moments = design_moments(df.select(*spec.columns, fold), spec, fold, invalid)
+    if moments is None:
+        regressor = linear_regressor(spec)
+        return cross_validate(
+            df, spec, regressor, {"regParam": grid}, fold, metrics[0], model, 1, invalid
         )
-        best = _best([p for p in points if p.metric == metrics[0]]).params
-        fitted = fit_linear(stored, spec, best["regParam"], invalid) if refit else None
-    return CvResult(model, points, best, fitted)
-
-
-def _spark_cv(
-    rows: DataFrame,
-    spec: FeatureSpec,
-    features: PipelineModel,
-    regressor: Estimator,
-    grid: Mapping[str, Sequence[float]],
-    fold: str,
-    metric: str,
-    model: str,
-    parallelism: int,
-    invalid: str,
-) -> CvResult:
-    with_features = features.transform(rows)
-    slots = tuple(feature_slots(with_features, spec))
-    validator = CrossValidator(
-        estimator=regressor,
-        estimatorParamMaps=param_grid(regressor, grid),
-        evaluator=RegressionEvaluator(
-            labelCol=spec.target, predictionCol=PREDICTION, metricName=metric
-        ),
-        numFolds=rows.select(fold).distinct().count(),
-        foldCol=fold,
-        parallelism=parallelism,
-    )
-    with kept(with_features.select(FEATURES, spec.target, fold)) as vectors:
-        cv = validator.fit(vectors)
+    scores = {name: [[] for _ in grid] for name in ("r2", "rmse")}
+    for held_out, test in sorted(moments.by_fold.items()):
+        for i, (intercept, beta) in enumerate(ridge_path(moments.total(held_out), grid)):
+            r2, rmse = held_out_metrics(test, intercept, beta)
+            scores["r2"][i].append(r2)
+            scores["rmse"][i].append(rmse)
     points = tuple(
-        CvPoint(params, metric, float(mean), float(std))
-        for params, mean, std in zip(combinations_of(grid), cv.avgMetrics, cv.stdMetrics)
+        _summarised({"regParam": penalty}, name, scores[name][i])
+        for name in metrics
+        for i, penalty in enumerate(grid)
     )
-    fitted = FittedRegression(
-        spec,
-        PipelineModel([*features.stages, cv.bestModel]),
-        slots,
-        tuple(s.idx for s in slots),
-        invalid,
+    best = _best([p for p in points if p.metric == metrics[0]]).params
+    fitted = linear_from_moments(
+        moments.total(), spec, moments.slots, best["regParam"], invalid
     )
-    return CvResult(model, points, _best(points).params, fitted)
+    return CvResult(model, points, best, fitted)
 
 
 def cross_validate(
@@ -197,9 +155,32 @@ def cross_validate(
     """
     rows = prepared(df.select(*spec.columns, fold), spec, invalid)
     features = feature_pipeline(spec, invalid).fit(rows)
-    return _spark_cv(
-        rows, spec, features, regressor, grid, fold, metric, model, parallelism, invalid
+    with_features = features.transform(rows)
+    slots = tuple(feature_slots(with_features, spec))
+    with kept(with_features.select(FEATURES, spec.target, fold)) as vectors:
+        validator = CrossValidator(
+            estimator=regressor,
+            estimatorParamMaps=param_grid(regressor, grid),
+            evaluator=RegressionEvaluator(
+                labelCol=spec.target, predictionCol=PREDICTION, metricName=metric
+            ),
+            numFolds=vectors.agg(F.max(fold)).first()[0] + 1,
+            foldCol=fold,
+            parallelism=parallelism,
+        )
+        cv = validator.fit(vectors)
+    points = tuple(
+        CvPoint(params, metric, float(mean), float(std))
+        for params, mean, std in zip(combinations_of(grid), cv.avgMetrics, cv.stdMetrics)
     )
+    fitted = FittedRegression(
+        spec,
+        PipelineModel([*features.stages, cv.bestModel]),
+        slots,
+        tuple(s.idx for s in slots),
+        invalid,
+    )
+    return CvResult(model, points, _best(points).params, fitted)
 
 
 def forest_cv(

@@ -26,7 +26,7 @@ class DriverAnalysis:
     coefficients: dict[str, DataFrame]
     rollups: dict[str, DataFrame]
     importance: DataFrame
-    models: dict[str, ops.FittedRegression]
+    models: dict[str, ops.LinearFit | ops.FittedRegression]
 
 
 def analyse_drivers(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -71,9 +72,29 @@ def write_table(
     return path
 
 
-def rows_to_frame(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> DataFrame:
-    """A DataFrame of model results; its size is the number of slots, never of data rows."""
-    return spark.createDataFrame(list(rows), schema)
+_ARROW_TYPES = {
+    T.StringType(): pa.string(),
+    T.DoubleType(): pa.float64(),
+    T.IntegerType(): pa.int32(),
+    T.BooleanType(): pa.bool_(),
+}
+
+
+def rows_to_frame(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType) -> DataFrame:
+    """A DataFrame of model results; its size is the number of slots, never of data rows.
+
+    As an Arrow table it becomes a local relation of known size, read without Python workers.
+    """
+    rows = list(rows)
+    arrays = [
+        pa.array([row[i] for row in rows], _ARROW_TYPES[field.dataType])
+        for i, field in enumerate(schema.fields)
+    ]
+    return spark.createDataFrame(pa.table(arrays, names=schema.names), schema)
+
+
+def result_schema(**types: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in types.items()])
 
 
 def schema_report(df: DataFrame) -> DataFrame:

@@ -39,7 +39,9 @@ def test_numeric_fit_equals_closed_form(orders, penalty):
     left = cov + np.diag(np.diag(cov)) * penalty / y.std()
     right = ((x - x.mean(0)) * (y - y.mean())[:, None]).mean(0)
     expected = np.linalg.solve(left, right)
-    assert model.regressor.coefficients.toArray() == pytest.approx(expected, rel=1e-7)
+    assert model.coefficients == pytest.approx(expected, rel=1e-7)
+    pipeline = ops.fit_linear_pipeline(orders, NUMERIC_SPEC, penalty)
+    assert pipeline.regressor.coefficients.toArray() == pytest.approx(expected, rel=1e-6)
 
 
 def test_common_slope_with_own_level_by_group(orders):
@@ -59,8 +61,49 @@ def test_common_slope_with_own_level_by_group(orders):
         assert found == pytest.approx(value - levels.mean(), abs=1e-5)
 
 
+@pytest.mark.parametrize("penalty", [0.0, 20_000.0])
+@pytest.mark.parametrize("cells", [100_000, 0], ids=["cells", "rows"])
+def test_moments_and_pipeline_give_the_same_model(orders, penalty, cells, monkeypatch):
+    monkeypatch.setattr("keydrivers.operators.moments.MAX_CELLS", cells)
+    holes = orders.withColumn(
+        "c_mktsegment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
+    )
+    ours = ops.fit_linear(holes, ORDER_SPEC, penalty)
+    theirs = ops.fit_linear_pipeline(holes, ORDER_SPEC, penalty)
+    assert ours.slots == theirs.slots
+    spark = orders.sparkSession
+    a = ops.coefficient_table(spark, ours, intercept=True).orderBy("feature").collect()
+    b = ops.coefficient_table(spark, theirs, holes, intercept=True).orderBy("feature").collect()
+    for x, y in zip(a, b):
+        assert x["coefficient"] == pytest.approx(y["coefficient"], rel=1e-6, abs=1e-3)
+        if x["feature"] != INTERCEPT:
+            assert x["std_coefficient"] == pytest.approx(y["std_coefficient"], abs=1e-9)
+    both = (
+        ops.score(ours, holes)
+        .select("o_orderkey", F.col("prediction").alias("a"))
+        .join(ops.score(theirs, holes).select("o_orderkey", "prediction"), "o_orderkey")
+    )
+    assert both.count() == holes.count()
+    assert both.agg(F.max(F.abs(F.col("a") - F.col("prediction")))).first()[0] < 1e-3
+
+
+def test_wide_design_gives_the_same_with_and_without_vectors(orders):
+    """More measures than one compiled aggregate takes."""
+    extra = {f"x{i}": F.sin(F.col("o_orderkey") * (i + 1)) for i in range(14)}
+    wide = orders.withColumns(extra)
+    spec = FeatureSpec(("n_lines", *extra), ("o_orderpriority",), "target")
+    ours = ops.fit_linear(wide, spec, 1.5).coefficients
+    theirs = ops.fit_linear_pipeline(wide, spec, 1.5).regressor.coefficients.toArray()
+    assert ours == pytest.approx(theirs, rel=1e-6, abs=1e-4)
+
+
+def test_too_many_levels_go_through_the_pipeline(orders, monkeypatch):
+    monkeypatch.setattr("keydrivers.operators.moments.MAX_SLOTS", 3)
+    assert isinstance(ops.fit_linear(orders, PRIORITY_SPEC), ops.FittedRegression)
+
+
 def test_unpenalised_fit_is_one_solve_not_many_iterations(orders):
-    model = ops.fit_linear(orders, ORDER_SPEC)
+    model = ops.fit_linear_pipeline(orders, ORDER_SPEC)
     assert len(model.used) == len(model.slots) - len(ORDER_SPEC.categorical)
     assert model.regressor.summary.totalIterations <= 1
 
@@ -80,7 +123,7 @@ def test_missing_category_is_a_level_of_its_own(orders):
     holes = orders.withColumn(
         "o_orderpriority", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
     )
-    model = ops.fit_linear(holes, PRIORITY_SPEC)
+    model = ops.fit_linear_pipeline(holes, PRIORITY_SPEC)
     # Rows without a level carry the intercept, so no level has to be left out.
     assert len(model.used) == len(model.slots) == 5
     whole = ops.fit_linear(orders, PRIORITY_SPEC)
@@ -118,7 +161,7 @@ def test_scoring_leaves_the_columns_alone_and_needs_no_target(vehicles):
 
 
 def test_fitted_pipeline_can_be_saved(spark, vehicles, tmp_path):
-    model = ops.fit_linear(vehicles, VEHICLE_SPEC)
+    model = ops.fit_linear_pipeline(vehicles, VEHICLE_SPEC)
     model.pipeline.write().overwrite().save(str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m"))
     rows = ops.prepared(vehicles, VEHICLE_SPEC)
@@ -194,5 +237,6 @@ def test_residuals(vehicles):
 
 def test_numeric_only_and_categorical_only_specs(vehicles):
     only = FeatureSpec((), ("fuel_type", "make"), "CO2_emission_gkm")
-    assert len(ops.fit_linear(vehicles, only).used) == 7
-    assert len(ops.fit_linear(vehicles, FeatureSpec(("cylinders",), (), only.target)).used) == 1
+    assert len(ops.fit_linear(vehicles, only).slots) == 9
+    assert len(ops.fit_linear_pipeline(vehicles, only).used) == 7
+    assert len(ops.fit_linear(vehicles, FeatureSpec(("cylinders",), (), only.target)).slots) == 1

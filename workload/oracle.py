@@ -449,6 +449,8 @@ FROM lineitem""",
         "ridge_numeric": _fit(COEFFICIENTS, ORDER_NUMERIC, (), (20000.0,)),
         "linear_full": _fit(COEFFICIENTS, *FULL),
         "ridge_full": _fit(COEFFICIENTS, *FULL, (20000.0,)),
+        "linear_pipeline": _fit(COEFFICIENTS, *FULL),
+        "ridge_pipeline": _fit(COEFFICIENTS, *FULL, (20000.0,)),
         "linear_priority": _fit(COEFFICIENTS, *PRIORITY),
         "field_rollup": _fit(ROLLUP, *FULL),
         "ridge_field_rollup": _fit(ROLLUP, *FULL, (20000.0,)),

@@ -347,9 +347,9 @@ def _as_array(vector: str):
 # --- Linear and ridge regression -----------------------------------------------------------
 
 
-def _coefficients(spark, sf_dir, spec, penalty=0.0) -> DataFrame:
+def _coefficients(spark, sf_dir, spec, penalty=0.0, fit=ops.fit_linear) -> DataFrame:
     with kept(_train(spark, sf_dir)) as train:
-        model = ops.fit_linear(train, spec, penalty)
+        model = fit(train, spec, penalty)
         found = ops.coefficient_table(spark, model, train, intercept=True)
     return rounded(found, {"coefficient": 1, "abs_coefficient": 1, "std_coefficient": 9})
 
@@ -374,6 +374,19 @@ def ridge_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coefficients(spark, sf_dir, ORDER_SPEC, STRONG_PENALTY)
 
 
+@query
+def linear_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``linear_full`` by a Spark ML pipeline."""
+    return _coefficients(spark, sf_dir, ORDER_SPEC, fit=ops.fit_linear_pipeline)
+
+
+@query
+def ridge_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coefficients(
+        spark, sf_dir, ORDER_SPEC, STRONG_PENALTY, fit=ops.fit_linear_pipeline
+    )
+
+
 @query
 def linear_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coefficients(spark, sf_dir, PRIORITY_SPEC)
@@ -474,9 +487,9 @@ def linear_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Tuning --------------------------------------------------------------------------------
 
 
-def _ridge_cv(spark, sf_dir, spec, name, grid=ops.RIDGE_GRID, refit=False) -> ops.CvResult:
-    train = ops.assign_folds(_train(spark, sf_dir), ORDER_KEY)
-    return ops.ridge_cv(train, spec, grid, metrics=("r2", "rmse"), model=name, refit=refit)
+def _ridge_cv(spark, sf_dir, spec, name, grid=ops.RIDGE_GRID) -> ops.CvResult:
+    with kept(ops.assign_folds(_train(spark, sf_dir), ORDER_KEY)) as train:
+        return ops.ridge_cv(train, spec, grid, metrics=("r2", "rmse"), model=name)
 
 
 def _cv_table(spark, result) -> DataFrame:
