@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 from math import prod
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import VECTOR_INFIX
@@ -63,54 +64,41 @@ class DesignMoments:
         return sum((m for f, m in self.by_fold.items() if f != without), nothing)
 
 
-def _level_sums(rows: DataFrame, spec: FeatureSpec, fold: str) -> DataFrame:
+class LevelSum(NamedTuple):
+    """Rows and, for a single level, sums of measures of one level or pair of levels."""
+
+    fold: int
+    n: int
+    levels: tuple[tuple[int, str], ...]
+    sums: tuple[float | None, ...]
+
+
+def _level_sums(rows: DataFrame, spec: FeatureSpec, fold: str) -> list[LevelSum]:
     """Counts by level and by pair of levels, and the sums of all measures by level.
 
-    One row for each fold and level (``level_2`` null) or pair of levels. ``rows`` hold a count n
-    and measure sums s<i>: data rows, or cells that were summed up before.
+    ``rows`` hold a count n and measure sums s<i>: data rows, or cells that were summed up before.
     """
     cats = list(spec.categorical)
     names = [f"s{i}" for i in range(len(spec.measures))]
 
     def by_sets(size: int, aggregates: list[Column]) -> DataFrame:
         sets = [[fold, *some] for some in combinations(cats, size)]
-        grouped = rows.groupingSets(sets, fold, *cats).agg(
+        return rows.groupingSets(sets, fold, *cats).agg(
             *[F.grouping(c).alias(f"out{i}") for i, c in enumerate(cats)], *aggregates
         )
-        levels = F.filter(
-            F.array(
-                *[
-                    F.when(
-                        F.col(f"out{i}") == 0,
-                        F.struct(F.lit(i).alias("field"), F.col(c).alias("level")),
-                    )
-                    for i, c in enumerate(cats)
-                ]
-            ),
-            lambda x: x.isNotNull(),
-        )
-        # A missing category has no slot.
-        return grouped.withColumn("levels", levels).where(
-            ~F.exists("levels", lambda x: x["level"].isNull())
-        )
 
-    one, two = F.col("levels")[0], F.get("levels", F.lit(1))
-    columns = [
-        F.col(fold).alias("fold"),
-        "n",
-        one["field"].alias("field_1"),
-        one["level"].alias("level_1"),
-        two["field"].alias("field_2"),
-        two["level"].alias("level_2"),
-    ]
     counts = [F.sum("n").alias("n")]
-    singles = by_sets(1, counts + [F.sum(s).alias(s) for s in names]).select(
-        *columns, F.array(*names).alias("sums")
-    )
-    if len(cats) == 1:
-        return singles
-    # Pairs need no sums of measures, which makes the wider grouping sets the cheaper ones.
-    return singles.unionByName(by_sets(2, counts).select(*columns), allowMissingColumns=True)
+    found = by_sets(1, counts + [F.sum(s).alias(s) for s in names])
+    if len(cats) > 1:
+        # Pairs need no sums of measures, which makes the wider grouping sets the cheaper ones.
+        found = found.unionByName(by_sets(2, counts), allowMissingColumns=True)
+    listed = []
+    for r in found.collect():
+        levels = tuple((i, r[c]) for i, c in enumerate(cats) if r[f"out{i}"] == 0)
+        # A missing category has no slot.
+        if all(level is not None for _, level in levels):
+            listed.append(LevelSum(r[fold], r["n"], levels, tuple(r[s] for s in names)))
+    return listed
 
 
 def _slots_of(levels: Mapping[tuple[int, str], int], spec: FeatureSpec) -> tuple[Slot, ...]:
@@ -140,11 +128,11 @@ def design_moments(
     rows = prepared(df if fold else df.withColumn(key, F.lit(0)), spec, invalid).select(
         key, *cats, *[F.col(c).cast("double").alias(c) for c in measures]
     )
-    stats = column_stats(rows, measures, [*cats, key])
+    stats = column_stats(rows, [*measures, key], cats)
     if sum(stats.distinct[c] for c in cats) + len(spec.numeric) > MAX_SLOTS:
         return None
-    cells = prod(1 + stats.distinct[c] for c in cats) * stats.distinct[key]
-    levels = None
+    cells = prod(1 + stats.distinct[c] for c in cats) * (1 + int(stats.high[key] or 0))
+    level_sums: list[LevelSum] = []
     if cats and cells <= MAX_CELLS and len(measures) <= COMPILED_WIDTH:
         combined = checkpointed(
             rows.groupBy(key, *cats).agg(*compiled_sums(measures, stats.mean))
@@ -152,7 +140,7 @@ def design_moments(
         sums = [c for c in combined.columns if c not in (key, *cats)]
         by_fold = combined.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums])
         products = listed_pairs(by_fold, len(measures), [key])
-        levels = _level_sums(combined, spec, key)
+        level_sums = _level_sums(combined, spec, key)
     else:
         products = product_sums(rows, measures, stats, by=key)
         if cats:
@@ -160,14 +148,12 @@ def design_moments(
                 (F.col(c) - F.lit(stats.mean[c])).alias(f"s{i}") for i, c in enumerate(measures)
             ]
             one_each = rows.select(key, *cats, F.lit(1).cast("bigint").alias("n"), *centred)
-            levels = _level_sums(one_each, spec, key)
+            level_sums = _level_sums(one_each, spec, key)
 
-    level_rows = levels.collect() if levels is not None else []
     counts: dict[tuple[int, str], int] = {}
-    for r in level_rows:
-        if r["field_2"] is None:
-            level = (r["field_1"], r["level_1"])
-            counts[level] = counts.get(level, 0) + r["n"]
+    for r in level_sums:
+        if len(r.levels) == 1:
+            counts[r.levels[0]] = counts.get(r.levels[0], 0) + r.n
     slots = _slots_of(counts, spec)
     p = len(slots)
     # Where each measure stands: its slot, and for the target the place after all slots.
@@ -180,7 +166,7 @@ def design_moments(
         i, j = at[r["i"]], at[r["j"]]
         m.mean[i], m.mean[j] = r["sx"] / r["n"], r["sy"] / r["n"]
         m.scatter[i, j] = m.scatter[j, i] = r["sxy"] - r["sx"] * r["sy"] / r["n"]
-    _add_levels(found, level_rows, spec, slots, at)
+    _add_levels(found, level_sums, spec, slots, at)
     for m in found.values():
         m.mean[at] += np.array([stats.mean[c] for c in measures])
     return DesignMoments(slots, found)
@@ -188,7 +174,7 @@ def design_moments(
 
 def _add_levels(
     found: Mapping[int, Moments],
-    level_rows: Sequence[Row],
+    level_sums: Sequence[LevelSum],
     spec: FeatureSpec,
     slots: Sequence[Slot],
     at: np.ndarray,
@@ -199,16 +185,16 @@ def _add_levels(
         for s in slots
         if s.category is not None
     }
-    for r in level_rows:
-        m = found[r["fold"]]
-        one = dummy[(r["field_1"], r["level_1"])]
-        if r["field_2"] is not None:
-            two = dummy[(r["field_2"], r["level_2"])]
-            m.scatter[one, two] = m.scatter[two, one] = r["n"]
+    for r in level_sums:
+        m = found[r.fold]
+        one = dummy[r.levels[0]]
+        if len(r.levels) == 2:
+            two = dummy[r.levels[1]]
+            m.scatter[one, two] = m.scatter[two, one] = r.n
             continue
-        m.mean[one] = r["n"] / m.n
-        m.scatter[one, one] = r["n"]
-        m.scatter[one, at] = m.scatter[at, one] = np.array(r["sums"]) - r["n"] * m.mean[at]
+        m.mean[one] = r.n / m.n
+        m.scatter[one, one] = r.n
+        m.scatter[one, at] = m.scatter[at, one] = np.array(r.sums) - r.n * m.mean[at]
     places = np.array(sorted(dummy.values()), dtype=int)
     both = np.ix_(places, places)
     for m in found.values():
