@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import unit_interval
-from .quantiles import quantiles_by, seen_value, small_side
+from .quantiles import join_by_group, quantiles_by, seen_value
 
 QUARTILES = (0.25, 0.5, 0.75)
 QUARTILE_NAMES = ("q1", "median", "q3")
@@ -96,9 +96,11 @@ def box_stats(
     rows = df.select(*by, seen_value(col).alias("__v"))
     if by:
         # One row for each group meets the rows, so counts are combined before any shuffle.
-        side = box.select(F.struct(*by).alias("__g"), *cuts)
-        same_group = F.struct(*by) == F.col("__g")
-        fenced = rows.join(small_side(side, found.groups), same_group).drop("__g")
+        side = box.select(F.struct(*by).alias("ig"), *cuts)
+        keyed = rows.select(F.struct(*by).alias("g"), "__v")
+        fenced = join_by_group(keyed, side, found.groups, found.sizes).select(
+            "g.*", "__v", *cuts
+        )
     else:
         one = box.first()
         fenced = rows.withColumns({c: F.lit(one[c]).cast("double") for c in cuts})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..sources import checkpointed
@@ -20,15 +20,41 @@ BROADCAST_ROWS = 100_000
 
 @dataclass(frozen=True)
 class Quantiles:
-    """Quantiles by group, and how many groups there are."""
+    """Quantiles by group, the number of groups, and their sizes as (g, n) with g a struct."""
 
     table: DataFrame
     groups: int
+    sizes: DataFrame
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast if the known row count allows it, else leave the join to be shuffled."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def join_by_group(
+    rows: DataFrame,
+    side: DataFrame,
+    side_rows: int,
+    sizes: DataFrame,
+    most: int = 1,
+    condition: Column | None = None,
+) -> DataFrame:
+    """Join ``rows`` by their group ``g`` to at most ``most`` rows of ``side`` by group ``ig``.
+
+    A small side is broadcast. Of a larger one, the rows of large groups are: if a group is large
+    that has more than its share of the rows, there are few of them, so what is broadcast is
+    bounded, and what is shuffled has no hot group.
+    """
+    same = F.col("g") == F.col("ig")
+    if condition is not None:
+        same = same & condition
+    if side_rows <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), same)
+    total = sizes.agg(F.sum("n")).first()[0]
+    # Fewer groups than BROADCAST_ROWS / most can be above this size.
+    share = total * most / BROADCAST_ROWS
+    large = sizes.where(F.col("n") > share).select(F.col("g").alias("large"))
+    of_large = F.col("ig") == F.col("large")
+    hot = side.join(F.broadcast(large), of_large, "left_semi")
+    cold = side.join(F.broadcast(large), of_large, "left_anti")
+    rest = rows.join(F.broadcast(large), F.col("g") == F.col("large"), "left_anti")
+    return rows.join(F.broadcast(hot), same).unionByName(rest.join(cold, same))
 
 
 def seen_value(value: str) -> Column:
@@ -42,11 +68,13 @@ def _key(by: Sequence[str]) -> Column:
     return F.struct(*[F.col(b).alias(b) for b in by])
 
 
-def _within(values: DataFrame, intervals: DataFrame, n_intervals: int, grouped: bool) -> DataFrame:
+def _within(
+    values: DataFrame, intervals: DataFrame, size: Row, sizes: DataFrame | None
+) -> DataFrame:
     """Rows that lie in one of the intervals of their group; the intervals do not overlap."""
     v = F.col("v")
-    if not grouped:
-        # At most two intervals for each quantile.
+    if sizes is None:
+        # One group, with at most two intervals for each quantile.
         spans = [
             F.when(
                 v.between(r["lo"], r["hi"]),
@@ -62,8 +90,8 @@ def _within(values: DataFrame, intervals: DataFrame, n_intervals: int, grouped:
             "g", "v", "span.*"
         )
     side = intervals.select(F.col("g").alias("ig"), "lo", "hi", "below")
-    inside = (F.col("g") == F.col("ig")) & v.between(F.col("lo"), F.col("hi"))
-    return values.join(small_side(side, n_intervals), inside).drop("ig")
+    inside = v.between(F.col("lo"), F.col("hi"))
+    return join_by_group(values, side, size["n"], sizes, size["ranks"], inside).drop("ig")
 
 
 def _pick(cells: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -85,12 +113,14 @@ def _pick(cells: DataFrame, intervals: DataFrame) -> DataFrame:
     ).agg(F.collect_set("rank").alias("ranks"))
 
 
-def _narrowed(values: DataFrame, intervals: DataFrame, n: int, grouped: bool) -> DataFrame:
+def _narrowed(
+    values: DataFrame, intervals: DataFrame, size: Row, sizes: DataFrame | None
+) -> DataFrame:
     """One pass: count rows by equal parts of each interval and keep the parts with a rank."""
     width = F.col("hi") - F.col("lo")
     part = F.coalesce(F.try_divide((F.col("v") - F.col("lo")) * CELLS, width), F.lit(0.0))
     cells = (
-        _within(values, intervals, n, grouped)
+        _within(values, intervals, size, sizes)
         .groupBy("g", "lo", "below", F.floor(part).alias("part"))
         .agg(F.count("*").alias("n"), F.min("v").alias("c_lo"), F.max("v").alias("c_hi"))
     )
@@ -98,21 +128,29 @@ def _narrowed(values: DataFrame, intervals: DataFrame, n: int, grouped: bool) ->
 
 
 def _order_statistics(
-    values: DataFrame, intervals: DataFrame, grouped: bool, rows_in_one_task: int
+    values: DataFrame,
+    intervals: DataFrame,
+    sizes: DataFrame | None,
+    most_ranks: int,
+    rows_in_one_task: int,
 ) -> DataFrame:
     """(g, rank, v): the values at the wanted zero-based ranks of each group.
 
     Every pass narrows the interval around a rank to one of ``CELLS`` parts, set to the least and
     greatest value found there, until few enough rows are left to list their distinct values.
     """
+    before = None
     while True:
         size = intervals.agg(
             F.count("*").alias("n"),
+            F.lit(most_ranks).alias("ranks"),
             F.max(F.when(F.col("lo") < F.col("hi"), F.col("inside"))).alias("most"),
         ).first()
-        if size["most"] is None or size["most"] <= rows_in_one_task:
+        # An interval whose width is no finite number cannot be cut; its values are listed.
+        if size["most"] is None or size["most"] <= rows_in_one_task or size == before:
             break
-        intervals = checkpointed(_narrowed(values, intervals, size["n"], grouped))
+        before = size
+        intervals = checkpointed(_narrowed(values, intervals, size, sizes))
     done = intervals.where(F.col("lo") == F.col("hi")).select(
         "g", F.explode("ranks").alias("rank"), F.col("lo").alias("v")
     )
@@ -120,7 +158,7 @@ def _order_statistics(
         return done
     left = intervals.where(F.col("lo") < F.col("hi"))
     distinct = (
-        _within(values, left, size["n"], grouped)
+        _within(values, left, size, sizes)
         .groupBy("g", "lo", "below", "v")
         .agg(F.count("*").alias("n"))
         .select("g", "lo", "below", "n", F.col("v").alias("c_lo"), F.col("v").alias("c_hi"))
@@ -171,12 +209,13 @@ def quantiles_by(
     """
     by, extra = list(by), list(extra)
     v = seen_value(value)
+    key = (_key(by) if by else F.lit(0)).alias("g")
     if approx:
         sketches = [F.percentile_approx(v, p, accuracy).alias(a) for p, a in zip(probs, names)]
-        table = checkpointed(df.groupBy(*by).agg(*extra, *sketches))
-        return Quantiles(table, table.count())
+        table = checkpointed(df.groupBy(*by).agg(F.count(v).alias("__n"), *extra, *sketches))
+        sizes = table.select(key, F.col("__n").alias("n"))
+        return Quantiles(table.drop("__n"), table.count(), sizes)
 
-    key = (_key(by) if by else F.lit(0)).alias("g")
     # The other aggregates as one struct, so that their names cannot meet those used here.
     extras = [F.struct(*extra).alias("extra")] if extra else []
     bounds = checkpointed(
@@ -185,6 +224,7 @@ def quantiles_by(
         .select(key, "n", "lo", "hi", *(["extra"] if extra else []))
     )
     size = bounds.agg(F.count("*").alias("groups"), F.max("n").alias("largest")).first()
+    sizes = bounds.select("g", "n")
     leading = (["g.*"] if by else []) + (["extra.*"] if extra else [])
 
     if size["largest"] is None or size["largest"] <= rows_in_one_task:
@@ -194,7 +234,7 @@ def quantiles_by(
             .select(key, *names)
         )
         table = _same_groups(bounds, cuts, bool(by)) if extra else cuts
-        return Quantiles(table.select(*leading, *names), size["groups"])
+        return Quantiles(table.select(*leading, *names), size["groups"], sizes)
 
     values = df.select(key, v.alias("v")).where(F.col("v").isNotNull())
     wanted = bounds.where(F.col("n") > 0).select(
@@ -206,11 +246,13 @@ def quantiles_by(
         F.array_distinct(F.array(*[r for p in probs for r in _ranks(p)])).alias("ranks"),
     )
     found = (
-        _order_statistics(values, wanted, bool(by), rows_in_one_task)
+        _order_statistics(
+            values, wanted, sizes if by else None, 2 * len(probs), rows_in_one_task
+        )
         .groupBy("g")
         .agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at_rank"))
     )
     table = bounds.join(found, "g", "left").select(
         *leading, *[_interpolated(p).alias(a) for p, a in zip(probs, names)]
     )
-    return Quantiles(table, size["groups"])
+    return Quantiles(table, size["groups"], sizes)

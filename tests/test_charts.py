@@ -63,18 +63,30 @@ def test_quantiles_of_all_rows_equal_pandas(skewed, rows_in_one_task):
     assert [found["a"], found["b"]] == pytest.approx(pdf.v.quantile([0.25, 0.5]).tolist())
 
 
-def test_shuffled_interval_join_gives_the_same(skewed, monkeypatch):
+@pytest.mark.parametrize("bound", [1, 4, 10])
+def test_joins_beyond_the_broadcast_bound_give_the_same(skewed, monkeypatch, bound):
+    """With no group above its share of the rows, and with the hot one or more above it."""
     df, _ = skewed
 
     def run():
-        found = ops.quantiles_by(df, "v", [0.5], ["m"], ["g"], rows_in_one_task=5)
-        return sorted(found.table.collect(), key=str)
+        probs, names = [0.1, 0.5], ["p", "m"]
+        found = ops.quantiles_by(df, "v", probs, names, ["g"], rows_in_one_task=5)
+        boxes = ops.box_stats(df, "v", "g")
+        return sorted(found.table.collect(), key=str), sorted(boxes.collect(), key=str)
 
     with_broadcast = run()
-    monkeypatch.setattr("keydrivers.operators.quantiles.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("keydrivers.operators.quantiles.BROADCAST_ROWS", bound)
     assert run() == with_broadcast
 
 
+def test_quantiles_next_to_infinity(spark):
+    rows = [(float(i),) for i in range(200)] + [(float("inf"),), (float("-inf"),)] * 3
+    df = spark.createDataFrame(rows, "v double")
+    for few in (10**6, 10):
+        found = ops.quantiles_by(df, "v", [0.5], ["m"], rows_in_one_task=few).table.first()
+        assert found["m"] == 99.5
+
+
 def test_approximate_quantiles_are_near(skewed):
     df, pdf = skewed
     found = ops.quantiles_by(df, "v", [0.5], ["m"], approx=True).table.first()["m"]
