@@ -74,7 +74,8 @@ def _solved(
     """
     parts = [
         f"SELECT o_orderkey AS rid, fold, '{c}' AS slot, '{c}' AS field, "
-        f"CAST(NULL AS VARCHAR) AS category, CAST({c} AS DOUBLE) AS x FROM {rows}"
+        f"CAST(NULL AS VARCHAR) AS category, CAST({c} AS DOUBLE) - shift_{c} AS x "
+        f"FROM {rows} CROSS JOIN shifts"
         for c in numeric
     ] + [
         f"SELECT o_orderkey, fold, '{c}_vec_' || {c}, '{c}', {c}, CAST(1 AS DOUBLE) "
@@ -87,11 +88,15 @@ def _solved(
     else:
         fits = "SELECT CAST(-1 AS INTEGER) AS f"
     lams = ", ".join(f"(CAST({lam} AS DOUBLE))" for lam in penalties)
-    return f"""long AS ({long}),
+    # Numbers as differences from their mean, which keeps the sums of products accurate.
+    shifts = ", ".join(f"avg({c}) AS shift_{c}" for c in numeric)
+    shift = " ".join(f"WHEN '{c}' THEN (SELECT shift_{c} FROM shifts)" for c in numeric)
+    return f"""shifts AS (SELECT {shifts} FROM {rows}),
+long AS ({long}),
 fits AS ({fits}),
 lams(lam) AS (VALUES {lams}),
 slots AS (
-  SELECT slot, field, category,
+  SELECT slot, field, category, CASE slot {shift} ELSE 0 END AS shift,
          category IS NOT NULL AND row_number() OVER (PARTITION BY field ORDER BY slot) = 1 AS is_base
   FROM (SELECT DISTINCT slot, field, category FROM long)),
 ystat AS (
@@ -141,8 +146,10 @@ centred AS (
   FROM raw),
 coef AS (SELECT f, lam, slot, field, category, b - centre AS b FROM centred),
 icept AS (
-  SELECT f, lam, any_value(my) - sum(b * mx) AS b0
-  FROM coef JOIN sx USING (f, slot) JOIN ystat USING (f) GROUP BY f, lam)"""
+  SELECT f, lam, any_value(my) - sum(b * (mx + shift)) AS b0,
+         any_value(my) - sum(b * mx) AS b0_of_differences
+  FROM coef JOIN sx USING (f, slot) JOIN slots USING (slot) JOIN ystat USING (f)
+  GROUP BY f, lam)"""
 
 
 def _fit(
@@ -197,7 +204,7 @@ FROM ({source}) scored GROUP BY ALL"""
 def _cv(name: str, numeric: tuple[str, ...], categorical: tuple[str, ...], penalties: tuple[float, ...], best: bool = False) -> str:
     held_out = """
 , pred AS (
-  SELECT f, lam, rid, any_value(b0) + sum(b * x) AS p
+  SELECT f, lam, rid, any_value(b0_of_differences) + sum(b * x) AS p
   FROM long JOIN coef ON long.fold = coef.f AND long.slot = coef.slot JOIN icept USING (f, lam)
   GROUP BY f, lam, rid),
 by_fold AS (
