@@ -15,7 +15,7 @@ from itertools import chain
 
 import tiktoken
 
-from .common import BoundedCache
+from .common import BoundedCache, on_executors
 
 # The split pattern of byte-level BPE, with classes of letters and numbers to fill in.
 SPLIT = "'(?:[sdmt]|ll|ve|re)| ?[{L}]+| ?[{N}]+| ?[^\\s{L}{N}]+|\\s+(?!\\S)|\\s+"
@@ -156,6 +156,7 @@ def byte_bpe(blob: bytes) -> ByteBpe:
 
 def vocabulary(spark, path: str):
     """Broadcast a vocabulary file: a few MB, whatever the size of the data."""
+    on_executors(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

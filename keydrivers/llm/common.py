@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,22 @@ from keydrivers.sources import scratch_dir
 SLICE_BYTES = 4 << 20
 
 
+@lru_cache(maxsize=1)
+def _package() -> str:
+    """The library as a zip file, on the driver."""
+    top = Path(__file__).resolve().parents[2]
+    base = Path(tempfile.mkdtemp(prefix="keydrivers-zip-")) / "keydrivers"
+    return shutil.make_archive(str(base), "zip", top, "keydrivers")
+
+
+def on_executors(spark: SparkSession) -> None:
+    """Let Spark hand the library to executors, whose Python may not have it installed."""
+    context = spark.sparkContext
+    if _package() not in getattr(context, "_python_includes_done", ()):
+        context.addPyFile(_package())
+        context._python_includes_done = {_package()}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
