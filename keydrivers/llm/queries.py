@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import digests, encode_decode
 from .common import table
+from .near_dedup import near_duplicates
 from .quality_rules import judged
 from .secrets import scan
 from .token_counts import count_tokens
@@ -24,6 +25,11 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents")))
