@@ -1,18 +1,55 @@
-"""A training corpus from raw documents, in stages."""
+"""A training corpus from raw documents, in stages.
+
+Each stage takes what the one before kept, as columns of ``documents``; the last gives token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keydrivers.llm.bpe_codec import encode_decode
 from keydrivers.llm.common import stored, table
+from keydrivers.llm.decontaminate import without_leaks
+from keydrivers.llm.near_dedup import without_copies
+from keydrivers.llm.quality_rules import accepted
+from keydrivers.llm.secret_scan import redacted
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule, or come from a rejected host, go."""
+    return accepted(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest id."""
+    return without_copies(docs)
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; documents stay."""
+    return redacted(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and the text they decode to."""
     return encode_decode(docs)
 
 
-STAGES = [("bpe_codec", tokens)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("bpe_codec", bpe_codec),
+]
+
+# Near duplicates, alignments and byte-level BPE have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -315,3 +315,22 @@ def near_duplicates(
         component_id.alias("component_id"),
         F.coalesce(component_id == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def without_copies(
+    docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: the one with the smallest id.
+
+    Rows that share an id are one document, and one of them stays. Rows without an id all stay.
+    """
+    found = near_duplicates(docs, how, id_col, text_col)
+    copies = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    own = F.col(f"`{id_col}`")
+    rest = docs.join(stored(copies, "copies"), own == F.col("__id"), "left_anti")
+    again = docs.groupBy(own.alias("__id")).count().where("count > 1 and __id is not null")
+    again = stored(again.select("__id"), "repeated-ids")
+    if not again.take(1):
+        return rest
+    once = rest.join(again, own == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return rest.join(again, own == F.col("__id"), "left_anti").unionByName(once)

@@ -119,6 +119,31 @@ def document_counts(
     return counts.withColumn("base_failed", failed)
 
 
+def _fails(words: Column, rules: Rules) -> Column:
+    n = F.size(words)
+    return (n < rules.min_words) | (100 * repeated_words(words) > rules.max_repeat_pct * n)
+
+
+def accepted(
+    docs: DataFrame,
+    rules: Rules = Rules(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+) -> DataFrame:
+    """The rows that ``judged`` keeps, with all their columns.
+
+    Rejected hosts come from the counts of all rows; the document rules are then applied where the
+    row is, so texts are not shuffled by id and rows need no id.
+    """
+    counts = stored(document_counts(docs, rules, id_col, text_col, host_col), "rule-counts")
+    rejected = host_verdicts(counts, rules).where("rejected")
+    rejected = stored(rejected.select(F.col("host").alias("__host")), "rejected-hosts")
+    words = _words(letters(F.col(f"`{text_col}`")))
+    sound = docs.where(~let(words, lambda w: _fails(w, rules)))
+    return sound.join(rejected, F.col(f"`{host_col}`") == F.col("__host"), "left_anti")
+
+
 def host_verdicts(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """host, n_docs, n_failed, rate (shrunk), rejected. Rows without a host are left out."""
     hosts = (

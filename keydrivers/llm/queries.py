@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import digests, encode_decode
 from .common import table
+from .decontaminate import leaks
 from .near_dedup import near_duplicates
+from .quality_model import scored
 from .quality_rules import judged
-from .secrets import scan
+from .secret_scan import scan
 from .token_counts import count_tokens
 from .token_files import checksums, read_tokens, write_tokens
 from .url_filter import filtered
@@ -30,11 +32,22 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents")))
 
 
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, and which; no other rows."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages"))

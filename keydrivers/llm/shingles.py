@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 
@@ -26,8 +28,9 @@ class Words:
     ``bytes.split`` and ``bytes.lower`` know exactly these and leave other bytes of UTF-8 alone.
     """
 
-    def __init__(self):
-        self.known = BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w), CACHE)
+    def __init__(self, normal: Callable[[bytes], bytes] = bytes):
+        """``normal`` gives the form of a word that is hashed."""
+        self.known = BoundedCache(lambda w: xxhash.xxh3_64_intdigest(normal(w)), CACHE)
 
     def hashes(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
@@ -52,3 +55,9 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
         # Numbers of words differ, so this is no run of ``size`` words.
         return windows(words, len(words)) ^ np.uint64(len(words))
     return np.unique(windows(words, size))
+
+
+def bare(word: bytes) -> bytes:
+    """A word in lower case of every script, without punctuation at its ends."""
+    text = word.decode("utf-8", "replace").lower()
+    return text.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—").encode()

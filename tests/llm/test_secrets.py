@@ -6,7 +6,7 @@ import random
 import re
 from collections import Counter
 
-from keydrivers.llm.secrets import ALLOWED, CLASSES, redacted, scan
+from keydrivers.llm.secret_scan import ALLOWED, CLASSES, redacted, scan
 
 LETTERS = "".join
 ASSIGN = re.compile(
