@@ -1,9 +1,9 @@
 """Leaks of benchmark items into documents.
 
-Runs of words of the items are looked up in every document. By how many documents have them, the
-rarer half of each item's runs become its seeds; frequent runs only cost time. Where a document has a
-seed, its surroundings are aligned with the item by Smith-Waterman, which scores copies with words
-changed, left out or put in.
+Runs of words of the items are looked up in every document. Runs that few documents have become
+seeds, and of each item the rarer half at least, however often it was copied; frequent runs only cost
+time. Where a document has a seed, its surroundings are aligned with the item by Smith-Waterman, which
+scores copies with words changed, left out or put in.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ BLOCK_BYTES = 2 << 20
 
 @dataclass(frozen=True)
 class Alignment:
-    """Seeds are runs of ``seed`` words. Items of fewer than ``min_words`` words prove nothing and
+    """Seeds are runs of ``seed`` words that at most ``rare`` of all documents, or ``few``, have. Items of fewer than ``min_words`` words prove nothing and
     are not searched. A pair is a leak if its score is at least ``min_score``, where 1 is a whole and
     exact copy."""
 
-    seed: int = 4
+    seed: int = 3
+    rare: float = 0.001
+    few: int = 25
     min_words: int = 8
     match: int = 3
     mismatch: int = -1
@@ -79,13 +81,14 @@ class Items:
         same = self.runs[number] == hashes[at] if len(at) else np.zeros(0, bool)
         return at[same], number[same]
 
-    def seeds(self, spread: dict[int, int]) -> dict[int, list[int]]:
-        """Items by run, for the rarer half of each item's runs; ties go with the median in."""
+    def seeds(self, spread: dict[int, int], rare: float) -> dict[int, list[int]]:
+        """Items by run, for runs in at most ``rare`` documents and for the rarer half of each
+        item's; ties go with the median in."""
         found: dict[int, list[int]] = {}
         counts = np.array([spread.get(i, 0) for i in range(len(self.runs))], np.int64)
         for item in range(len(self.ids)):
             runs = np.unique(self.run_of[self.item_of == item])
-            limit = np.sort(counts[runs])[(len(runs) - 1) // 2]
+            limit = max(rare, np.sort(counts[runs])[(len(runs) - 1) // 2])
             for run in runs[counts[runs] <= limit]:
                 found.setdefault(int(run), []).append(item)
         return found
@@ -197,6 +200,7 @@ def leaks(
     rows = picked(docs, doc_id=id_col, text=text_col)
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     tests = picked(items, item_id=item_id_col, text=item_text_col)
+    n_docs = rows.count()
     found = spark.createDataFrame([], LEAKS)
     for block in _blocks(tests.withColumn("item_id", F.col("item_id").cast("bigint"))):
         known = Items(block, how)
@@ -207,7 +211,7 @@ def leaks(
         spread = hits.select(F.explode(F.array_distinct("run")).alias("run")).groupBy("run").count()
         # At most one number for each run of the block.
         counts = {r["run"]: r["count"] for r in spread.collect()}
-        seeds = spark.sparkContext.broadcast(known.seeds(counts))
+        seeds = spark.sparkContext.broadcast(known.seeds(counts, max(how.rare * n_docs, how.few)))
         found = found.unionByName(_aligned(hits, shared, seeds, how))
     return found
 

@@ -78,7 +78,7 @@ def test_against_brute_force_on_copies_edits_and_clean_text(spark):
     found = {(r.doc_id, r.item_id) for r in leaks(frame, tests).collect()}
     true = brute_force(docs, items)
     assert found <= true
-    # Pairs that align without any run of four words in common are not proposed.
+    # Pairs that align without any run of three words in common are not proposed.
     assert len(true - found) <= 0.02 * len(true)
     gone = {d for d, _ in found} - {None}
     kept = [r.doc_id for r in without_leaks(frame, tests).collect()]
