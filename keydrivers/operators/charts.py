@@ -40,9 +40,9 @@ def histogram(
 
     The last bin includes ``hi``. Values below ``lo`` are counted in bin 0 and values above
     ``hi`` in bin bins+1, so the counts always add up to the number of values. Limits that are
-    not given are the least and greatest value.
+    not given are the least and greatest value. Nulls and NaN are no values.
     """
-    v = F.col(col).cast("double")
+    v = seen_value(col)
     if lo is None or hi is None:
         ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
         lo = ends["lo"] if lo is None else lo
@@ -115,7 +115,10 @@ def box_stats(
 
 
 def yearly_average(df: DataFrame, year: str | Column, measures: Iterable[str]) -> DataFrame:
-    """(year, n, avg_<measure> ...) in order of the year; a date or timestamp is cut to its year."""
+    """(year, n, avg_<measure> ...) in order of the year; a date or timestamp is cut to its year.
+
+    Nulls and NaN are left out of the averages, but their rows are counted.
+    """
     if isinstance(year, str):
         dated = df.schema[year].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")
         year = F.year(year) if dated else F.col(year)
@@ -123,7 +126,7 @@ def yearly_average(df: DataFrame, year: str | Column, measures: Iterable[str]) -
         df.groupBy(year.alias("year"))
         .agg(
             F.count("*").alias("n"),
-            *[F.avg(F.col(m).cast("double")).alias(f"avg_{m}") for m in measures],
+            *[F.avg(seen_value(m)).alias(f"avg_{m}") for m in measures],
         )
         .orderBy("year")
     )

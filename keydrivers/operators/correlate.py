@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +11,6 @@ from pyspark.sql import functions as F
 from ..spec import FeatureSpec
 from .products import COMPILED_WIDTH, column_stats, product_sums
 
-# Up to here the pairs are correlated directly, in one pass.
-DIRECT_PAIRS = 6
-# A spread below this share of the distance from the column mean is rounding noise.
-NOISE = 1e-12
-
 
 def correlation(x: Column, y: Column) -> Column:
     """Aggregate: Pearson's r over rows where both are set; null if either is constant."""
@@ -38,7 +34,9 @@ def _doubles(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 
 
 def _direct(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(a, b, r) of a few pairs."""
+    """(a, b, r) of the pairs, each from the central moments of its own rows, in one pass."""
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
     row = df.agg(
         *[correlation(F.col(a), F.col(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]
     )
@@ -52,16 +50,17 @@ def _direct(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def _from_products(df: DataFrame, cols: Sequence[str], compiled_width: int) -> DataFrame:
     """(a, b, r) of all pairs of columns in their order, a column with itself included."""
     stats = column_stats(df, cols)
+    if not stats.complete:
+        # Sums around the means of all rows say little about the rows that a pair has.
+        return _direct(df, list(combinations_with_replacement(cols, 2)))
     sums = product_sums(df, cols, stats, compiled_width=compiled_width)
     cxy = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
     cxx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
     cyy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
     flat = F.array(*[F.lit(c in stats.flat) for c in cols])
     i, j = F.col("i"), F.col("j")
-    spread = (
-        ~flat[i] & ~flat[j] & (cxx > F.col("sxx") * NOISE) & (cyy > F.col("syy") * NOISE)
-    )
-    r = F.when(spread, F.when(i == j, F.lit(1.0)).otherwise(cxy / F.sqrt(cxx * cyy)))
+    spread = ~flat[i] & ~flat[j]
+    r = F.when(spread, F.when(i == j, F.lit(1.0)).otherwise(F.try_divide(cxy, F.sqrt(cxx * cyy))))
     names = F.array(*[F.lit(c) for c in cols])
     return sums.select(names[i].alias("a"), names[j].alias("b"), r.alias("r"))
 
@@ -71,8 +70,9 @@ def correlation_matrix(
 ) -> DataFrame:
     """Long form (a, b, r) of the full symmetric matrix, in two passes over the data.
 
-    The first pass gives means and null counts; the second sums products around the means. A
-    column without spread has no correlation: null, also with itself.
+    The first pass gives means and null counts; the second sums products around the means, or,
+    where values are missing, takes central moments by pair. A column or pair without spread has
+    no correlation: null, also with itself.
     """
     cols = list(cols)
     upper = _from_products(_doubles(df, cols), cols, compiled_width)
@@ -98,14 +98,7 @@ def correlation_wide(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 def correlations_with(df: DataFrame, column: str, others: Iterable[str]) -> DataFrame:
     """(feature, r, abs_r) of one column with each of the others, strongest first."""
     others = list(others)
-    doubles = _doubles(df, [*others, column])
-    if len(others) <= DIRECT_PAIRS:
-        pairs = _direct(doubles, [(c, column) for c in others])
-    else:
-        # The column stands last, so it is the second of each of its pairs.
-        pairs = _from_products(doubles, [*others, column], COMPILED_WIDTH).where(
-            (F.col("b") == column) & (F.col("a") != column)
-        )
+    pairs = _direct(_doubles(df, [*others, column]), [(c, column) for c in others])
     return (
         pairs.select(F.col("a").alias("feature"), "r", F.abs("r").alias("abs_r"))
         .orderBy(F.desc_nulls_last("abs_r"), "feature")

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import result_schema, rows_to_frame
-from .features import FEATURES, prepared
 from .metrics import regression_metrics
-from .models import FULL_FEATURES, PREDICTION, FittedRegression, LinearFit, score
+from .models import PREDICTION, FittedRegression, LinearFit, score
 
 INTERCEPT = "(intercept)"
 
@@ -53,36 +51,18 @@ def effects(model: LinearFit | FittedRegression) -> tuple[float, np.ndarray]:
     return intercept, full
 
 
-def _spreads(model: FittedRegression, train: DataFrame) -> np.ndarray:
-    """Standard deviation of each slot and of the target: one pass, one row to the driver."""
-    rows = prepared(train, model.spec, model.invalid)
-    for stage in model.pipeline.stages[:-1]:
-        rows = stage.transform(rows)
-    vector = FULL_FEATURES if FULL_FEATURES in rows.columns else FEATURES
-    row = rows.select(
-        Summarizer.metrics("variance").summary(F.col(vector)).alias("slots"),
-        F.var_samp(F.col(model.spec.target).cast("double")).alias("target"),
-    ).first()
-    return np.sqrt(np.append(row["slots"]["variance"].toArray(), row["target"] or 0.0))
-
-
 def coefficient_table(
     spark: SparkSession,
     model: LinearFit | FittedRegression,
-    train: DataFrame | None = None,
     intercept: bool = False,
 ) -> DataFrame:
     """Named coefficients of a linear model, strongest first.
 
     ``std_coefficient`` compares predictors of different units: it is the coefficient times the
-    spread of the slot over the spread of the target. A pipeline does not know these spreads; it
-    needs the training rows.
+    spread of the slot over the spread of the target, both in the training rows.
     """
     constant, beta = effects(model)
-    if isinstance(model, LinearFit):
-        spread = model.spread
-    else:
-        spread = np.zeros(len(beta) + 1) if train is None else _spreads(model, train)
+    spread = model.spread
     rows = []
     for s in model.slots:
         b = float(beta[s.idx])

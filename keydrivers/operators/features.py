@@ -17,8 +17,9 @@ from ..spec import FeatureSpec
 FEATURES = "features"
 INDEX_SUFFIX = "_idx"
 
-# A slot needs a name, so the empty text gets this one.
+# A slot needs a name, so the empty text gets this one; a category of that name gets more brackets.
 EMPTY_CATEGORY = "(empty)"
+_BRACKETED = r"^\(+empty\)+$"
 
 
 @dataclass(frozen=True)
@@ -56,14 +57,17 @@ def require_values(df: DataFrame, cols: Iterable[str], invalid: str = "error") -
 
 def named_categories(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Category columns as text, with a name for the empty text."""
-    return df.withColumns(
-        {
-            c: F.when(F.col(c).cast("string") == "", EMPTY_CATEGORY).otherwise(
-                F.col(c).cast("string")
-            )
-            for c in cols
-        }
-    )
+
+    def named(c: str) -> Column:
+        text = F.col(c).cast("string")
+        bracketed = F.concat(F.lit("("), text, F.lit(")"))
+        return (
+            F.when(text == "", EMPTY_CATEGORY)
+            .when(text.rlike(_BRACKETED), bracketed)
+            .otherwise(text)
+        )
+
+    return df.withColumns({c: named(c) for c in cols})
 
 
 def index_categories(spec: FeatureSpec) -> StringIndexer:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import seen_value
+
 
 def regression_metrics(
     scored: DataFrame,
@@ -18,11 +20,11 @@ def regression_metrics(
     """(n, rmse, mae, r2), one row or one row for each value of ``by``, in one pass.
 
     R² is measured against the mean label of the scored rows; it is null for a constant label.
-    Rows without label or prediction are left out.
+    Rows without label or prediction, NaN included, are left out.
     """
     by = [by] if isinstance(by, str) else list(by)
-    y = F.col(label).cast("double")
-    error = y - F.col(prediction)
+    y = seen_value(label)
+    error = y - seen_value(prediction)
     # Squared deviation of the same rows that have an error.
     y_scored = F.when(error.isNotNull(), y)
     return (

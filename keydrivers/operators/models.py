@@ -9,6 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ from .features import (
     prepared,
     require_values,
 )
-from .moments import MAX_SLOTS, Moments, design_moments, ridge_path
+from .moments import DesignMoments, design_moments, ridge_path
 
 PREDICTION = "prediction"
 FULL_FEATURES = "all_features"
@@ -60,6 +61,8 @@ class FittedRegression:
     # Slots that the regressor saw; fewer than ``slots`` where reference levels were left out.
     used: tuple[int, ...]
     invalid: str = "error"
+    # As in ``LinearFit``; None for models without coefficients.
+    spread: np.ndarray | None = None
 
     @property
     def regressor(self) -> Model:
@@ -88,7 +91,9 @@ def forest_regressor(
     max_depth: int = 9,
     min_info_gain: float = 0.01,
     seed: int = FOREST_SEED,
+    **options,
 ) -> RandomForestRegressor:
+    """``options`` are further parameters of Spark's regressor, such as ``bootstrap``."""
     return RandomForestRegressor(
         featuresCol=FEATURES,
         labelCol=spec.target,
@@ -97,23 +102,21 @@ def forest_regressor(
         maxDepth=max_depth,
         minInfoGain=min_info_gain,
         seed=seed,
+        **options,
     )
 
 
 def linear_from_moments(
-    train: Moments,
-    spec: FeatureSpec,
-    slots: tuple[Slot, ...],
-    reg_param: float,
-    invalid: str = "error",
+    moments: DesignMoments, spec: FeatureSpec, reg_param: float, invalid: str = "error"
 ) -> LinearFit:
     """The linear or ridge model of the rows behind the moments; no row is read."""
+    train, slots = moments.total(), moments.slots
     ((intercept, beta),) = ridge_path(train, (reg_param,))
     if reg_param == 0.0:
         for field in spec.categorical:
             levels = [s.idx for s in slots if s.field == field]
             # Rows without a level hold the intercept apart from the levels.
-            if levels and abs(train.mean[levels].sum() - 1.0) < 0.5 / train.n:
+            if levels and field in moments.never_missing:
                 centre = float(beta[levels].mean())
                 beta[levels] -= centre
                 intercept += centre
@@ -122,19 +125,26 @@ def linear_from_moments(
 
 
 def fit_linear(
-    df: DataFrame, spec: FeatureSpec, reg_param: float = 0.0, invalid: str = "error"
+    df: DataFrame,
+    spec: FeatureSpec,
+    reg_param: float = 0.0,
+    invalid: str = "error",
+    method: str = "moments",
 ) -> LinearFit | FittedRegression:
     """Fit least squares (``reg_param`` 0) or ridge on the predictors of ``spec``.
 
     The model equals that of Spark's ``LinearRegression``, its penalty on standardised predictors
-    and target included. It is solved from moments that two or three aggregates over the rows
-    give, without building vectors. Designs with more than ``MAX_SLOTS`` slots go through
-    ``fit_linear_pipeline``.
+    and target included. ``method="moments"`` solves it from two aggregates over the rows, without
+    building vectors; the driver holds slots² numbers. ``method="pipeline"`` is
+    ``fit_linear_pipeline``, for designs of very many slots or models to be served by Spark ML. The
+    caller chooses; tables and scores of either are the same.
     """
-    moments = design_moments(df, spec, invalid=_no_gaps(invalid))
-    if moments is None:
+    if method == "pipeline":
         return fit_linear_pipeline(df, spec, reg_param, invalid)
-    return linear_from_moments(moments.total(), spec, moments.slots, reg_param, invalid)
+    if method != "moments":
+        raise ValueError(f"method must be 'moments' or 'pipeline', not {method!r}")
+    moments = design_moments(df, spec, invalid=_no_gaps(invalid))
+    return linear_from_moments(moments, spec, reg_param, invalid)
 
 
 def _no_gaps(invalid: str) -> str:
@@ -182,12 +192,23 @@ def fit_linear_pipeline(
             VectorSlicer(inputCol=FULL_FEATURES, outputCol=FEATURES, indices=list(used))
         )
         with_features = PipelineModel(stages).transform(rows)
+    vector = FULL_FEATURES if left_out else FEATURES
+    spread = _spreads(with_features, vector, spec.target)
     regressor = linear_regressor(spec, reg_param).fit(with_features)
     return FittedRegression(
-        spec, PipelineModel([*stages, regressor]), tuple(slots), used, invalid
+        spec, PipelineModel([*stages, regressor]), tuple(slots), used, invalid, spread
     )
 
 
+def _spreads(rows: DataFrame, vector: str, target: str) -> np.ndarray:
+    """Standard deviation of each slot and of the target: one pass, one row to the driver."""
+    row = rows.select(
+        Summarizer.metrics("variance").summary(F.col(vector)).alias("slots"),
+        F.var_samp(F.col(target).cast("double")).alias("target"),
+    ).first()
+    return np.sqrt(np.append(row["slots"]["variance"].toArray(), row["target"] or 0.0))
+
+
 def fit_forest(
     df: DataFrame,
     spec: FeatureSpec,
@@ -196,15 +217,15 @@ def fit_forest(
     min_info_gain: float = 0.01,
     seed: int = FOREST_SEED,
     invalid: str = "error",
+    **options,
 ) -> FittedRegression:
-    """Fit a random forest on the predictors of ``spec``."""
+    """Fit a random forest on the predictors of ``spec``; see ``forest_regressor``."""
     rows = prepared(df, spec, invalid)
     features = feature_pipeline(spec, invalid).fit(rows)
     with_features = features.transform(rows)
     slots = feature_slots(with_features, spec)
-    forest = forest_regressor(spec, num_trees, max_depth, min_info_gain, seed).fit(
-        with_features.select(FEATURES, spec.target)
-    )
+    regressor = forest_regressor(spec, num_trees, max_depth, min_info_gain, seed, **options)
+    forest = regressor.fit(with_features.select(FEATURES, spec.target))
     return FittedRegression(
         spec,
         PipelineModel([*features.stages, forest]),
@@ -230,19 +251,18 @@ def score(model: LinearFit | FittedRegression, df: DataFrame) -> DataFrame:
 def _score_linear(model: LinearFit, rows: DataFrame) -> DataFrame:
     """Coefficients times numbers, plus the effect of each level from a small lookup table.
 
-    The lookup tables have one row for each slot, at most ``MAX_SLOTS``, so they are broadcast.
-    A missing or unseen category adds nothing.
+    The lookup tables have one row for each slot and a size that Spark knows, so it broadcasts them
+    unless there are very many. A missing or unseen category adds nothing.
     """
     prediction = F.lit(float(model.intercept))
     for i, field in enumerate(model.spec.categorical):
         levels = [s for s in model.slots if s.field == field]
-        assert len(levels) <= MAX_SLOTS
         effects = rows_to_frame(
             rows.sparkSession,
             [(s.category, float(model.coefficients[s.idx])) for s in levels],
             result_schema(**{f"__level{i}": T.StringType(), f"__effect{i}": T.DoubleType()}),
         )
-        rows = rows.join(F.broadcast(effects), F.col(field) == F.col(f"__level{i}"), "left")
+        rows = rows.join(effects, F.col(field) == F.col(f"__level{i}"), "left")
         prediction = prediction + F.coalesce(F.col(f"__effect{i}"), F.lit(0.0))
     for s in model.slots:
         if s.category is None:

@@ -5,30 +5,24 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations
-from math import prod
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import VECTOR_INFIX
-from ..sources import checkpointed
 from ..spec import FeatureSpec
 from .features import Slot, prepared
 from .products import (
     COMPILED_WIDTH,
     column_stats,
     compiled_sums,
-    listed_pairs,
+    pair_names,
     product_sums,
 )
 
-# Up to here the p x p matrices are small enough for one machine (32 MB for one fold).
-MAX_SLOTS = 2000
-# Combinations of all levels and folds that rows are summed up to; a task has more rows than this.
-MAX_CELLS = 100_000
-
 
 @dataclass(frozen=True)
 class Moments:
@@ -56,6 +50,8 @@ class DesignMoments:
 
     slots: tuple[Slot, ...]
     by_fold: Mapping[int, Moments]
+    # Categories that every row has, by whole counts.
+    never_missing: frozenset[str] = frozenset()
 
     def total(self, without: int | None = None) -> Moments:
         """Moments of all rows, or of all rows outside one fold."""
@@ -73,31 +69,34 @@ class LevelSum(NamedTuple):
     sums: tuple[float | None, ...]
 
 
-def _level_sums(rows: DataFrame, spec: FeatureSpec, fold: str) -> list[LevelSum]:
-    """Counts by level and by pair of levels, and the sums of all measures by level.
+def _grouped_sums(
+    rows: DataFrame, spec: FeatureSpec, fold: str, products: Sequence[Column]
+) -> pa.Table:
+    """One scan: ``products`` by fold, by fold and level, and by fold and pair of levels.
 
-    ``rows`` hold a count n and measure sums s<i>: data rows, or cells that were summed up before.
+    What reaches the driver, in columns, has a row for each fold and each level or pair of levels.
     """
     cats = list(spec.categorical)
-    names = [f"s{i}" for i in range(len(spec.measures))]
+    sets = [[fold, *some] for size in range(3) for some in combinations(cats, size)]
+    found = rows.groupingSets(sets, fold, *cats).agg(
+        *[F.grouping(c).alias(f"out{i}") for i, c in enumerate(cats)], *products
+    )
+    return found.toArrow()
 
-    def by_sets(size: int, aggregates: list[Column]) -> DataFrame:
-        sets = [[fold, *some] for some in combinations(cats, size)]
-        return rows.groupingSets(sets, fold, *cats).agg(
-            *[F.grouping(c).alias(f"out{i}") for i, c in enumerate(cats)], *aggregates
-        )
 
-    counts = [F.sum("n").alias("n")]
-    found = by_sets(1, counts + [F.sum(s).alias(s) for s in names])
-    if len(cats) > 1:
-        # Pairs need no sums of measures, which makes the wider grouping sets the cheaper ones.
-        found = found.unionByName(by_sets(2, counts), allowMissingColumns=True)
+def _level_sums(table: pa.Table, spec: FeatureSpec, fold: str) -> list[LevelSum]:
+    cats = list(spec.categorical)
+    columns = {c: table.column(c).to_pylist() for c in table.column_names}
+    sums = [columns[f"s{i}"] for i in range(len(spec.measures))]
     listed = []
-    for r in found.collect():
-        levels = tuple((i, r[c]) for i, c in enumerate(cats) if r[f"out{i}"] == 0)
+    for k in range(table.num_rows):
+        levels = tuple(
+            (i, columns[c][k]) for i, c in enumerate(cats) if columns[f"out{i}"][k] == 0
+        )
         # A missing category has no slot.
-        if all(level is not None for _, level in levels):
-            listed.append(LevelSum(r[fold], r["n"], levels, tuple(r[s] for s in names)))
+        if levels and all(level is not None for _, level in levels):
+            of_measures = tuple(s[k] for s in sums)
+            listed.append(LevelSum(columns[fold][k], columns["n"][k], levels, of_measures))
     return listed
 
 
@@ -113,42 +112,23 @@ def _slots_of(levels: Mapping[tuple[int, str], int], spec: FeatureSpec) -> tuple
 
 def design_moments(
     df: DataFrame, spec: FeatureSpec, fold: str | None = None, invalid: str = "error"
-) -> DesignMoments | None:
-    """Moments of the whole feature design (one fold without ``fold``), in two or three passes.
-
-    The first pass gives means and the rough number of levels. Where all combinations of levels
-    are few, the second sums up everything by combination, and the rest works on these sums. Else
-    one pass sums products by fold, and one sums up single levels and pairs of levels.
+) -> DesignMoments:
+    """Moments of the whole feature design (one fold without ``fold``), in two passes.
 
-    None if the design has more than ``MAX_SLOTS`` slots. What reaches the driver is bounded by
-    folds x slots².
+    The first gives means, the second sums products by fold, by level and by pair of levels. Designs
+    with more than ``COMPILED_WIDTH`` measures take one more pass, as their products are summed by
+    blocks. The driver holds folds x slots² numbers, so this is for designs of some thousand slots.
     """
     cats, measures = list(spec.categorical), list(spec.measures)
     key = fold or "__fold"
     rows = prepared(df if fold else df.withColumn(key, F.lit(0)), spec, invalid).select(
         key, *cats, *[F.col(c).cast("double").alias(c) for c in measures]
     )
-    stats = column_stats(rows, [*measures, key], cats)
-    if sum(stats.distinct[c] for c in cats) + len(spec.numeric) > MAX_SLOTS:
-        return None
-    cells = prod(1 + stats.distinct[c] for c in cats) * (1 + int(stats.high[key] or 0))
-    level_sums: list[LevelSum] = []
-    if cats and cells <= MAX_CELLS and len(measures) <= COMPILED_WIDTH:
-        combined = checkpointed(
-            rows.groupBy(key, *cats).agg(*compiled_sums(measures, stats.mean))
-        )
-        sums = [c for c in combined.columns if c not in (key, *cats)]
-        by_fold = combined.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums])
-        products = listed_pairs(by_fold, len(measures), [key])
-        level_sums = _level_sums(combined, spec, key)
-    else:
-        products = product_sums(rows, measures, stats, by=key)
-        if cats:
-            centred = [
-                (F.col(c) - F.lit(stats.mean[c])).alias(f"s{i}") for i, c in enumerate(measures)
-            ]
-            one_each = rows.select(key, *cats, F.lit(1).cast("bigint").alias("n"), *centred)
-            level_sums = _level_sums(one_each, spec, key)
+    stats = column_stats(rows, measures)
+    compiled = len(measures) <= COMPILED_WIDTH
+    sums = compiled_sums(measures, stats.mean, products=compiled)
+    grouped = _grouped_sums(rows, spec, key, sums)
+    level_sums = _level_sums(grouped, spec, key)
 
     counts: dict[tuple[int, str], int] = {}
     for r in level_sums:
@@ -161,7 +141,10 @@ def design_moments(
     at = np.array([place[c] for c in spec.numeric] + [p])
 
     found: dict[int, Moments] = {}
-    for r in products.collect():
+    pairs = _pairs_by_fold(grouped, spec, key) if compiled else product_sums(
+        rows, measures, stats, by=key
+    ).collect()
+    for r in pairs:
         m = found.setdefault(r[key], Moments(r["n"], np.zeros(p + 1), np.zeros((p + 1, p + 1))))
         i, j = at[r["i"]], at[r["j"]]
         m.mean[i], m.mean[j] = r["sx"] / r["n"], r["sy"] / r["n"]
@@ -169,7 +152,29 @@ def design_moments(
     _add_levels(found, level_sums, spec, slots, at)
     for m in found.values():
         m.mean[at] += np.array([stats.mean[c] for c in measures])
-    return DesignMoments(slots, found)
+    present = [sum(n for (f, _), n in counts.items() if f == i) for i in range(len(cats))]
+    never_missing = frozenset(c for c, n in zip(cats, present) if n == stats.rows)
+    return DesignMoments(slots, found, never_missing)
+
+
+def _pairs_by_fold(grouped: pa.Table, spec: FeatureSpec, fold: str) -> list[dict]:
+    """Sums of products of the rows of each fold, a dictionary for each pair of measures."""
+    outs = [f"out{i}" for i in range(len(spec.categorical))]
+    whole = [r for r in grouped.to_pylist() if all(r[o] == 1 for o in outs)]
+    return [
+        {
+            fold: r[fold],
+            "i": i,
+            "j": j,
+            "n": float(r["n"]),
+            "sx": r[f"s{i}"],
+            "sy": r[f"s{j}"],
+            "sxy": r[f"p{i}_{j}"],
+        }
+        for r in whole
+        for i, j in pair_names(len(spec.measures))
+        if r["n"]
+    ]
 
 
 def _add_levels(
@@ -210,7 +215,8 @@ def ridge_path(train: Moments, grid: tuple[float, ...]) -> list[tuple[float, np.
     """
     cov = train.scatter / train.n
     sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
-    live = sd[:-1] > 1e-10 * np.maximum(1.0, np.abs(train.mean[:-1]))
+    # Sums around the mean carry rounding of this size, whatever the unit of the column.
+    live = sd[:-1] > 1e-13 * np.abs(train.mean[:-1])
     sx, sy = sd[:-1][live], sd[-1]
     beta0 = np.zeros(len(sd) - 1)
     if sy == 0.0 or not live.any():

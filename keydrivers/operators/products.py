@@ -24,19 +24,15 @@ class ColumnStats:
     rows: int
     count: Mapping[str, int]
     mean: Mapping[str, float]
-    high: Mapping[str, float | None]
     flat: frozenset[str]
-    # Rough number of distinct values of the columns that were asked for.
-    distinct: Mapping[str, int]
 
     @property
     def complete(self) -> bool:
         return all(c == self.rows for c in self.count.values())
 
 
-def column_stats(df: DataFrame, cols: Sequence[str], distinct: Sequence[str] = ()) -> ColumnStats:
+def column_stats(df: DataFrame, cols: Sequence[str]) -> ColumnStats:
     row = df.agg(
-        *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(distinct)],
         F.count("*").alias("rows"),
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
         *[F.avg(c).alias(f"mean{i}") for i, c in enumerate(cols)],
@@ -47,9 +43,7 @@ def column_stats(df: DataFrame, cols: Sequence[str], distinct: Sequence[str] = (
         rows=row["rows"],
         count={c: row[f"n{i}"] for i, c in enumerate(cols)},
         mean={c: float(row[f"mean{i}"] or 0.0) for i, c in enumerate(cols)},
-        high={c: row[f"hi{i}"] for i, c in enumerate(cols)},
         flat=frozenset(c for i, c in enumerate(cols) if row[f"lo{i}"] == row[f"hi{i}"]),
-        distinct={c: row[f"d{i}"] for i, c in enumerate(distinct)},
     )
 
 

@@ -19,6 +19,8 @@ def category_cardinality(df: DataFrame, cols: Iterable[str], approx: bool = Fals
     keeps one fixed-size sketch for each column and shuffles nothing but these.
     """
     cols = list(cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, n_values bigint")
     counter = F.approx_count_distinct if approx else F.count_distinct
     counted = df.agg(
         *[counter(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)],

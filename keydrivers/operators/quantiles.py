@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..sources import checkpointed
 
-# A group of up to this many rows may be ranked inside one task.
+# So many rows of an interval may be ranked inside one task.
 ROWS_IN_ONE_TASK = 1_000_000
+LARGEST = 1.7976931348623157e308
 # Parts that each pass cuts an interval into.
 CELLS = 4096
 # Rows with one entry for each group (about 100 bytes each) that may be sent to every executor.
@@ -116,12 +117,27 @@ def _pick(cells: DataFrame, intervals: DataFrame) -> DataFrame:
 def _narrowed(
     values: DataFrame, intervals: DataFrame, size: Row, sizes: DataFrame | None
 ) -> DataFrame:
-    """One pass: count rows by equal parts of each interval and keep the parts with a rank."""
-    width = F.col("hi") - F.col("lo")
-    part = F.coalesce(F.try_divide((F.col("v") - F.col("lo")) * CELLS, width), F.lit(0.0))
+    """One pass: count rows by equal parts of each interval and keep the parts with a rank.
+
+    Infinities have parts of their own. The ends of an interval are values, and fall into different
+    parts, so every pass makes it smaller.
+    """
+
+    def finite(c: str) -> Column:
+        return F.greatest(F.least(F.col(c), F.lit(LARGEST)), F.lit(-LARGEST))
+
+    width = finite("hi") - finite("lo")
+    # Of an interval that is too wide for a number, take halves.
+    halves = (finite("v") / 2 - finite("lo") / 2) / (finite("hi") / 2 - finite("lo") / 2)
+    share = F.when(width > LARGEST, halves).otherwise((finite("v") - finite("lo")) / width)
+    part = (
+        F.when(F.col("v") < -LARGEST, -1)
+        .when(F.col("v") > LARGEST, CELLS + 1)
+        .otherwise(F.when(width > 0, F.floor(share * CELLS)).otherwise(0))
+    )
     cells = (
         _within(values, intervals, size, sizes)
-        .groupBy("g", "lo", "below", F.floor(part).alias("part"))
+        .groupBy("g", "lo", "below", part.alias("part"))
         .agg(F.count("*").alias("n"), F.min("v").alias("c_lo"), F.max("v").alias("c_hi"))
     )
     return _pick(cells, intervals)
@@ -139,17 +155,14 @@ def _order_statistics(
     Every pass narrows the interval around a rank to one of ``CELLS`` parts, set to the least and
     greatest value found there, until few enough rows are left to list their distinct values.
     """
-    before = None
     while True:
         size = intervals.agg(
             F.count("*").alias("n"),
             F.lit(most_ranks).alias("ranks"),
             F.max(F.when(F.col("lo") < F.col("hi"), F.col("inside"))).alias("most"),
         ).first()
-        # An interval whose width is no finite number cannot be cut; its values are listed.
-        if size["most"] is None or size["most"] <= rows_in_one_task or size == before:
+        if size["most"] is None or size["most"] <= rows_in_one_task:
             break
-        before = size
         intervals = checkpointed(_narrowed(values, intervals, size, sizes))
     done = intervals.where(F.col("lo") == F.col("hi")).select(
         "g", F.explode("ranks").alias("rank"), F.col("lo").alias("v")
@@ -178,15 +191,8 @@ def _ranks(p: float) -> tuple[Column, Column]:
 def _interpolated(p: float) -> Column:
     lower, upper = _ranks(p)
     at, after = F.col("at_rank")[lower], F.col("at_rank")[upper]
-    return at + (after - at) * (F.lit(float(p)) * (F.col("n") - 1) - lower)
-
-
-def _same_groups(bounds: DataFrame, cuts: DataFrame, grouped: bool) -> DataFrame:
-    """The columns of two tables that have one row for each group."""
-    if grouped:
-        return bounds.join(cuts, "g")
-    both = bounds.unionByName(cuts, allowMissingColumns=True)
-    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
+    between = at + (after - at) * (F.lit(float(p)) * (F.col("n") - 1) - lower)
+    return F.when(at == after, at).otherwise(between)
 
 
 def quantiles_by(
@@ -203,9 +209,9 @@ def quantiles_by(
     """Columns ``by``, further aggregates ``extra``, and one column for each quantile.
 
     Quantiles are linear between neighbouring values; nulls and NaN are left out. ``approx``
-    keeps one bounded sketch for each group. Exact quantiles of small groups come from one more
-    aggregate. If any group is larger, all are narrowed down pass by pass, where a pass shuffles
-    counts only, so that a group with a third of all rows is as good as any other.
+    keeps one bounded sketch for each group. Exact quantiles are narrowed down pass by pass, where a
+    pass shuffles counts only, so that a group with a third of all rows is as good as any other, until
+    at most ``rows_in_one_task`` rows are left around a rank, whose distinct values are listed.
     """
     by, extra = list(by), list(extra)
     v = seen_value(value)
@@ -223,19 +229,10 @@ def quantiles_by(
         .agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), *extras)
         .select(key, "n", "lo", "hi", *(["extra"] if extra else []))
     )
-    size = bounds.agg(F.count("*").alias("groups"), F.max("n").alias("largest")).first()
+    groups = bounds.count()
     sizes = bounds.select("g", "n")
     leading = (["g.*"] if by else []) + (["extra.*"] if extra else [])
 
-    if size["largest"] is None or size["largest"] <= rows_in_one_task:
-        cuts = (
-            df.groupBy(*by)
-            .agg(*[F.percentile(v, p).alias(a) for p, a in zip(probs, names)])
-            .select(key, *names)
-        )
-        table = _same_groups(bounds, cuts, bool(by)) if extra else cuts
-        return Quantiles(table.select(*leading, *names), size["groups"], sizes)
-
     values = df.select(key, v.alias("v")).where(F.col("v").isNotNull())
     wanted = bounds.where(F.col("n") > 0).select(
         "g",
@@ -255,4 +252,4 @@ def quantiles_by(
     table = bounds.join(found, "g", "left").select(
         *leading, *[_interpolated(p).alias(a) for p, a in zip(probs, names)]
     )
-    return Quantiles(table, size["groups"], sizes)
+    return Quantiles(table, groups, sizes)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark import inheritable_thread_target
+from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +20,11 @@ from pyspark.sql import types as T
 from ..sources import kept, result_schema, rows_to_frame
 from ..spec import FeatureSpec
 from .features import FEATURES, feature_pipeline, feature_slots, prepared
+from .metrics import regression_metrics
 from .models import (
-    PREDICTION,
     FittedRegression,
     LinearFit,
+    fit_linear_pipeline,
     forest_regressor,
     linear_from_moments,
     linear_regressor,
@@ -36,7 +39,13 @@ FOLDS = 5
 
 _TEXT, _NUMBER = T.StringType(), T.DoubleType()
 _CV_SCHEMA = result_schema(
-    model=_TEXT, param=_TEXT, value=_NUMBER, metric=_TEXT, mean=_NUMBER, std=_NUMBER
+    model=_TEXT,
+    point=T.IntegerType(),
+    param=_TEXT,
+    value=_NUMBER,
+    metric=_TEXT,
+    mean=_NUMBER,
+    std=_NUMBER,
 )
 _BEST_SCHEMA = result_schema(model=_TEXT, param=_TEXT, value=_NUMBER)
 
@@ -84,6 +93,7 @@ def _best(points: Sequence[CvPoint]) -> CvPoint:
 def _summarised(
     params: Mapping[str, float], metric: str, scores: Sequence[float | None]
 ) -> CvPoint:
+    """Folds without a score (a constant target has no R²) are left out."""
     known = [s for s in scores if s is not None]
     mean = float(np.mean(known)) if known else float("nan")
     std = float(np.std(known)) if known else float("nan")
@@ -98,27 +108,30 @@ def ridge_cv(
     metrics: Sequence[str] = ("r2",),
     model: str = "ridge",
     invalid: str = "error",
+    method: str = "moments",
+    parallelism: int = 2,
 ) -> CvResult:
-    """Cross-validate ridge penalties from the moments of each fold.
+    """Cross-validate ridge penalties; the first of ``metrics`` picks the best one.
 
-    The training moments of a fold are the sum over all other folds, and the best model comes
-    from the sum over all. So two or three passes over the data serve any number of penalties and
-    folds. The result is that of ``CrossValidator`` with the same fold column, where the feature
-    stages were fitted once on all rows. The first of ``metrics`` ('r2', 'rmse') picks the best
-    penalty. Designs with more than ``MAX_SLOTS`` slots go through ``CrossValidator``.
+    ``method="moments"``: the training moments of a fold are the sum over all other folds, and the
+    best model comes from the sum over all, so two passes over the data serve any number of penalties
+    and folds. Metrics are 'r2' and 'rmse'; the driver holds folds x slots² numbers.
+    ``method="pipeline"``: one Spark fit for each fold and penalty, for designs of very many slots.
+    The feature stages are fitted once on all rows in both.
     """
-    unknown = set(metrics) - {"r2", "rmse"}
-    if unknown:
-        raise ValueError(f"metrics from moments are 'r2' and 'rmse', not {sorted(unknown)}")
+    if method not in ("moments", "pipeline"):
+        raise ValueError(f"method must be 'moments' or 'pipeline', not {method!r}")
     if invalid == "keep":
         raise ValueError("a linear model has no use for missing numbers: 'error' or 'skip'")
     grid = tuple(grid)
-    moments = design_moments(df.select(*spec.columns, fold), spec, fold, invalid)
-    if moments is None:
-        regressor = linear_regressor(spec)
+    if method == "pipeline":
         return cross_validate(
-            df, spec, regressor, {"regParam": grid}, fold, metrics[0], model, 1, invalid
+            df, spec, linear_regressor(spec), {"regParam": grid}, fold, metrics, model, parallelism, invalid
         )
+    unknown = set(metrics) - {"r2", "rmse"}
+    if unknown:
+        raise ValueError(f"metrics from moments are 'r2' and 'rmse', not {sorted(unknown)}")
+    moments = design_moments(df.select(*spec.columns, fold), spec, fold, invalid)
     scores = {name: [[] for _ in grid] for name in ("r2", "rmse")}
     for held_out, test in sorted(moments.by_fold.items()):
         for i, (intercept, beta) in enumerate(ridge_path(moments.total(held_out), grid)):
@@ -131,9 +144,7 @@ def ridge_cv(
         for i, penalty in enumerate(grid)
     )
     best = _best([p for p in points if p.metric == metrics[0]]).params
-    fitted = linear_from_moments(
-        moments.total(), spec, moments.slots, best["regParam"], invalid
-    )
+    fitted = linear_from_moments(moments, spec, best["regParam"], invalid)
     return CvResult(model, points, best, fitted)
 
 
@@ -143,44 +154,49 @@ def cross_validate(
     regressor: Estimator,
     grid: Mapping[str, Sequence[float]],
     fold: str = FOLD,
-    metric: str = "r2",
+    metrics: Sequence[str] = ("r2",),
     model: str = "model",
     parallelism: int = 2,
     invalid: str = "error",
 ) -> CvResult:
     """Cross-validate any regressor over a grid, then refit the best point on all rows.
 
-    The feature stages are fitted once and the vectors are kept; only the regressor is fitted
-    again. ``fold`` holds fold numbers from 0, as ``assign_folds`` gives.
+    The feature stages are fitted once and the vectors are kept; only the regressor is fitted again,
+    ``parallelism`` fits at a time. One aggregate gives all ``metrics`` of a fit; the first picks the
+    best point. ``fold`` holds fold numbers, as ``assign_folds`` gives. Linear regressors are refitted
+    by ``fit_linear``'s pipeline, so that without a penalty their levels are centred too.
     """
     rows = prepared(df.select(*spec.columns, fold), spec, invalid)
     features = feature_pipeline(spec, invalid).fit(rows)
     with_features = features.transform(rows)
     slots = tuple(feature_slots(with_features, spec))
+    maps = param_grid(regressor, grid)
     with kept(with_features.select(FEATURES, spec.target, fold)) as vectors:
-        validator = CrossValidator(
-            estimator=regressor,
-            estimatorParamMaps=param_grid(regressor, grid),
-            evaluator=RegressionEvaluator(
-                labelCol=spec.target, predictionCol=PREDICTION, metricName=metric
-            ),
-            numFolds=vectors.agg(F.max(fold)).first()[0] + 1,
-            foldCol=fold,
-            parallelism=parallelism,
+        folds = sorted(r[0] for r in vectors.select(fold).distinct().collect())
+
+        def fit_and_score(task: tuple[int, int]) -> dict[str, float | None]:
+            held_out, i = task
+            fitted = regressor.fit(vectors.where(F.col(fold) != held_out), maps[i])
+            scored = fitted.transform(vectors.where(F.col(fold) == held_out))
+            return regression_metrics(scored, spec.target).first().asDict()
+
+        tasks = list(product(folds, range(len(maps))))
+        with ThreadPool(parallelism) as pool:
+            found = dict(zip(tasks, pool.map(inheritable_thread_target(rows.sparkSession)(fit_and_score), tasks)))
+        points = tuple(
+            _summarised(params, metric, [found[f, i][metric] for f in folds])
+            for metric in metrics
+            for i, params in enumerate(combinations_of(grid))
         )
-        cv = validator.fit(vectors)
-    points = tuple(
-        CvPoint(params, metric, float(mean), float(std))
-        for params, mean, std in zip(combinations_of(grid), cv.avgMetrics, cv.stdMetrics)
-    )
-    fitted = FittedRegression(
-        spec,
-        PipelineModel([*features.stages, cv.bestModel]),
-        slots,
-        tuple(s.idx for s in slots),
-        invalid,
-    )
-    return CvResult(model, points, _best(points).params, fitted)
+        best = _best([p for p in points if p.metric == metrics[0]]).params
+        if isinstance(regressor, LinearRegression):
+            fitted = fit_linear_pipeline(df, spec, best["regParam"], invalid)
+        else:
+            chosen = maps[combinations_of(grid).index(best)]
+            stages = [*features.stages, regressor.fit(vectors, chosen)]
+            used = tuple(s.idx for s in slots)
+            fitted = FittedRegression(spec, PipelineModel(stages), slots, used, invalid)
+    return CvResult(model, points, best, fitted)
 
 
 def forest_cv(
@@ -188,30 +204,26 @@ def forest_cv(
     spec: FeatureSpec,
     grid: Mapping[str, Sequence[float]] | None = None,
     fold: str = FOLD,
-    metric: str = "r2",
+    metrics: Sequence[str] = ("r2",),
     parallelism: int = 2,
     invalid: str = "error",
     model: str = "forest",
 ) -> CvResult:
     """Cross-validate a random forest."""
     return cross_validate(
-        df, spec, forest_regressor(spec), grid or FOREST_GRID, fold, metric, model, parallelism, invalid
+        df, spec, forest_regressor(spec), grid or FOREST_GRID, fold, metrics, model, parallelism, invalid
     )
 
 
 def cv_report(spark: SparkSession, result: CvResult) -> DataFrame:
-    """(model, param, value, metric, mean, std): one row for each grid point and metric.
-
-    Grids over several parameters put the values into ``param`` and leave ``value`` null.
-    """
+    """(model, point, param, value, metric, mean, std): one row for each parameter of each grid point
+    and metric; points are numbered from 0 in the order of the grid."""
+    numbers: dict[tuple, int] = {}
     rows = []
     for p in result.points:
-        if len(p.params) == 1:
-            ((param, value),) = p.params.items()
-            value = float(value)
-        else:
-            param, value = ", ".join(f"{k}={v}" for k, v in p.params.items()), None
-        rows.append((result.model, param, value, p.metric, p.mean, p.std))
+        point = numbers.setdefault(tuple(p.params.items()), len(numbers))
+        for param, value in p.params.items():
+            rows.append((result.model, point, param, float(value), p.metric, p.mean, p.std))
     return rows_to_frame(spark, rows, _CV_SCHEMA)
 
 

@@ -53,6 +53,9 @@ def analyse_drivers(
         ridge_specs["strong"] = strong
     used = list(dict.fromkeys([*spec.columns, *(strong.columns if strong else ())]))
     keys = list(keys or used)
+    reserved = {"split", "fold"} & {*used, *keys}
+    if reserved:
+        raise ValueError(f"columns with reserved names: {sorted(reserved)}")
     marked = ops.mark_split(df.select(*dict.fromkeys([*keys, *used])), keys)
     marked = ops.assign_folds(marked, keys, folds)
     with kept(marked) as rows:
@@ -64,7 +67,7 @@ def analyse_drivers(
         results["forest"] = ops.forest_cv(train, spec, forest_grid, parallelism=parallelism)
         models = {name: r.fitted for name, r in results.items()}
         coefficients = {
-            name: ops.coefficient_table(spark, models[name], train, intercept=True)
+            name: ops.coefficient_table(spark, models[name], intercept=True)
             for name in ridge_specs
         }
     return DriverAnalysis(

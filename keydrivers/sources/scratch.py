@@ -5,7 +5,6 @@ The cluster names that folder in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,12 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root and context.master.startswith("local"):
-        # All executors are this one process, so any folder is shared.
-        root = tempfile.mkdtemp(prefix="keydrivers-")
-        context.setCheckpointDir(root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
     return root

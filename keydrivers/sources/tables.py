@@ -8,9 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# A single output file is for result tables. Anything longer stays split by partition.
-SINGLE_FILE_ROWS = 1_000_000
-
 _SCHEMA_REPORT = T.StructType(
     [
         T.StructField("ordinal", T.IntegerType(), False),
@@ -54,12 +51,10 @@ def write_table(
 ) -> str:
     """Write one table and return its path.
 
-    ``single_file`` is for result tables that an outside chart tool picks up; the row count is
-    checked first, because one file means one task.
+    ``single_file`` is for result tables that an outside chart tool picks up: one file means one
+    task, whatever the number of rows.
     """
     if single_file:
-        if df.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
-            raise ValueError(f"single_file is for tables of up to {SINGLE_FILE_ROWS} rows")
         # Unlike coalesce(1), this keeps the work before the write parallel.
         df = df.repartition(1)
     writer = df.write.mode(mode).format(fmt)

@@ -92,13 +92,10 @@ def test_schema_report(vehicles):
     assert found[0]["type"] == "int"
 
 
-def test_single_file_and_its_limit(spark, vehicles, tmp_path, monkeypatch):
+def test_single_file(spark, vehicles, tmp_path):
     path = write_table(vehicles, str(tmp_path / "one"), single_file=True)
     assert len(list((tmp_path / "one").glob("part-*.csv"))) == 1
     assert read_table(spark, path, vehicles.schema).count() == vehicles.count()
-    monkeypatch.setattr("keydrivers.sources.tables.SINGLE_FILE_ROWS", 10)
-    with pytest.raises(ValueError, match="single_file"):
-        write_table(vehicles, path, single_file=True)
 
 
 @pytest.mark.parametrize(

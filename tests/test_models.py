@@ -62,9 +62,7 @@ def test_common_slope_with_own_level_by_group(orders):
 
 
 @pytest.mark.parametrize("penalty", [0.0, 20_000.0])
-@pytest.mark.parametrize("cells", [100_000, 0], ids=["cells", "rows"])
-def test_moments_and_pipeline_give_the_same_model(orders, penalty, cells, monkeypatch):
-    monkeypatch.setattr("keydrivers.operators.moments.MAX_CELLS", cells)
+def test_moments_and_pipeline_give_the_same_model(orders, penalty):
     holes = orders.withColumn(
         "c_mktsegment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
     )
@@ -73,7 +71,7 @@ def test_moments_and_pipeline_give_the_same_model(orders, penalty, cells, monkey
     assert ours.slots == theirs.slots
     spark = orders.sparkSession
     a = ops.coefficient_table(spark, ours, intercept=True).orderBy("feature").collect()
-    b = ops.coefficient_table(spark, theirs, holes, intercept=True).orderBy("feature").collect()
+    b = ops.coefficient_table(spark, theirs, intercept=True).orderBy("feature").collect()
     for x, y in zip(a, b):
         assert x["coefficient"] == pytest.approx(y["coefficient"], rel=1e-6, abs=1e-3)
         if x["feature"] != INTERCEPT:
@@ -97,9 +95,38 @@ def test_wide_design_gives_the_same_with_and_without_vectors(orders):
     assert ours == pytest.approx(theirs, rel=1e-6, abs=1e-4)
 
 
-def test_too_many_levels_go_through_the_pipeline(orders, monkeypatch):
-    monkeypatch.setattr("keydrivers.operators.moments.MAX_SLOTS", 3)
-    assert isinstance(ops.fit_linear(orders, PRIORITY_SPEC), ops.FittedRegression)
+@pytest.mark.parametrize("levels", [2_001, 2_100])
+def test_many_levels(spark, levels):
+    """The slope is exact within levels, and each level has its own effect."""
+    rows = spark.range(4 * levels).select(
+        (F.col("id") % levels).cast("string").alias("c"),
+        (F.col("id") % 11).cast("double").alias("x"),
+        ((F.col("id") % levels) * 0.5 + (F.col("id") % 11) * 3.0).alias("y"),
+    )
+    spec = FeatureSpec(("x",), ("c",), "y")
+    model = ops.fit_linear(rows, spec)
+    table = ops.coefficient_table(spark, model).toPandas().set_index("feature")
+    assert len(table) == levels + 1
+    assert table.coefficient["x"] == pytest.approx(3.0)
+    assert table.coefficient["c_vec_10"] - table.coefficient["c_vec_0"] == pytest.approx(5.0)
+    assert table.std_coefficient.notna().all()
+    scored = ops.score(model, rows)
+    assert scored.agg(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 1e-6
+
+
+def test_small_units_keep_their_coefficient(spark):
+    rows = spark.range(500).select(
+        (F.rand(1) * 1e-11).alias("x"), F.rand(2).alias("z")
+    ).withColumn("y", F.col("x") * 3e11 + F.col("z"))
+    model = ops.fit_linear(rows.persist(), FeatureSpec(("x", "z"), (), "y"))
+    assert model.coefficients == pytest.approx([3e11, 1.0], rel=1e-6)
+
+
+def test_a_category_called_empty_is_not_the_empty_text(spark):
+    rows = spark.createDataFrame([("", 1.0), ("(empty)", 2.0), ("((empty))", 3.0)] * 5, "c string, y double")
+    model = ops.fit_linear(rows, FeatureSpec((), ("c",), "y"), 0.0)
+    assert sorted(s.category for s in model.slots) == ["(((empty)))", "((empty))", "(empty)"]
+    assert {(r.c, round(r.prediction, 6)) for r in ops.score(model, rows).collect()} == {("", 1.0), ("(empty)", 2.0), ("((empty))", 3.0)}
 
 
 def test_unpenalised_fit_is_one_solve_not_many_iterations(orders):
@@ -144,7 +171,7 @@ def test_norm_of_standardised_coefficients_falls_with_the_penalty(orders):
     norms = []
     for penalty in (0.0, 20_000.0, 200_000.0):
         model = ops.fit_linear(orders, NUMERIC_SPEC, penalty)
-        table = ops.coefficient_table(orders.sparkSession, model, orders)
+        table = ops.coefficient_table(orders.sparkSession, model)
         norms.append(sum(r["std_coefficient"] ** 2 for r in table.collect()))
     assert norms == sorted(norms, reverse=True)
 
@@ -171,7 +198,7 @@ def test_fitted_pipeline_can_be_saved(spark, vehicles, tmp_path):
 
 
 def test_coefficients_rank_planted_effects(spark, vehicles):
-    table = ops.coefficient_table(spark, ops.fit_linear(vehicles, STRONG_SPEC), vehicles, intercept=True)
+    table = ops.coefficient_table(spark, ops.fit_linear(vehicles, STRONG_SPEC), intercept=True)
     rows = {r["feature"]: r for r in table.collect()}
     assert INTERCEPT in rows
     best = max(SLOPES, key=SLOPES.get)

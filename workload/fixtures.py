@@ -16,6 +16,7 @@ NUMERIC_SPEC = FeatureSpec(numeric=ORDER_SPEC.numeric, target="target")
 PRIORITY_SPEC = FeatureSpec(
     numeric=("n_lines",), categorical=("o_orderpriority",), target="target"
 )
+TREE_SPEC = FeatureSpec(numeric=("n_lines", "order_year"), target="target")
 ORDER_KEY = ["o_orderkey"]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 TRAIN_SHARE = 0.8
 ORDER_NUMERIC = ("n_lines", "qty", "avg_disc", "order_year")
 ORDER_CATEGORICAL = ("o_orderpriority", "o_orderstatus", "c_mktsegment")
+# The grid of penalties.
 RIDGE_GRID = (0.0, 0.01, 0.05, 0.1, 0.3, 0.5, 0.7, 1.0, 1.5)
 
 
@@ -47,7 +48,7 @@ MARKED = f"""marked AS (
 
 def _normalized(text: str) -> str:
     dashed = f"regexp_replace(lower(trim({text})), '[^a-zA-Z0-9]+', '-', 'g')"
-    return f"regexp_replace({dashed}, '^-+|-+$', '', 'g')"
+    return f"trim({dashed}, '-')"
 
 
 def _correlations(cols: tuple[str, ...], table: str) -> str:
@@ -216,11 +217,12 @@ by_fold AS (
         select = f"""{held_out} SELECT '{name}' AS model, 'regParam' AS param, lam AS "value"
 FROM (SELECT lam, avg(r2) AS r2 FROM by_fold GROUP BY lam ORDER BY r2 DESC LIMIT 1)"""
     else:
+        point = "CAST(dense_rank() OVER (ORDER BY lam) - 1 AS INTEGER)"
         select = f"""{held_out}
-SELECT '{name}' AS model, 'regParam' AS param, lam AS "value", 'r2' AS metric,
+SELECT '{name}' AS model, {point} AS point, 'regParam' AS param, lam AS "value", 'r2' AS metric,
        round(avg(r2), 8) AS mean, round(stddev_pop(r2), 8) AS std FROM by_fold GROUP BY lam
 UNION ALL
-SELECT '{name}', 'regParam', lam, 'rmse', round(avg(rmse), 3), round(stddev_pop(rmse), 3)
+SELECT '{name}', {point}, 'regParam', lam, 'rmse', round(avg(rmse), 3), round(stddev_pop(rmse), 3)
 FROM by_fold GROUP BY lam"""
     return _fit(select, numeric, categorical, penalties, folds=5)
 
@@ -356,6 +358,58 @@ def _model_report(
     )
 
 
+def _best_splits(rows: str, name: str) -> str:
+    """CTE ``name``: for each node of ``rows`` the column and value whose split cuts variance most."""
+    side = "({q} / {n} - ({s} / {n}) * ({s} / {n}))".format
+    return f"""{name}_long AS (
+  SELECT node, 'n_lines' AS f, CAST(n_lines AS DOUBLE) AS v, target AS y FROM {rows}
+  UNION ALL SELECT node, 'order_year', order_year, target FROM {rows}),
+{name}_sums AS (
+  SELECT node, f, v, CAST(count(*) AS DOUBLE) AS n, sum(y) AS s, sum(y * y) AS q
+  FROM {name}_long GROUP BY node, f, v),
+{name}_cuts AS (
+  SELECT node, f, v, sum(n) OVER below AS nl, sum(s) OVER below AS sl, sum(q) OVER below AS ql,
+         sum(n) OVER whole AS nn, sum(s) OVER whole AS ss, sum(q) OVER whole AS qq
+  FROM {name}_sums
+  WINDOW below AS (PARTITION BY node, f ORDER BY v), whole AS (PARTITION BY node, f)),
+{name} AS (
+  SELECT node, arg_max(f, gain) AS f, arg_max(v, gain) AS t, max(gain) AS gain, max(nn) AS nn
+  FROM (SELECT node, f, v, nn,
+          {side(q="qq", s="ss", n="nn")} - nl / nn * {side(q="ql", s="sl", n="nl")}
+          - (nn - nl) / nn * {side(q="(qq - ql)", s="(ss - sl)", n="(nn - nl)")} AS gain
+        FROM {name}_cuts WHERE nl < nn) g
+  GROUP BY node)"""
+
+
+def _tree(select: str) -> str:
+    """A regression tree of depth 2; ``leaves`` has the rows with their prediction."""
+    value = "CASE {b}.f WHEN 'n_lines' THEN n_lines ELSE order_year END".format
+    return f"""WITH {ORDER_FEATURES}, {MARKED},
+root AS (SELECT *, 0 AS node FROM marked WHERE split = 'train'),
+{_best_splits("root", "first_cut")},
+halves AS (
+  SELECT m.*, CASE WHEN {value(b="b")} <= b.t THEN 1 ELSE 2 END AS node
+  FROM marked m CROSS JOIN first_cut b),
+below AS (SELECT * FROM halves WHERE split = 'train'),
+{_best_splits("below", "second_cut")},
+quarters AS (
+  SELECT h.*, CASE WHEN {value(b="b")} <= b.t THEN 1 ELSE 2 END AS leaf
+  FROM halves h JOIN second_cut b USING (node)),
+means AS (SELECT node, leaf, avg(target) AS prediction FROM quarters WHERE split = 'train' GROUP BY node, leaf),
+leaves AS (
+  SELECT o_orderkey, split, CAST(target AS DOUBLE) AS actual, prediction
+  FROM quarters JOIN means USING (node, leaf)),
+gains AS (
+  SELECT f, sum(gain * nn) AS g FROM (SELECT * FROM first_cut UNION ALL SELECT * FROM second_cut) c GROUP BY f),
+importances AS (
+  SELECT feature, coalesce(g, 0) / (SELECT sum(g) FROM gains) AS importance
+  FROM (VALUES ('n_lines'), ('order_year')) v(feature) LEFT JOIN gains ON f = feature)
+{select}"""
+
+
+TREE_IMPORTANCE = """SELECT feature, feature AS field, round(importance, 6) AS importance,
+  CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM importances"""
+
 MEASURES = (*ORDER_NUMERIC, "target")
 STRONG_GRID = (0.0, 5000.0, 20000.0, 100000.0)
 LINE_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
@@ -367,16 +421,16 @@ def oracle_queries() -> dict[str, str]:
     return {
         "schema_of_lineitem": _describe("lineitem"),
         "csv_round_trip": "SELECT * FROM customer",
-        "csv_inferred": "SELECT * FROM part",
-        "parquet_round_trip": "SELECT * EXCLUDE (o_orderdate) FROM orders",
+        "csv_inferred": "SELECT * REPLACE (CAST(p_partkey AS INTEGER) AS p_partkey) FROM part",
+        "parquet_round_trip": "SELECT * FROM orders",
         "correlation_csv": _order_query(_wide(MEASURES)),
         "coefficient_csv": _fit(
             "SELECT slot AS feature, round(b, 1) + 0.0 AS coefficient, round(abs(b), 1) AS abs_coefficient "
             "FROM coef",
             *FULL,
         ),
-        "renamed_columns": "SELECT c_custkey AS customer_id, c_mktsegment AS segment, "
-        "c_acctbal AS balance FROM customer",
+        "renamed_columns": "SELECT c_custkey AS customer_id, c_name, c_nationkey, "
+        "c_acctbal AS balance, c_mktsegment AS segment FROM customer",
         "dropped_columns": "SELECT s_suppkey, s_acctbal FROM supplier",
         "normalized_priorities": f"SELECT o_orderkey, {_normalized('o_orderpriority')} "
         "AS o_orderpriority FROM orders",
@@ -467,7 +521,7 @@ FROM lineitem""",
   UNION ALL SELECT p_brand, p_brand FROM part)
 SELECT slot, field, count(*) AS n FROM every GROUP BY slot, field""",
         "priority_residuals": _residuals(*PRIORITY, 1),
-        "full_residuals": _residuals(*FULL, 0),
+        "full_residuals": _residuals(*FULL, 1),
         "metrics_by_priority": _fit(
             _metrics(
                 f"SELECT * FROM ({_predictions(*PRIORITY)}) p WHERE split = 'test'",
@@ -492,7 +546,52 @@ SELECT slot, field, count(*) AS n FROM every GROUP BY slot, field""",
         "ridge_cv_priority": _cv("priority", *PRIORITY, RIDGE_GRID),
         "ridge_cv_strong": _cv("strong", *FULL, STRONG_GRID),
         "best_penalty": _cv("strong", *FULL, STRONG_GRID, best=True),
-        "cv_by_refitting": "SELECT * FROM ("
-        + _cv("refitted", *PRIORITY, (0.5, 20000.0))
-        + ") c WHERE metric = 'r2'",
+        "cv_by_refitting": _cv("refitted", *PRIORITY, RIDGE_GRID),
+        "ridge_cv_full_pipeline": _cv("full", *FULL, RIDGE_GRID),
+        "tree_residuals": _tree(
+            "SELECT o_orderkey, split, actual, round(prediction, 2) + 0.0 AS prediction, "
+            "round(actual - prediction, 2) + 0.0 AS residual FROM leaves"
+        ),
+        "tree_metrics": _tree(
+            f"SELECT 'tree' AS model, * FROM ({_metrics('SELECT * FROM leaves', 'split')}) q"
+        ),
+        "tree_importance": _tree(TREE_IMPORTANCE),
+        "importance_csv": _tree(TREE_IMPORTANCE),
+        "tree_importance_by_field": _tree(
+            "SELECT feature AS field, round(importance, 6) AS importance FROM importances"
+        ),
+        "forest_properties": f"""WITH {ORDER_FEATURES}, {MARKED}
+SELECT 'rows ' || split AS name, CAST(count(*) AS DOUBLE) AS "value" FROM marked GROUP BY split
+UNION ALL SELECT unnest(['importance', 'importance of fields']), 1.0
+UNION ALL SELECT unnest(['slots n_lines', 'slots qty', 'slots avg_disc', 'slots order_year']), 1.0
+UNION ALL SELECT 'slots o_orderpriority', count(DISTINCT o_orderpriority) FROM marked WHERE split = 'train'
+UNION ALL SELECT 'slots o_orderstatus', count(DISTINCT o_orderstatus) FROM marked WHERE split = 'train'
+UNION ALL SELECT 'slots c_mktsegment', count(DISTINCT c_mktsegment) FROM marked WHERE split = 'train'""",
+        "small_unit_fit": f"""WITH {ORDER_FEATURES}, {MARKED},
+train AS (SELECT n_lines, target FROM marked WHERE split = 'train')
+SELECT 'tiny' AS feature, round(regr_slope(target, n_lines), 2) AS coefficient FROM train
+UNION ALL SELECT '(intercept)', round(regr_intercept(target, n_lines), 2) FROM train""",
+        "histogram_with_gaps": """WITH counted AS (
+  SELECT least(CAST(floor(l_quantity / 10) AS INTEGER) + 1, 6) AS bin, count(*) AS n
+  FROM lineitem WHERE l_linenumber NOT IN (2, 3) GROUP BY bin)
+SELECT CAST(e.bin AS INTEGER) AS bin, CAST((e.bin - 1) * 10 AS DOUBLE) AS lower,
+       CAST(e.bin * 10 AS DOUBLE) AS upper, coalesce(n, 0) AS n
+FROM (SELECT range AS bin FROM range(1, 7)) e LEFT JOIN counted USING (bin)""",
+        "correlation_with_gaps": """WITH pairs AS (
+  SELECT l_extendedprice AS x, l_extendedprice * l_discount AS y FROM lineitem WHERE l_linenumber % 2 = 0)
+SELECT 'x' AS a, 'y' AS b, round(corr(x, y), 6) AS r FROM pairs
+UNION ALL SELECT 'y', 'x', round(corr(x, y), 6) FROM pairs
+UNION ALL SELECT unnest(['x', 'y']), unnest(['x', 'y']), 1.0""",
+        "linear_many_levels": """WITH rows AS (
+  SELECT CAST(l_orderkey % 2200 AS VARCHAR) AS level, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+means AS (SELECT level, avg(x) AS mx, avg(y) AS my FROM rows GROUP BY level),
+slope AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS b FROM rows JOIN means USING (level)),
+effects AS (SELECT level, my - b * mx AS e, avg(my - b * mx) OVER () AS centre FROM means CROSS JOIN slope)
+SELECT 'level_vec_' || level AS feature, 'level' AS field, level AS category, round(e - centre, 2) + 0.0 AS coefficient
+FROM effects
+UNION ALL SELECT 'l_quantity', 'l_quantity', NULL, round(b, 2) + 0.0 FROM slope""",
+        "forest_cv": """SELECT 'forest' AS model, CAST(row_number() OVER (ORDER BY trees, depth) - 1 AS INTEGER)
+  AS point, unnest(['numTrees', 'maxDepth', 'minInfoGain']) AS param,
+  unnest([CAST(trees AS DOUBLE), depth, 0.01]) AS "value", 'r2' AS metric, true AS sound
+FROM (VALUES (25), (50)) t(trees) CROSS JOIN (VALUES (9), (12)) d(depth)""",
     }
