@@ -14,18 +14,24 @@ from ..spec import FeatureSpec
 
 @dataclass(frozen=True)
 class DriverAnalysis:
-    """Result tables of one analysis. None of them grows with the number of rows."""
+    """Result tables of one analysis. Only ``residuals``, by model, grow with the number of rows."""
 
     nulls: DataFrame
     cardinality: DataFrame
+    values: dict[str, DataFrame]
     correlation: DataFrame
     target_correlation: DataFrame
+    collinear: DataFrame
+    distribution: dict[str, DataFrame]
+    box: DataFrame
     cv: DataFrame
     best: DataFrame
     leaderboard: DataFrame
     coefficients: dict[str, DataFrame]
     rollups: dict[str, DataFrame]
     importance: DataFrame
+    field_importance: DataFrame
+    residuals: dict[str, DataFrame]
     models: dict[str, ops.LinearFit | ops.FittedRegression]
 
 
@@ -38,13 +44,15 @@ def analyse_drivers(
     forest_grid: Mapping[str, Sequence[float]] | None = None,
     folds: int = ops.FOLDS,
     parallelism: int = 2,
+    profiled: Sequence[str] = (),
 ) -> DriverAnalysis:
     """Tune, compare and explain ridge models and a forest on one table.
 
     Models: ``numeric`` (ridge on the numeric predictors), ``full`` (ridge on all predictors),
     ``strong`` (ridge on the predictors of ``strong``, if given) and ``forest`` (all predictors).
     Rows are split 80/20 by a hash of ``keys``; penalties and forest parameters are chosen by
-    cross-validation on the training part.
+    cross-validation on the training part. ``profiled`` are categories to count and list besides the
+    predictors. Collinear predictors are those that resemble the one closest to the target.
     """
     spark = df.sparkSession
     spec.validate(df)
@@ -70,11 +78,19 @@ def analyse_drivers(
             name: ops.coefficient_table(spark, models[name], intercept=True)
             for name in ridge_specs
         }
+    categories = list(dict.fromkeys([*spec.categorical, *profiled]))
+    ranked = ops.target_correlation(df, spec)
+    strongest = ranked.select("feature").first()
+    importance = ops.feature_importance(spark, models["forest"])
     return DriverAnalysis(
         nulls=ops.null_profile(df),
-        cardinality=ops.category_cardinality(df, spec.categorical),
+        cardinality=ops.category_cardinality(df, categories),
+        values={c: ops.category_values(df, c) for c in categories},
         correlation=ops.correlation_wide(df, spec.measures),
-        target_correlation=ops.target_correlation(df, spec),
+        target_correlation=ranked,
+        collinear=ops.collinear_with(df, spec, strongest[0]) if strongest else ranked.limit(0),
+        distribution={c: ops.distribution_by(df, c, spec.target) for c in spec.categorical},
+        box=ops.box_stats(df, spec.target),
         cv=ops.stacked(ops.cv_report(spark, r) for r in results.values()),
         best=ops.stacked(ops.best_params(spark, r) for r in results.values()),
         leaderboard=ops.leaderboard(
@@ -82,7 +98,12 @@ def analyse_drivers(
         ),
         coefficients=coefficients,
         rollups={name: ops.field_rollup(c) for name, c in coefficients.items()},
-        importance=ops.feature_importance(spark, models["forest"]),
+        importance=importance,
+        field_importance=ops.importance_by_field(importance),
+        residuals={
+            name: ops.residual_table(ops.score(model, marked), spec.target, (*keys, "split"))
+            for name, model in models.items()
+        },
         models=models,
     )
 

@@ -82,4 +82,4 @@ def load_vehicles(
 def analyse_vehicles(vehicles: DataFrame, **options) -> DriverAnalysis:
     """Drop the mostly empty rating columns, then analyse what drives emissions."""
     rows = ops.drop_sparse_columns(vehicles, keep=VEHICLE_SPEC.columns)
-    return analyse_drivers(rows, VEHICLE_SPEC, STRONG_SPEC, **options)
+    return analyse_drivers(rows, VEHICLE_SPEC, STRONG_SPEC, profiled=CATEGORIES, **options)

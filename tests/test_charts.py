@@ -170,3 +170,39 @@ def test_top_k(vehicles):
     found = ops.top_k(vehicles, [F.desc("CO2_emission_gkm"), F.col("model")], 3).collect()
     highest = vehicles.agg(F.max("CO2_emission_gkm")).first()[0]
     assert len(found) == 3 and found[0]["CO2_emission_gkm"] == highest
+
+
+def test_infinities_do_not_stop_the_narrowing(spark, monkeypatch):
+    """With infinities in a group its values are still cut into parts, not listed at once."""
+    from keydrivers.operators import quantiles
+
+    rows = [(float(i),) for i in range(5_000)] + [(float("inf"),), (float("-inf"),), (1.7e308,)]
+    df = spark.createDataFrame(rows, "v double")
+    listed = []
+    pick = quantiles._pick
+
+    def spy(cells, intervals):
+        listed.append(cells.groupBy("g", "lo").count().agg({"count": "max"}).first()[0])
+        return pick(cells, intervals)
+
+    monkeypatch.setattr(quantiles, "_pick", spy)
+    found = quantiles.quantiles_by(df, "v", [0.5], ["m"], rows_in_one_task=100).table.first()
+    assert found["m"] == 2_500.0
+    assert max(listed) <= quantiles.CELLS + 3
+
+
+def test_histogram_and_average_leave_out_nan(spark):
+    rows = [(2000, 1.0), (2000, float("nan")), (2000, 3.0), (2001, None)]
+    df = spark.createDataFrame(rows, "year int, v double")
+    assert sum(r["n"] for r in ops.histogram(df, "v", bins=2).collect()) == 2
+    found = {r["year"]: (r["n"], r["avg_v"]) for r in ops.yearly_average(df, "year", ["v"]).collect()}
+    assert found == {2000: (3, 2.0), 2001: (1, None)}
+
+
+def test_correlation_of_a_pair_far_from_the_overall_mean(spark):
+    rows = [(0.0, None)] * 500 + [(1e6 + i % 10 / 100, float(i % 10 + i % 3)) for i in range(500)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    r = {(x["a"], x["b"]): x["r"] for x in ops.correlation_matrix(df, ["x", "y"]).collect()}
+    pdf = df.dropna().toPandas()
+    assert r["x", "y"] == pytest.approx(pdf.x.corr(pdf.y), abs=1e-6)
+    assert ops.correlations_with(df, "y", ["x"]).first()["r"] == pytest.approx(r["x", "y"], abs=1e-9)

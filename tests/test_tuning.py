@@ -160,7 +160,12 @@ def test_whole_vehicle_analysis(spark, vehicles, tmp_path):
         "CO2_rating",
         "smog_rating",
     }
-    assert found.cardinality.count() == len(VEHICLE_SPEC.categorical)
+    assert found.cardinality.count() == len(found.values) == len(VEHICLE_SPEC.categorical) + 1
+    assert found.values["model"].count() > 0
+    assert found.collinear.where("abs_r < 0.75").count() == 0
+    assert found.box.first()["n"] == found.distribution["make"].agg({"n": "sum"}).first()[0]
+    assert abs(found.field_importance.agg({"importance": "sum"}).first()[0] - 1) < 1e-9
+    assert found.residuals["full"].where("residual is null").count() == 0
     assert found.rollups["strong"].count() == len(STRONG_SPEC.predictors)
     paths = write_results(found, str(tmp_path))
     matrix = read_table(spark, paths["correlation"])
