@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import letters, picked, stored
 from .components import components
+from .quality_rules import let
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TRACKING = r"(?:utm_[a-z]+|fbclid|gclid)"
@@ -69,29 +70,36 @@ def canonical_form(url: Column) -> Column:
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
     bare = F.regexp_replace(bare, rf"([?&]){TRACKING}=[^&]*&", "$1")
     bare = F.regexp_replace(bare, rf"[?&]{TRACKING}=[^&]*$", "")
-    head = F.regexp_extract(bare, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.concat(F.lower(head), F.substring(bare, F.length(head) + 1, F.length(bare)))
+
+    def joined(x: Column) -> Column:
+        head = F.regexp_extract(x, r"(?s)^(.*?://[^/?#]*)", 1)
+        return F.concat(F.lower(head), F.substring(x, F.length(head) + 1, F.length(x)))
+
+    return let(bare, joined)
 
 
 def _absolute(link: Column, url: Column) -> Column:
     """A link of a page as an address; null if it has another scheme."""
-    link = F.trim(link)
     scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*)?/)", 1)
     folder = F.when(folder == "", F.concat(origin, F.lit("/"))).otherwise(folder)
-    return (
-        F.when(link.rlike("(?i)^https?://"), link)
-        .when(link.rlike("^//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.rlike("^/"), F.concat(origin, link))
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$"), F.lit(None))
-        .otherwise(F.concat(folder, link))
-    )
+
+    def resolved(x: Column) -> Column:
+        return (
+            F.when(x.rlike("(?i)^https?://"), x)
+            .when(x.rlike("^//"), F.concat(scheme, F.lit(":"), x))
+            .when(x.rlike("^/"), F.concat(origin, x))
+            .when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$"), F.lit(None))
+            .otherwise(F.concat(folder, x))
+        )
+
+    return let(F.trim(link), resolved)
 
 
 def _attribute(tag: Column, name: str) -> Column:
     value = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, value, k) for k in (1, 2, 3)])
+    return let(tag, lambda x: F.concat(*[F.regexp_extract(x, value, k) for k in (1, 2, 3)]))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
