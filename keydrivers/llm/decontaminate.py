@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, on_executors, picked, slices, stored
+from .id_filter import without_ids
 from .shingles import Words, bare, windows
 
 BLOCK_BYTES = 2 << 20
@@ -218,5 +219,5 @@ def leaks(
 
 def without_leaks(docs: DataFrame, items: DataFrame, how: Alignment = Alignment()) -> DataFrame:
     """The documents that hold no item. Rows without an id cannot be named and stay."""
-    leaked = leaks(docs, items, how).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(stored(leaked, "leaked"), "doc_id", "left_anti")
+    leaked = leaks(docs, items, how).select(F.col("doc_id").alias("id")).where("id is not null")
+    return without_ids(docs, stored(leaked.distinct(), "leaked"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, dropped, on_executors, picked, slices, stored
 from .components import components
+from .id_filter import only_ids, without_ids
 from .shingles import Words, mixed, shingle_set
 
 MANTISSA = 11
@@ -205,11 +206,12 @@ def linked_classes(classes: DataFrame, texts_of, how: Similarity) -> DataFrame:
     """(node, component) for the classes that have links. ``classes``: id, n, registers;
     ``texts_of(ids)``: stored (id, text) of the given ids.
 
-    1. In each bucket, members are paired with its smallest one: as many pairs as members.
+    1. In each bucket, members are paired with its smallest one, the head: as many pairs as members.
     2. Of its likely pairs, each class confirms the best one first. Mostly these already join what
        belongs together.
-    3. Only pairs across the components so far, of a bucket's members or left over from 1, can add
-       anything. All of them are checked, so no link between components is lost.
+    3. Only pairs across the components so far can add anything: pairs left over from 1, and pairs of
+       a bucket's other members, which ``_across`` finds without listing all of them. All are checked,
+       so no link between components is lost.
     """
     bands = band_keys(classes, how)
     heads = bands.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many"))
@@ -221,54 +223,98 @@ def linked_classes(classes: DataFrame, texts_of, how: Similarity) -> DataFrame:
     best = (
         candidates.unionByName(either)
         .groupBy("a")
-        .agg(F.max(F.struct("estimate", -F.col("b"))).alias("best"))
-        .select("a", (-F.col("best.col2")).alias("b"))
+        .agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
         .select(*_ordered("a", "b"))
         .distinct()
     )
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = texts_of(ids)
+    texts = texts_of(members.select("id").distinct())
     links = stored(confirmed(best, texts, how), "links")
     found = stored(components(links), "components")
 
     def of(column: str) -> DataFrame:
         return found.select(F.col("node").alias(column), F.col("component").alias(f"c_{column}"))
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        differ = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
-        return named.where(differ).select("a", "b")
-
-    tested = best.withColumn("tested", F.lit(True))
-    rest = candidates.join(tested, ["a", "b"], "left").where("tested is null").select("a", "b")
-    rest = apart(rest)
-    cross = _across(members, classes, found, how)
-    known = candidates.select("a", "b").withColumn("known", F.lit(True))
-    cross = cross.join(known, ["a", "b"], "left").where("known is null").select("a", "b")
-    cross = stored(likely(cross, classes, how).select("a", "b"), "across")
-    late = cross.unionByName(rest)
-    more_ids = cross.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    more_ids = more_ids.join(ids, "id", "left_anti")
-    more_texts = texts.unionByName(texts_of(more_ids)) if cross.take(1) else texts
-    more = confirmed(late, more_texts, how)
-    both = stored(links.unionByName(more), "all-links")
+    named = candidates.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    across = _across(members, found, texts, how).join(candidates, ["a", "b"], "left_anti")
+    late = stored(likely(across, classes, how).select("a", "b").unionByName(rest), "late")
+    both = stored(links.unionByName(confirmed(late, texts, how)), "all-links")
     dropped(members)
     return components(both)
 
 
-def _across(members: DataFrame, classes: DataFrame, found: DataFrame, how: Similarity) -> DataFrame:
-    """Pairs of a bucket's members that are in different components and alike in size."""
+PREFIX = "head bigint, id bigint, n int, at int, shingle bigint"
+
+
+def _prefixes(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """The first shingles of each member (head, id) in an order that its head sets: those that the
+    head lacks, then the others. Two sets that are alike enough have one of the first shingles of
+    either in common, and near copies of a head share what differs from it with few others."""
+    left = texts.select(F.col("id").alias("head"), F.col("text").alias("left"))
+    right = texts.select("id", F.col("text").alias("right"))
+    both = pairs.join(right, "id").join(left, "head")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        last, last_set = None, None
+        for part in slices(batches, "right"):
+            found = []
+            for text, other in zip(*(as_bytes(part.column(c)) for c in ("left", "right")), strict=True):
+                if text != last:
+                    last, last_set = text, shingle_set(words.hashes(text), how.words)
+                own = shingle_set(words.hashes(other), how.words)
+                shared = np.isin(own, last_set, assume_unique=True)
+                first = len(own) - -(-how.percent * len(own) // 100) + 1
+                found.append((np.concatenate([own[~shared], own[shared]])[:first], len(own)))
+            sizes = np.array([len(x) for x, _ in found])
+            arrays = [
+                *(np.repeat(part.column(c).to_numpy(), sizes) for c in ("head", "id")),
+                np.repeat(np.array([n for _, n in found], np.int32), sizes),
+                np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
+                np.concatenate([x for x, _ in found]).view(np.int64),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in arrays], ["head", "id", "n", "at", "shingle"]
+            )
+
+    return both.mapInArrow(run, PREFIX)
+
+
+def _across(members: DataFrame, found: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """Pairs of members of a bucket, in different components, that full sets may still link.
+
+    An exact set-similarity join by prefixes, for the members of buckets that hold more than one
+    component. One of a pair is not in the head's component.
+    """
     component = found.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    named = members.select("key", "id").join(component, "id", "left")
-    named = named.select("key", "id", F.coalesce("c", "id").alias("c"))
+    named = members.join(component, "id", "left")
+    named = named.select("key", "head", "id", F.coalesce("c", "id").alias("c"))
     split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     open_keys = split.where("lo <> hi").select("key")
-    rows = named.join(open_keys, "key", "left_semi")
-    rows = stored(rows.join(classes.select("id", "n"), "id"), "open-buckets")
-    left = rows.select("key", F.col("id").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("m"))
-    pairs = left.join(right, "key").where("a < b and c_a <> c_b").where(_sizes_allow(how, "n", "m"))
-    return pairs.select("a", "b").distinct()
+    pairs = named.join(open_keys, "key", "left_semi").where("id <> head")
+    pairs = pairs.select("head", "id").distinct()
+    of_head = component.select(F.col("id").alias("head"), F.col("c").alias("c_head"))
+    rows = (
+        _prefixes(pairs, texts, how)
+        .join(component, "id", "left")
+        .join(of_head, "head", "left")
+        .select(
+            "head", "shingle", "id", "n", "at",
+            F.coalesce("c", "id").alias("c"),
+            F.coalesce("c_head", "head").alias("c_head"),
+        )
+    )
+    rows = stored(rows, "prefixes")
+    left = rows.where("c <> c_head").select(
+        "head", "shingle", F.col("id").alias("a"), F.col("c").alias("c_a"),
+        F.col("n").alias("n_a"), F.col("at").alias("at_a"),
+    )
+    # Of the shared shingles the first one leaves room for as many as a link needs.
+    room = F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a"))
+    needed = (100 + how.percent) * room >= how.percent * (F.col("n") + F.col("n_a"))
+    pairs = left.join(rows, ["head", "shingle"]).where("a <> id and c_a <> c")
+    pairs = pairs.where(_sizes_allow(how, "n", "n_a")).where(needed)
+    return pairs.select(*_ordered("a", "id")).distinct()
 
 
 def near_duplicates(
@@ -296,8 +342,7 @@ def near_duplicates(
     classes = stored(classes, "class-registers")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        found = rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi")
-        one = found.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
+        one = only_ids(rows, wanted).select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
         return stored(one, "texts")
 
     joined = linked_classes(classes, texts_of, how)
@@ -325,9 +370,9 @@ def without_copies(
     Rows that share an id are one document, and one of them stays. Rows without an id all stay.
     """
     found = near_duplicates(docs, how, id_col, text_col)
-    copies = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    copies = stored(found.where("not kept").select(F.col("doc_id").alias("id")).distinct(), "copies")
     own = F.col(f"`{id_col}`")
-    rest = docs.join(stored(copies, "copies"), own == F.col("__id"), "left_anti")
+    rest = without_ids(docs, copies, id_col)
     again = docs.groupBy(own.alias("__id")).count().where("count > 1 and __id is not null")
     again = stored(again.select("__id"), "repeated-ids")
     if not again.take(1):
