@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -210,8 +211,8 @@ def linked_classes(classes: DataFrame, texts_of, how: Similarity) -> DataFrame:
     2. Of its likely pairs, each class confirms the best one first. Mostly these already join what
        belongs together.
     3. Only pairs across the components so far can add anything: pairs left over from 1, and pairs of
-       a bucket's other members, which ``_across`` finds without listing all of them. All are checked,
-       so no link between components is lost.
+       a bucket's other members, which ``_across`` compares without listing them. So no link between
+       components is lost.
     """
     bands = band_keys(classes, how)
     heads = bands.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many"))
@@ -236,20 +237,20 @@ def linked_classes(classes: DataFrame, texts_of, how: Similarity) -> DataFrame:
 
     named = candidates.join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    across = _across(members, found, texts, how).join(candidates, ["a", "b"], "left_anti")
-    late = stored(likely(across, classes, how).select("a", "b").unionByName(rest), "late")
-    both = stored(links.unionByName(confirmed(late, texts, how)), "all-links")
+    across = _across(members, found, texts, how)
+    late = confirmed(rest, texts, how)
+    both = stored(links.unionByName(late).unionByName(across), "all-links")
     dropped(members)
     return components(both)
 
 
-PREFIX = "head bigint, id bigint, n int, at int, shingle bigint"
+DIFFERENCE = "head bigint, id bigint, n int, held binary, added binary"
+BLOCK_ROWS = 1024
 
 
-def _prefixes(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
-    """The first shingles of each member (head, id) in an order that its head sets: those that the
-    head lacks, then the others. Two sets that are alike enough have one of the first shingles of
-    either in common, and near copies of a head share what differs from it with few others."""
+def _differences(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """Each member of (head, id) as its difference from the head: a bit for each shingle of the head
+    that says whether the member holds it, and the shingles that it has besides."""
     left = texts.select(F.col("id").alias("head"), F.col("text").alias("left"))
     right = texts.select("id", F.col("text").alias("right"))
     both = pairs.join(right, "id").join(left, "head")
@@ -258,33 +259,57 @@ def _prefixes(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
         words = Words()
         last, last_set = None, None
         for part in slices(batches, "right"):
-            found = []
+            sizes, held, added = [], [], []
             for text, other in zip(*(as_bytes(part.column(c)) for c in ("left", "right")), strict=True):
                 if text != last:
                     last, last_set = text, shingle_set(words.hashes(text), how.words)
                 own = shingle_set(words.hashes(other), how.words)
-                shared = np.isin(own, last_set, assume_unique=True)
-                first = len(own) - -(-how.percent * len(own) // 100) + 1
-                found.append((np.concatenate([own[~shared], own[shared]])[:first], len(own)))
-            sizes = np.array([len(x) for x, _ in found])
-            arrays = [
-                *(np.repeat(part.column(c).to_numpy(), sizes) for c in ("head", "id")),
-                np.repeat(np.array([n for _, n in found], np.int32), sizes),
-                np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
-                np.concatenate([x for x, _ in found]).view(np.int64),
-            ]
+                bits = np.packbits(np.isin(last_set, own, assume_unique=True))
+                sizes.append(len(own))
+                held.append(bits.tobytes())
+                added.append(own[~np.isin(own, last_set, assume_unique=True)].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in arrays], ["head", "id", "n", "at", "shingle"]
+                [
+                    *(part.column(c) for c in ("head", "id")),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(held, pa.binary()),
+                    pa.array(added, pa.binary()),
+                ],
+                ["head", "id", "n", "held", "added"],
             )
 
-    return both.mapInArrow(run, PREFIX)
+    return both.mapInArrow(run, DIFFERENCE)
+
+
+def _linked_rows(rows: list[dict], how: Similarity) -> Iterator[tuple[int, int]]:
+    """Links between the outsiders among the rows of one block and all rows that face them."""
+    outside, inside = ([r for r in rows if r["outside"] == x] for x in (True, False))
+    if not outside or not inside:
+        return
+    bits = np.array([np.frombuffer(r["held"], np.uint8) for r in inside])
+    n = np.array([r["n"] for r in inside], np.int64)
+    added = np.array([len(r["added"]) // 8 for r in inside], np.int64)
+    component = np.array([r["c"] for r in inside])
+    for row in outside:
+        own = np.frombuffer(row["added"], np.uint64)
+        shared = np.bitwise_count(bits & np.frombuffer(row["held"], np.uint8)).sum(axis=1, dtype=np.int64)
+        most = shared + np.minimum(added, len(own))
+        total = n + row["n"]
+        may = ((100 + how.percent) * most >= how.percent * total) & (component != row["c"])
+        for k in np.flatnonzero(may):
+            other = np.frombuffer(inside[k]["added"], np.uint64)
+            common = shared[k] + len(np.intersect1d(own, other, assume_unique=True))
+            if 100 * common >= how.percent * (total[k] - common):
+                yield row["id"], inside[k]["id"]
 
 
 def _across(members: DataFrame, found: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
-    """Pairs of members of a bucket, in different components, that full sets may still link.
+    """Links between members of a bucket that are in different components.
 
-    An exact set-similarity join by prefixes, for the members of buckets that hold more than one
-    component. One of a pair is not in the head's component.
+    For the members of buckets that hold more than one component. One of a pair is an outsider, not
+    in the head's component. Outsiders and all members of a head are cut into blocks by a hash, and
+    each block of outsiders meets each block of members in a group of some thousand short rows, which
+    compares differences from the head bit by bit. Only links leave it, no pairs.
     """
     component = found.select(F.col("node").alias("id"), F.col("component").alias("c"))
     named = members.join(component, "id", "left")
@@ -295,26 +320,47 @@ def _across(members: DataFrame, found: DataFrame, texts: DataFrame, how: Similar
     pairs = pairs.select("head", "id").distinct()
     of_head = component.select(F.col("id").alias("head"), F.col("c").alias("c_head"))
     rows = (
-        _prefixes(pairs, texts, how)
+        _differences(pairs, texts, how)
         .join(component, "id", "left")
         .join(of_head, "head", "left")
-        .select(
-            "head", "shingle", "id", "n", "at",
-            F.coalesce("c", "id").alias("c"),
-            F.coalesce("c_head", "head").alias("c_head"),
-        )
+        .withColumn("c", F.coalesce("c", "id"))
+        .withColumn("outside", F.col("c") != F.coalesce("c_head", "head"))
+        .drop("c_head")
     )
-    rows = stored(rows, "prefixes")
-    left = rows.where("c <> c_head").select(
-        "head", "shingle", F.col("id").alias("a"), F.col("c").alias("c_a"),
-        F.col("n").alias("n_a"), F.col("at").alias("at_a"),
+    rows = stored(rows, "differences")
+    blocks = rows.groupBy("head").agg(
+        F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("all"),
+        F.ceil(F.count_if("outside") / BLOCK_ROWS).cast("int").alias("out"),
     )
-    # Of the shared shingles the first one leaves room for as many as a link needs.
-    room = F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a"))
-    needed = (100 + how.percent) * room >= how.percent * (F.col("n") + F.col("n_a"))
-    pairs = left.join(rows, ["head", "shingle"]).where("a <> id and c_a <> c")
-    pairs = pairs.where(_sizes_allow(how, "n", "n_a")).where(needed)
-    return pairs.select(*_ordered("a", "id")).distinct()
+    placed = rows.join(blocks.where("`out` > 0"), "head")
+    own = F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int")
+
+    def facing(own_blocks: str, other_blocks: str, names: tuple[str, str]) -> list:
+        other = F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)).alias(names[1])
+        return [(own % F.col(own_blocks)).alias(names[0]), other]
+
+    columns = ["head", "id", "n", "held", "added", "c"]
+    outsiders = placed.where("outside").select(
+        *columns, F.lit(True).alias("outside"), *facing("out", "all", ("i", "j"))
+    )
+    every = placed.select(*columns, F.lit(False).alias("outside"), *facing("all", "out", ("j", "i")))
+    meeting = outsiders.unionByName(every).repartition("head", "i", "j")
+    meeting = meeting.sortWithinPartitions("head", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of() -> Iterator[dict]:
+            for part in slices(batches, "added"):
+                yield from part.to_pylist()
+
+        for _, group in groupby(rows_of(), key=lambda r: (r["head"], r["i"], r["j"])):
+            links = list(_linked_rows(list(group), how))
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
+                )
+
+    return meeting.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(
