@@ -5,6 +5,8 @@ The cluster names that folder in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,7 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root and re.fullmatch(r"local(\[.*\])?", context.master):
+        # Driver and tasks are one process here; local-cluster and clusters must name a folder.
+        root = tempfile.mkdtemp(prefix="keydrivers-")
+        context.setCheckpointDir(root)
     if not root:
         raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
     return root
