@@ -547,7 +547,10 @@ SELECT slot, field, count(*) AS n FROM every GROUP BY slot, field""",
         "ridge_cv_strong": _cv("strong", *FULL, STRONG_GRID),
         "best_penalty": _cv("strong", *FULL, STRONG_GRID, best=True),
         "cv_by_refitting": _cv("refitted", *PRIORITY, RIDGE_GRID),
-        "ridge_cv_full_pipeline": _cv("full", *FULL, RIDGE_GRID),
+        "ridge_cv_full_pipeline": 'SELECT model, point, param, "value", metric, '
+        "CASE metric WHEN 'r2' THEN round(mean, 6) ELSE round(mean, 1) END AS mean, "
+        "CASE metric WHEN 'r2' THEN round(std, 6) ELSE round(std, 1) END AS std "
+        f"FROM ({_cv('full', *FULL, RIDGE_GRID)}) c",
         "tree_residuals": _tree(
             "SELECT o_orderkey, split, actual, round(prediction, 2) + 0.0 AS prediction, "
             "round(actual - prediction, 2) + 0.0 AS residual FROM leaves"
