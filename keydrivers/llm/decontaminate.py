@@ -1,16 +1,16 @@
 """Leaks of benchmark items into documents.
 
-Runs of words of the items are looked up in every document. Runs that few documents have become
-seeds, and of each item the rarer half at least, however often it was copied; frequent runs only cost
-time. Where a document has a seed, its surroundings are aligned with the item by Smith-Waterman, which
-scores copies with words changed, left out or put in.
+Runs of two words of the items are looked up in every document. How many of them a leak must hold,
+and how near to each other, follows from the scores of the alignment, so a document is left out only
+where no leak can be, however often items or their parts were copied. What is left is aligned with the
+item by Smith-Waterman, which scores copies with words changed, left out or put in.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +22,17 @@ from .id_filter import without_ids
 from .shingles import Words, bare, windows
 
 BLOCK_BYTES = 2 << 20
+# Pairs of a place in a document and an item that are held at once.
+PLACES = 4 << 20
 
 
 @dataclass(frozen=True)
 class Alignment:
-    """Seeds are runs of ``seed`` words that at most ``rare`` of all documents, or ``few``, have. Items of fewer than ``min_words`` words prove nothing and
-    are not searched. A pair is a leak if its score is at least ``min_score``, where 1 is a whole and
-    exact copy."""
+    """Runs of ``seed`` words lead to pairs; with two, every pair of a leak has one. Items of fewer
+    than ``min_words`` words prove nothing and are not searched. A pair is a leak if its score is at
+    least ``min_score``, where 1 is a whole and exact copy."""
 
-    seed: int = 3
-    rare: float = 0.001
-    few: int = 25
+    seed: int = 2
     min_words: int = 8
     match: int = 3
     mismatch: int = -1
@@ -40,6 +40,44 @@ class Alignment:
     min_score: float = 0.5
 
 
+    def least(self, n: int) -> int:
+        """The score from which on an item of n words has leaked."""
+        return math.ceil(self.min_score * self.match * n - 1e-9)
+
+    def hits(self, n: int) -> int:
+        """Runs that a leak of an item of n words shares with it at least.
+
+        ``e`` errors part the matched words into e + 1 stretches at most, and each stretch has
+        seed - 1 runs fewer than words. Errors that use up a word of the item are the cheaper ones.
+        """
+        least = n
+        for matched in range(n + 1):
+            left = self.match * matched - self.least(n)
+            if left < 0:
+                continue
+            errors = min(n - matched, left // max(self.error, 1)) if self.error else n - matched
+            left -= errors * self.error
+            errors = errors + left // -self.gap if self.gap else matched
+            least = min(least, matched - (self.seed - 1) * min(matched, errors + 1))
+        return max(least, 1)
+
+    def span(self, n: int) -> int:
+        """Words of a document that a leak of an item of n words takes at most."""
+        return n + (self.match * n - self.least(n)) // -self.gap if self.gap else 1 << 30
+
+    @property
+    def error(self) -> int:
+        """What a word of the item without a match costs at least."""
+        return min(-self.mismatch, -self.gap)
+
+    def possible(self, item: np.ndarray, words: np.ndarray) -> bool:
+        """False if no alignment can be a leak, even if all words of the item that the document has
+        stood in the item's order: the best stretch of the item is too short of them."""
+        sums = np.cumsum(np.where(np.isin(item, words), self.match, -self.error))
+        before = np.minimum.accumulate(np.concatenate(([0], sums[:-1])))
+        return int((sums - before).max()) >= self.least(len(item))
+
+
 def smith_waterman(item: np.ndarray, words: np.ndarray, how: Alignment) -> float:
     """Best local alignment of an item with words, as a part of that of an exact copy.
 
@@ -69,8 +107,13 @@ class Items:
                 self.words.append(found)
         runs = [windows(w, how.seed) for w in self.words]
         every = np.concatenate(runs) if runs else np.empty(0, np.uint64)
-        self.runs, self.run_of = np.unique(every, return_inverse=True)
-        self.item_of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+        self.runs, run_of = np.unique(every, return_inverse=True)
+        item_of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+        # Items of a run follow each other: number of the run times the number of items, plus item.
+        self.pairs = np.unique(run_of * len(runs) + item_of)
+        sizes = [len(w) for w in self.words]
+        self.hits = np.array([how.hits(n) for n in sizes], np.int64)
+        self.span = np.array([how.span(n) for n in sizes], np.int64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.runs & np.uint64((1 << 20) - 1)] = True
 
@@ -82,17 +125,28 @@ class Items:
         same = self.runs[number] == hashes[at] if len(at) else np.zeros(0, bool)
         return at[same], number[same]
 
-    def seeds(self, spread: dict[int, int], rare: float) -> dict[int, list[int]]:
-        """Items by run, for runs in at most ``rare`` documents and for the rarer half of each
-        item's; ties go with the median in."""
-        found: dict[int, list[int]] = {}
-        counts = np.array([spread.get(i, 0) for i in range(len(self.runs))], np.int64)
-        for item in range(len(self.ids)):
-            runs = np.unique(self.run_of[self.item_of == item])
-            limit = max(rare, np.sort(counts[runs])[(len(runs) - 1) // 2])
-            for run in runs[counts[runs] <= limit]:
-                found.setdefault(int(run), []).append(item)
-        return found
+    def places(self, hashes: np.ndarray, seed: int) -> Iterator[tuple[int, list[int]]]:
+        """Items that may have leaked into a document of these runs, and where leaks may begin."""
+        at, number = self.find(hashes)
+        if not len(at):
+            return
+        n, size = len(self.ids), max(PLACES // len(at), 1)
+        for first in range(0, n, size):
+            lo = np.searchsorted(self.pairs, number * n + first)
+            some = np.searchsorted(self.pairs, number * n + min(first + size, n)) - lo
+            ends = np.cumsum(some)
+            if not ends[-1]:
+                continue
+            pair = np.arange(ends[-1]) + np.repeat(lo - (ends - some), some)
+            place = np.sort(self.pairs[pair] % n * len(hashes) + np.repeat(at, some))
+            item, x = np.divmod(place, len(hashes))
+            last = np.arange(len(x)) + self.hits[item] - 1
+            there = last < len(x)
+            last = np.where(there, last, 0)
+            there &= (item[last] == item) & (x[last] - x <= self.span[item] - seed)
+            item, x = item[there], x[there]
+            for k in np.unique(item):
+                yield int(k), x[np.searchsorted(item, k) : np.searchsorted(item, k, "right")].tolist()
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -109,34 +163,9 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
-HITS = "doc_id bigint, text binary, at array<int>, run array<int>"
 LEAKS = "doc_id bigint, item_id bigint, score double"
 
 
-def _hits(docs: DataFrame, items, how: Alignment) -> DataFrame:
-    """Documents with a run of any item, and where."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(bare)
-        for part in slices(batches, "text"):
-            rows = []
-            ids = part.column("doc_id").to_pylist()
-            for doc_id, text in zip(ids, as_bytes(part.column("text")), strict=True):
-                at, number = items.value.find(windows(words.hashes(text), how.seed))
-                if len(at):
-                    rows.append((doc_id, text, at.astype(np.int32), number.astype(np.int32)))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                lists = pa.list_(pa.int32())
-                types = [pa.int64(), pa.binary(), lists, lists]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                    ["doc_id", "text", "at", "run"],
-                )
-
-    return docs.mapInArrow(run, HITS)
-
-
 def _surroundings(at: list[int], reach: int) -> Iterator[tuple[int, int]]:
     """Stretches of a document around hits: hits nearer than ``reach`` share one."""
     start = end = None
@@ -150,26 +179,24 @@ def _surroundings(at: list[int], reach: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def _aligned(hits: DataFrame, items, seeds, how: Alignment) -> DataFrame:
-    def leaks(doc_id, words: np.ndarray, at: list[int], run: list[int]):
-        of = seeds.value
-        places = sorted((item, x) for x, r in zip(at, run, strict=True) for item in of.get(r, ()))
-        for item, group in groupby(places, key=lambda p: p[0]):
-            wanted = items.value.words[item]
-            reach = len(wanted) + len(wanted) // 2
-            score = max(
-                smith_waterman(wanted, words[a:b], how)
-                for a, b in _surroundings([x for _, x in group], reach)
-            )
+def _aligned(docs: DataFrame, items, how: Alignment) -> DataFrame:
+    def leaks(doc_id, words: np.ndarray):
+        known = items.value
+        for item, at in known.places(windows(words, how.seed), how.seed):
+            wanted = known.words[item]
+            parts = [words[a:b] for a, b in _surroundings(at, int(known.span[item]))]
+            parts = [p for p in parts if how.possible(wanted, p)]
+            score = max((smith_waterman(wanted, p, how) for p in parts), default=0)
             if score >= how.min_score:
-                yield doc_id, items.value.ids[item], score
+                yield doc_id, known.ids[item], score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(bare)
         for part in slices(batches, "text"):
             found = []
-            for row in part.to_pylist():
-                found += leaks(row["doc_id"], words.hashes(row["text"]), row["at"], row["run"])
+            ids = part.column("doc_id").to_pylist()
+            for doc_id, text in zip(ids, as_bytes(part.column("text")), strict=True):
+                found += leaks(doc_id, words.hashes(text))
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             types = [pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
@@ -177,7 +204,7 @@ def _aligned(hits: DataFrame, items, seeds, how: Alignment) -> DataFrame:
                 ["doc_id", "item_id", "score"],
             )
 
-    return hits.mapInArrow(run, LEAKS)
+    return docs.mapInArrow(run, LEAKS)
 
 
 def leaks(
@@ -194,26 +221,20 @@ def leaks(
     Null and empty texts hold nothing, and null or short items are in nothing. Rows without an id
     give leaks without one. Repeated rows of documents give repeated leaks, repeated items one each.
     Other columns are not carried. Items are broadcast in blocks of some MB and each block reads the
-    documents once; the documents with hits, which are few, are written and read again.
+    documents once.
     """
     spark = docs.sparkSession
     on_executors(spark)
     rows = picked(docs, doc_id=id_col, text=text_col)
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     tests = picked(items, item_id=item_id_col, text=item_text_col)
-    n_docs = rows.count()
     found = spark.createDataFrame([], LEAKS)
     for block in _blocks(tests.withColumn("item_id", F.col("item_id").cast("bigint"))):
         known = Items(block, how)
         if not known.ids:
             continue
         shared = spark.sparkContext.broadcast(known)
-        hits = stored(_hits(rows, shared, how), "hits")
-        spread = hits.select(F.explode(F.array_distinct("run")).alias("run")).groupBy("run").count()
-        # At most one number for each run of the block.
-        counts = {r["run"]: r["count"] for r in spread.collect()}
-        seeds = spark.sparkContext.broadcast(known.seeds(counts, max(how.rare * n_docs, how.few)))
-        found = found.unionByName(_aligned(hits, shared, seeds, how))
+        found = found.unionByName(_aligned(rows, shared, how))
     return found
 
 

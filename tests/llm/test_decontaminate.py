@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from keydrivers.llm import decontaminate
-from keydrivers.llm.decontaminate import Alignment, leaks, smith_waterman, without_leaks
+from keydrivers.llm.decontaminate import Alignment, Items, leaks, smith_waterman, without_leaks
+from keydrivers.llm.shingles import Words, bare, windows
 
 
 def plain_alignment(item, words, how):
@@ -104,3 +106,37 @@ def test_blocks_of_items_and_no_rows(spark, monkeypatch, no_docs):
     assert [w[:2] for w in whole] == [(k * 10, k) for k in range(6)]
     assert leaks(no_docs, items).count() == 0
     assert leaks(docs, items.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("copies", [30, 333])
+@pytest.mark.parametrize("kind", ["edited", "half"])
+def test_one_copy_in_many_documents(spark, kind, copies):
+    item = [f"i{j}" for j in range(25)]
+    copy = [f"new{j}" if j % 5 == 4 else w for j, w in enumerate(item)]
+    copy = copy if kind == "edited" else item[:13]
+    assert plain_alignment(item, copy, Alignment()) >= Alignment().min_score
+    rows = []
+    for i in range(1000):
+        own = [f"d{i}w{j}" for j in range(30)]
+        rows.append((i, " ".join(own[:15] + (copy if i < copies else []) + own[15:])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tests = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    found = sorted((r.doc_id, r.item_id) for r in leaks(docs, tests).collect())
+    assert found == [(i, 1) for i in range(copies)]
+
+
+def test_bounds_leave_no_leak_out():
+    random.seed(6)
+    how = Alignment()
+    for _ in range(400):
+        item = [random.randint(0, 9) for _ in range(random.randint(8, 20))]
+        words = []
+        for w in item:
+            words += [w] if random.random() > 0.25 else [random.randint(0, 9)] * random.randint(0, 2)
+        words = [10 + j for j in range(5)] + words + [20 + j for j in range(5)]
+        text = " ".join(f"w{w}" for w in words)
+        known = Items([(1, " ".join(f"w{w}" for w in item).encode())], how)
+        hashes = Words(bare).hashes(text.encode())
+        if plain_alignment(item, words, how) >= how.min_score:
+            assert [k for k, _ in known.places(windows(hashes, how.seed), how.seed)] == [0]
+            assert how.possible(known.words[0], hashes)
