@@ -42,16 +42,39 @@ class EntropyClass:
     needs: tuple[str, ...]
 
 
-_UPPER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_HEX = "[0-9A-Fa-f]"
+# Where prose, names and addresses do not come near, limits are what 999 in 1,000 random strings of a
+# class reach. Runs with marks in them (addresses) have a higher one, and so have letters of one case:
+# long words reach 3.80 bits, so limits that find every random string would take words too.
 CLASSES = (
     EntropyClass(
         r"[A-Za-z0-9+/=_-]{24,}",
-        _UPPER + _UPPER.lower() + _DIGITS + "+/=_-",
+        _UPPER + _LOWER + _DIGITS + "+/=_-",
         24,
         4.05,
         ("[A-Z]", "[a-z]", "[0-9]"),
     ),
-    EntropyClass(r"[0-9A-F]{24,}", _DIGITS + "ABCDEF", 24, 3.0, ("[A-F]", "[0-9]")),
+    EntropyClass(
+        r"[A-Za-z0-9]{20,}", _UPPER + _LOWER + _DIGITS, 20, 3.48, ("[A-Z]", "[a-z]", "[0-9]")
+    ),
+    EntropyClass(r"[a-z0-9]{20,}", _LOWER + _DIGITS, 20, 3.2, ("[a-z]", "[0-9]")),
+    EntropyClass(r"[A-Z0-9]{20,}", _UPPER + _DIGITS, 20, 3.14, ("[A-Z]", "[0-9]")),
+    EntropyClass(r"[0-9a-f]{20,}", _DIGITS + "abcdef", 20, 2.73, ("[a-f]", "[0-9]")),
+    EntropyClass(r"[0-9A-F]{20,}", _DIGITS + "ABCDEF", 20, 2.73, ("[A-F]", "[0-9]")),
+    # Two capitals in a row and two changes of case: names in camel case seldom have both.
+    EntropyClass(
+        r"[A-Za-z]{20,}", _UPPER + _LOWER, 20, 3.38, ("[A-Z][A-Z]", "[a-z][A-Z].*[a-z][A-Z]")
+    ),
+    EntropyClass(r"[a-z]{24,}", _LOWER, 24, 3.85, ()),
+    EntropyClass(r"[A-Z]{24,}", _UPPER, 24, 3.85, ()),
+    EntropyClass(
+        f"{_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}",
+        _DIGITS + "abcdefABCDEF-",
+        36,
+        2.9,
+        ("[0-9]",),
+    ),
 )
 ALLOWED = ("example", "placeholder", "0123456789", "abcdefghij", "xxxxxx")
 
@@ -194,9 +217,10 @@ def with_spans(
     allowed: tuple[str, ...] = ALLOWED,
     base_name: str = "base_spans",
     all_name: str = "all_spans",
+    meeting: bool = False,
 ) -> DataFrame:
     """Add two arrays of (start, kind, stop), in code points: the spans of fixed shapes, and those
-    with the spans of high entropy that meet none of them.
+    with the spans of high entropy that meet none of them, or with all if ``meeting``.
 
     A null text counts as empty and has no spans. Kinds are positions in KINDS.
     """
@@ -211,7 +235,8 @@ def with_spans(
         return F.filter(spans, lambda e: ~meets(e))
 
     rows = docs.withColumns({base_name: F.sort_array(base), "__entropy": found})
-    every = F.sort_array(F.concat(F.col(base_name), apart(F.col("__entropy"), F.col(base_name))))
+    more = F.col("__entropy") if meeting else apart(F.col("__entropy"), F.col(base_name))
+    every = F.sort_array(F.concat(F.col(base_name), more))
     return rows.withColumn(all_name, every).drop("__entropy")
 
 
@@ -236,9 +261,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """Put ``mark`` in place of every secret; other texts stay as they are, null ones null."""
+    """Put ``mark`` in place of every secret; other texts stay as they are, null ones null.
+
+    Spans that overlap get one mark, so what a span of high entropy has beside a fixed shape goes too.
+    """
     names = {"base_name": "__base", "all_name": "__all"}
-    rows = with_spans(docs, text_col, **names)
+    rows = with_spans(docs, text_col, **names, meeting=True)
     text = F.col(f"`{text_col}`")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
