@@ -66,6 +66,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import repeats
 from .bpe_codec import digests, encode_decode
 from .common import table
 from .decontaminate import leaks
@@ -79,3 +80,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.without_repeats(table(spark, sf_dir, "documents")))
