@@ -14,6 +14,7 @@ from .near_dedup import near_duplicates
 from .quality_model import scored
 from .quality_rules import judged
 from .secret_scan import scan
+from .spelling import spelling_variants
 from .token_counts import count_tokens
 from .token_files import checksums, read_tokens, write_tokens
 from .url_filter import filtered
@@ -85,3 +86,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.without_repeats(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
