@@ -2,9 +2,10 @@
 
 A string of ``length`` bytes has one minimum among the hash values of its short windows; equal strings have
 equal minima. So strings are dealt to shards by their minimum: a run of strings with the same one
-is a piece of text, and pieces whose minimum comes only once hold no repeats and stay out. Each
-shard sorts the suffixes of its pieces by external induced sorting (``suffix_sort``); a stretch of the
-order whose neighbours share ``length`` bytes is one string, and all its places but the first repeat.
+is a piece of text. Equal pieces are kept once, and those whose minimum comes in no other piece and but
+once in theirs hold nothing to compare. Each shard sorts the suffixes of the others by external induced
+sorting (``suffix_sort``); a stretch of the order whose neighbours share ``length`` bytes is one
+string, and all its places but the first repeat.
 """
 
 from __future__ import annotations
@@ -20,43 +21,31 @@ from pyspark.sql import functions as F
 
 from keydrivers.sources import scratch_dir
 
-from .common import (
-    as_bytes,
-    deleted,
-    dropped,
-    letters,
-    on_executors,
-    picked,
-    slices,
-    stored,
-)
+from .common import as_bytes, deleted, dropped, letters, on_executors, picked, slices, stored
 from .suffix_sort import Blocks, Buckets, Bytes, Scratch, sorted_suffixes
 
 LENGTH = 100
 SEED = 24  # bytes of the windows that are hashed
 MOST_IN_PIECE = 256  # strings of one piece
-SCAN = 1 << 20
+SCAN = 1 << 16
 SHARD_BYTES = 6 << 20
-HOT = 4096  # pieces of one minimum from which its strings are dealt singly
+HOT = 40_000  # pieces of one minimum, about a shard, from which its strings are dealt singly
 PLACE = "doc_id bigint, version bigint, start bigint, n bigint"
 _PLACE = [(c, pa.int64()) for c in ("doc_id", "version", "start", "n")]
-_PIECE = pa.schema([*_PLACE, ("seed", pa.int64()), ("piece", pa.binary())])
+_PIECE = pa.schema([*_PLACE, ("seed", pa.int64()), ("weight", pa.int64()), ("piece", pa.binary())])
 NO_ID = np.iinfo(np.int64).max
 
 
-def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    mixed = (left * np.uint64(0xD6E8FEB86659FD93)) ^ right
-    mixed ^= mixed >> np.uint64(29)
-    return mixed * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def _seeds(data: np.ndarray) -> np.ndarray:
-    """A hash value of the SEED bytes from each place on."""
-    values = data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    spans = [values]
+    """A hash value of the SEED bytes from each place on: a polynomial by doubling, then mixed."""
+    spans, factor = [data.astype(np.uint64)], 0x9E3779B97F4A7C15
     for span in (1, 2, 4, 8):
-        spans.append(_mixed(spans[-1][:-span], spans[-1][span:]))
-    return _mixed(spans[4][: -(SEED - 16)], spans[3][16:])
+        spans.append(spans[-1][:-span] * np.uint64(factor) + spans[-1][span:])
+        factor = factor * factor % (1 << 64)
+    mixed = spans[4][: -(SEED - 16)] * np.uint64(0xD6E8FEB86659FD93) + spans[3][16:]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(29))
 
 
 def _extreme(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -134,26 +123,36 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = as_bytes(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
-            versions = batch.column("version").to_pylist()
-            runs = batch.column("runs").to_pylist()
+            ids = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy()
+            versions = batch.column("version").to_numpy()
+            row, start, n, seed, weight = _listed(batch.column("runs"))
+            order = np.lexsort((start, versions[row], ids[row]))
+            row, start, n = row[order], start[order], n[order]
+            ends = (start + n + (length - 1)).tolist()
             seen: set[bytes] = set()
-            found: list[list] = [[] for _ in _PIECE]
-            order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, versions[i]))
-            for i in order:
-                for start, n, seed in sorted((r["start"], r["n"], r["seed"]) for r in runs[i]):
-                    piece = texts[i][start : start + n + length - 1]
-                    new = piece not in seen
+            new, pieces = np.zeros(len(row), bool), []
+            for k, (i, at, end) in enumerate(zip(row.tolist(), start.tolist(), ends, strict=True)):
+                piece = texts[i][at:end]
+                if piece not in seen:
                     seen.add(piece)
-                    values = (ids[i], versions[i], start, n, seed if new else None, piece if new else None)
-                    for column, value in zip(found, values, strict=True):
-                        column.append(value)
-            arrays = [pa.array(c, t) for c, t in zip(found, _PIECE.types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_PIECE)
+                    new[k] = True
+                    pieces.append(piece)
+            sent = [pa.array(c[order], mask=~new) for c in (seed, weight)]
+            spread = np.where(new, np.cumsum(new) - 1, 0)
+            pieces = pa.array(pieces, pa.binary()).take(pa.array(spread, mask=~new))
+            take = pa.array(row)
+            where = [batch.column(c).take(take) for c in ("doc_id", "version")]
+            yield pa.RecordBatch.from_arrays([*where, pa.array(start), pa.array(n), *sent, pieces], schema=_PIECE)
 
     return run
 
 
+def _listed(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Row numbers and fields of a column with a list of structs in each row."""
+    row = pc.list_parent_indices(column).to_numpy().astype(np.int64)
+    return row, *(field.to_numpy() for field in pc.list_flatten(column).flatten())
+
+
 class _Places:
     """Where the pieces of a shard come from, found by their place in its text."""
 
@@ -205,25 +204,34 @@ def _repeated(text: Bytes, origin: _Places, scratch: Scratch, length: int) -> It
 
 
 def _sorted_shard(folder: str, length: int, limit: int):
-    """Repeats among the pieces of one task, which come ordered by their bytes, then by place."""
+    """Repeats among the pieces of one task; equal ones follow each other, the earliest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = Scratch(folder, limit)
-        text, origin, last = Bytes(scratch), _Places(scratch), None
+        text, origin = Bytes(scratch), _Places(scratch)
+        last, alone = (None, None), None  # minimum and piece before; a piece that may be the only one
         try:
             for batch in batches:
-                pieces = batch.column("piece").to_pylist()
-                new = [piece != before for piece, before in zip(pieces, [last, *pieces], strict=False)]
-                last = pieces[-1] if pieces else last
-                again = pa.array([not x for x in new])
-                yield batch.select(["doc_id", "version", "start", "n"]).filter(again)
-                rows = [pc.fill_null(batch.column("doc_id"), NO_ID).to_pylist()]
-                rows += [batch.column(c).to_pylist() for c in ("version", "start", "n")]
-                for is_new, piece, *place in zip(new, pieces, *rows, strict=True):
-                    if is_new:
+                columns = [pc.fill_null(batch.column("doc_id"), NO_ID).to_pylist()]
+                columns += [batch.column(c).to_pylist() for c in ("version", "start", "n", "weight", "seed", "piece")]
+                again = []
+                for *place, weight, seed, piece in zip(*columns, strict=True):
+                    again.append((seed, piece) == last)
+                    if again[-1]:
+                        continue
+                    if seed != last[0]:
+                        alone = None
+                    elif alone is not None:
+                        origin.add((text.add(last[1]), *alone))
+                        alone = None
+                    if seed != last[0] and weight < 2:
+                        alone = place
+                    else:
                         origin.add((text.add(piece), *place))
+                    last = (seed, piece)
+                yield batch.select(["doc_id", "version", "start", "n"]).filter(pa.array(again, pa.bool_()))
             origin.close()
-            if last is None:
+            if not origin.firsts:
                 return
             text.close()
             width = 1 << 20
@@ -296,9 +304,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit: int =
     counts = runs.groupBy("seed").agg(F.sum("weight").alias("weight")).where("weight > 1")
     shared = stored(counts.select("seed"), "seeds")
     kept = runs.join(shared, "seed").groupBy("doc_id", "version")
-    kept = kept.agg(F.collect_list(F.struct("start", "n", "seed")).alias("runs"))
+    kept = kept.agg(F.collect_list(F.struct("start", "n", "seed", "weight")).alias("runs"))
     kept = stored(kept, "kept-runs")
-    pieces = _joined(texts, kept, "inner").mapInArrow(_cut(length), f"{PLACE}, seed bigint, piece binary")
+    pieces = _joined(texts, kept, "inner").mapInArrow(_cut(length), f"{PLACE}, seed bigint, weight bigint, piece binary")
     pieces = stored(pieces, "pieces")
     for done in (runs, shared, kept):
         dropped(done)
@@ -309,7 +317,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit: int =
     size = first.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     folder = scratch_dir(spark, "suffixes")
-    order = ["seed", "piece", F.col("doc_id").asc_nulls_last(), "version", "start"]
+    # Pieces in the order of their bytes would make ascending runs of any length in the sorter.
+    order = ["seed", F.xxhash64("piece"), "piece", F.col("doc_id").asc_nulls_last(), "version", "start"]
     cold = first.join(often, "seed", "left_anti").repartition(shards, "seed").sortWithinPartitions(*order)
     found = cold.mapInArrow(_sorted_shard(folder, length, limit), PLACE)
     whole = pieces.where("seed is null").select("doc_id", "version", "start", "n")
@@ -326,10 +335,11 @@ def _without(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "copies", "runs"))
-            for doc_id, copies, runs, text in zip(*columns, as_bytes(batch.column("text")), strict=True):
-                spans = _spans(runs or [], length)
-                rows.append((doc_id, text, spans))
+            spans = _spans(*_listed(batch.column("runs")), length, batch.num_rows)
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "copies"))
+            texts = as_bytes(batch.column("text"))
+            for doc_id, copies, text, own in zip(*columns, texts, spans, strict=True):
+                rows.append((doc_id, text, own))
                 # Equal rows after the first: every string of theirs comes earlier.
                 rows += [(doc_id, text, [(0, len(text))] if len(text) >= length else [])] * (copies - 1)
             for at in range(0, len(rows), 10_000):
@@ -338,14 +348,21 @@ def _without(length: int):
     return run
 
 
-def _spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
-    spans: list[list[int]] = []
-    for start, n in sorted((r["start"], r["n"]) for r in runs):
-        if spans and start <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], start + n + length - 1)
-        else:
-            spans.append([start, start + n + length - 1])
-    return [tuple(s) for s in spans]
+def _spans(row: np.ndarray, start: np.ndarray, n: np.ndarray, length: int, rows: int) -> list[list]:
+    """The covered spans of each row."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    stop = start + n[order] + (length - 1)
+    # Ends so far within a row: rows lie far apart on a common line.
+    far = row * (int(stop.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(stop + far) - far
+    new = np.append(True, (row[1:] != row[:-1]) | (start[1:] > reach[:-1])) if len(row) else np.empty(0, bool)
+    at = np.flatnonzero(new)
+    ends = reach[np.append(at[1:], len(row)) - 1] if len(row) else reach
+    found: list[list] = [[] for _ in range(rows)]
+    for i, a, b in zip(row[at].tolist(), start[at].tolist(), ends.tolist(), strict=True):
+        found[i].append((a, b))
+    return found
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<start:bigint,stop:bigint>>"

@@ -24,7 +24,7 @@ TAIL = 128
 CARRIED = 7
 LOW56 = np.uint64((1 << 56) - 1)
 EIGHT = np.uint64(8)
-BATCH = 1 << 18
+BATCH = 1 << 16
 Rows = tuple[np.ndarray, ...]
 
 
@@ -302,7 +302,7 @@ def _starts(text, scratch: Scratch) -> Stack:
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
     """Ranks from 0 without holes, by the first key, then the second."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     for key in keys:
         ordered = key[order]
@@ -312,24 +312,30 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def _named(text, places: np.ndarray, lengths: np.ndarray, depth: int = 0, group=None) -> np.ndarray:
-    """Ranks of substrings; equal ones share a rank. ``group`` orders them up to ``depth`` symbols."""
-    words = text.cut(places + depth, lengths - depth)
-    ranks = _dense(words) if group is None else _dense(group, words)
-    # A substring that ended differs from those that go on: it has END in this word.
-    on = np.flatnonzero(lengths - depth >= text.step)
-    if not len(on):
-        return ranks
-    deeper = _named(text, places[on], lengths[on], depth + text.step, ranks[on])
-    # Ranks of a group that splits move the later groups up.
-    firsts = np.full(ranks.max() + 2, np.iinfo(np.int64).max)
-    np.minimum.at(firsts, ranks[on], deeper)
-    lasts = np.full(ranks.max() + 2, -1)
-    np.maximum.at(lasts, ranks[on], deeper)
-    more = np.where(lasts >= 0, lasts - firsts, 0)
-    shift = np.cumsum(more) - more
-    result = ranks + shift[ranks]
-    result[on] += deeper - firsts[ranks[on]]
+def _named(text, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ranks of substrings; equal ones share a rank."""
+    levels, depth, group = [], 0, None
+    while True:
+        words = text.cut(places + depth, lengths - depth)
+        ranks = _dense(words) if group is None else _dense(group, words)
+        # A substring that ended differs from those that go on: it has END in this word.
+        on = np.flatnonzero(lengths - depth >= text.step)
+        levels.append((ranks, on))
+        if not len(on):
+            break
+        places, lengths, group, depth = places[on], lengths[on], ranks[on], depth + text.step
+    result = levels.pop()[0]
+    while levels:
+        # Ranks of a group that splits move the later groups up.
+        ranks, on = levels.pop()
+        firsts = np.full(ranks.max() + 2, np.iinfo(np.int64).max)
+        np.minimum.at(firsts, ranks[on], result)
+        lasts = np.full(ranks.max() + 2, -1)
+        np.maximum.at(lasts, ranks[on], result)
+        more = np.where(lasts >= 0, lasts - firsts, 0)
+        whole = ranks + (np.cumsum(more) - more)[ranks]
+        whole[on] += result - firsts[ranks[on]]
+        result = whole
     return result
 
 
@@ -516,7 +522,7 @@ def _induced_names(
         fixed = (relative << 41) | (~induced).astype(np.int64) << 40
         rank = np.empty(len(symbol), np.int64)
         while True:
-            order = np.argsort(fixed + key + 1, kind="stable")
+            order = np.argsort(fixed + key + 1)
             rank[order] = np.arange(base, base + len(order))
             after = rank[source[made]]
             if not len(made) or (after == key[made]).all():

@@ -162,6 +162,14 @@ def test_suffix_order_and_common_prefixes(trial, monkeypatch):
         monkeypatch.undo()
 
 
+def test_long_ascending_runs(tmp_path):
+    """Sorted pieces, whose names ascend over thousands of places."""
+    pieces = [b"b" + b"%06d" % i + b"a" * 30 for i in range(3_000)]
+    places, _, _ = sorted_pieces(pieces, 1 << 20, 1 << 22, 100, str(tmp_path))
+    whole = b"".join([bytes([GAP]) * LEAD, *(p + bytes([GAP]) for p in pieces)])
+    assert places == sorted(range(LEAD, len(whole)), key=lambda i: whole[i:], reverse=True)
+
+
 def test_shard_larger_than_memory(tmp_path):
     """A text of 3 MB with queues of 20,000 rows: the same order as in memory."""
     rng = np.random.default_rng(1)
