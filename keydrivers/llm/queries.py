@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import repeats
 from .bpe_codec import digests, encode_decode
 from .common import table
+from .conversations import damaged, repaired
 from .decontaminate import leaks
 from .near_dedup import near_duplicates
 from .quality_model import scored
@@ -91,3 +92,8 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
