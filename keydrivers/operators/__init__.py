@@ -32,6 +32,7 @@ from .features import (
     one_hot,
     prepared,
 )
+from .forest_path import forest_nodes
 from .metrics import leaderboard, regression_metrics, stacked
 from .models import (
     FittedRegression,

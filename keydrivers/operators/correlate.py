@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import FeatureSpec
-from .products import COMPILED_WIDTH, column_stats, product_sums
+from .products import COMPILED_WIDTH, column_stats, pair_moments, product_sums
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -51,8 +50,7 @@ def _from_products(df: DataFrame, cols: Sequence[str], compiled_width: int) -> D
     """(a, b, r) of all pairs of columns in their order, a column with itself included."""
     stats = column_stats(df, cols)
     if not stats.complete:
-        # Sums around the means of all rows say little about the rows that a pair has.
-        return _direct(df, list(combinations_with_replacement(cols, 2)))
+        return _from_moments(df, cols)
     sums = product_sums(df, cols, stats, compiled_width=compiled_width)
     cxy = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
     cxx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
@@ -65,14 +63,30 @@ def _from_products(df: DataFrame, cols: Sequence[str], compiled_width: int) -> D
     return sums.select(names[i].alias("a"), names[j].alias("b"), r.alias("r"))
 
 
+def _from_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The same for columns with gaps, each pair around the means of its own rows."""
+    found = pair_moments(df, cols)
+    names = F.array(*[F.lit(c) for c in cols])
+    i, j, n = F.col("i"), F.col("j"), F.col("n")
+
+    def spread(square: str, mean: str) -> Column:
+        # Less than doubles resolve around the mean is no spread.
+        return F.sqrt(F.col(square)) > F.sqrt(n) * F.abs(F.col(mean)) * F.lit(4e-15)
+
+    both = (n > 1) & spread("cxx", "mx") & spread("cyy", "my")
+    pair = F.try_divide(F.col("cxy"), F.sqrt(F.col("cxx")) * F.sqrt(F.col("cyy")))
+    r = F.when(both, F.when(i == j, F.lit(1.0)).otherwise(pair))
+    return found.select(names[i].alias("a"), names[j].alias("b"), r.alias("r"))
+
+
 def correlation_matrix(
     df: DataFrame, cols: Iterable[str], compiled_width: int = COMPILED_WIDTH
 ) -> DataFrame:
     """Long form (a, b, r) of the full symmetric matrix, in two passes over the data.
 
     The first pass gives means and null counts; the second sums products around the means, or,
-    where values are missing, takes central moments by pair. A column or pair without spread has
-    no correlation: null, also with itself.
+    where values are missing, merges means and centred products of every pair over its own rows. A
+    column or pair without spread has no correlation: null, also with itself.
     """
     cols = list(cols)
     upper = _from_products(_doubles(df, cols), cols, compiled_width)

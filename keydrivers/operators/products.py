@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Up to here one aggregate over all pairs stays small enough for the JVM to compile. For more
@@ -91,22 +91,12 @@ def _task_sums(width: int, mean: np.ndarray):
                 [c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns[1:]]
             )
             x -= mean
-            there = ~np.isnan(x)
-            complete = there.all()
-            x[~there] = 0.0
             for g in np.unique(groups):
-                part = groups == g
-                rows = x[part]
+                rows = x[groups == g]
                 sums = found.setdefault(int(g), np.zeros((4, width, width)))
-                if complete:
-                    sums[0] += len(rows)
-                    sums[1] += rows.sum(0)[:, None]
-                    sums[2] += (rows * rows).sum(0)[:, None]
-                else:
-                    mask = there[part].astype("float64")
-                    sums[0] += mask.T @ mask
-                    sums[1] += rows.T @ mask
-                    sums[2] += (rows * rows).T @ mask
+                sums[0] += len(rows)
+                sums[1] += rows.sum(0)[:, None]
+                sums[2] += (rows * rows).sum(0)[:, None]
                 sums[3] += rows.T @ rows
         for g, (n, sx, sxx, sxy) in found.items():
             values = (n, sx, sx.T, sxx, sxx.T, sxy)
@@ -142,14 +132,100 @@ def product_sums(
     by: str | None = None,
     compiled_width: int = COMPILED_WIDTH,
 ) -> DataFrame:
-    """(by, i, j, n, sx, sy, sxx, syy, sxy) for each pair i <= j of double columns.
+    """(by, i, j, n, sx, sy, sxx, syy, sxy) for each pair i <= j of double columns without gaps.
 
-    Values are taken as differences from the column mean, which keeps the sums accurate, and a
-    pair sums over the rows where both are set. ``by`` is a column of small whole numbers. What
-    is shuffled is one table of pairs for each task, whatever the number of rows.
+    Values are taken as differences from the column mean, which keeps the sums accurate. ``by`` is
+    a column of small whole numbers. What is shuffled is one table of pairs for each task, whatever
+    the number of rows.
     """
     groups = [by] if by else []
     if stats.complete and len(cols) <= compiled_width:
         sums = df.groupBy(*groups).agg(*compiled_sums(cols, stats.mean))
         return listed_pairs(sums, len(cols), groups)
     return _in_blocks(df, cols, stats.mean, groups)
+
+
+def _task_moments(width: int):
+    """For mapInArrow: n, means and centred products of all pairs over one task's rows, gaps left out.
+
+    Each batch gives all pairs as four matrix products around the means of its columns. Where the rows of a
+    pair lie so far from these that digits would be lost, that pair is taken from its own rows. Batches are
+    merged by Chan's rule.
+    """
+    upper_i, upper_j = np.triu_indices(width)
+
+    def of_batch(x: np.ndarray) -> list[np.ndarray]:
+        there = ~np.isnan(x)
+        mask = there.astype("float64")
+        count = mask.sum(0)
+        shift = np.where(there, x, 0.0).sum(0) / np.maximum(count, 1.0)
+        z = np.where(there, x - shift, 0.0)
+        n = mask.T @ mask
+        sx = z.T @ mask
+        sxx = (z * z).T @ mask
+        some = np.maximum(n, 1.0)
+        m = sx / some
+        cxx = np.maximum(sxx - sx * m, 0.0)
+        cxy = z.T @ z - sx * m.T
+        mean = shift[:, None] + m
+        poor = (n > 1) & (cxx < 1e-6 * sxx)
+        for i, j in np.argwhere(np.triu(poor | poor.T)):
+            both = there[:, i] & there[:, j]
+            a, b = x[both, i], x[both, j]
+            mean[i, j], mean[j, i] = a.mean(), b.mean()
+            a, b = a - mean[i, j], b - mean[j, i]
+            cxx[i, j], cxx[j, i] = a @ a, b @ b
+            cxy[i, j] = cxy[j, i] = a @ b
+        return [n, mean, cxx, cxy]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, cxx, cxy = (np.zeros((width, width)) for _ in range(4))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack(
+                [c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns]
+            )
+            more, mean_b, cxx_b, cxy_b = of_batch(x)
+            total = np.maximum(n + more, 1.0)
+            step = np.where(more > 0, mean_b - mean, 0.0)
+            weight = n * more / total
+            cxx += cxx_b + step * step * weight
+            cxy += cxy_b + step * step.T * weight
+            mean += step * more / total
+            n = n + more
+        found = {"n": n, "mx": mean, "my": mean.T, "cxx": cxx, "cyy": cxx.T, "cxy": cxy}
+        yield pa.RecordBatch.from_pydict(
+            {
+                "i": upper_i.astype("int32"),
+                "j": upper_j.astype("int32"),
+                **{k: v[upper_i, upper_j] for k, v in found.items()},
+            }
+        )
+
+    return run
+
+
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, n, mx, my, cxx, cyy, cxy) for each pair i <= j of double columns over the rows that have both.
+
+    ``mx`` is the mean of column i over these rows, ``cxy`` the sum of products around the means. One pass; what is
+    shuffled is one table of pairs for each task. Tasks are merged around the common mean of the pair.
+    """
+    schema = "i int, j int, n double, mx double, my double, cxx double, cyy double, cxy double"
+    tasks = df.select(*cols).mapInArrow(_task_moments(len(cols)), schema)
+    pair = Window.partitionBy("i", "j")
+
+    def common(mean: str):
+        return F.try_divide(F.sum(F.col("n") * F.col(mean)).over(pair), F.sum("n").over(pair))
+
+    tasks = tasks.withColumns({"dx": F.col("mx") - common("mx"), "dy": F.col("my") - common("my")})
+    n, dx, dy = F.col("n"), F.col("dx"), F.col("dy")
+    return tasks.groupBy("i", "j").agg(
+        F.sum("n").alias("n"),
+        F.try_divide(F.sum(n * F.col("mx")), F.sum("n")).alias("mx"),
+        F.try_divide(F.sum(n * F.col("my")), F.sum("n")).alias("my"),
+        F.sum(F.col("cxx") + F.coalesce(n * dx * dx, F.lit(0.0))).alias("cxx"),
+        F.sum(F.col("cyy") + F.coalesce(n * dy * dy, F.lit(0.0))).alias("cyy"),
+        F.sum(F.col("cxy") + F.coalesce(n * dx * dy, F.lit(0.0))).alias("cxy"),
+    )

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..sources import kept, result_schema, rows_to_frame
 from ..spec import FeatureSpec
 from .features import FEATURES, feature_pipeline, feature_slots, prepared
+from .forest_path import NESTED, nested_scores
 from .metrics import regression_metrics
 from .models import (
     FittedRegression,
@@ -208,11 +209,84 @@ def forest_cv(
     parallelism: int = 2,
     invalid: str = "error",
     model: str = "forest",
+    method: str = "nested",
+    **options,
 ) -> CvResult:
-    """Cross-validate a random forest."""
-    return cross_validate(
-        df, spec, forest_regressor(spec), grid or FOREST_GRID, fold, metrics, model, parallelism, invalid
-    )
+    """Cross-validate a random forest, then refit the best point on all rows.
+
+    ``method="nested"``: one forest for each fold, of the most trees, the greatest depth and the least
+    gain of the grid. A point with fewer trees is its first ones, one with less depth or a higher
+    gain is the same trees cut; so points differ by their parameters alone, not by other samples of rows. All
+    points of all folds are scored in one scan. Parameters other than ``numTrees``, ``maxDepth`` and
+    ``minInfoGain`` get forests of their own, as does a single tree, which Spark grows differently.
+    ``method="refit"``: every point of every fold is fitted by itself, on its own samples.
+    ``options`` are further parameters of Spark's regressor.
+    """
+    if method not in ("nested", "refit"):
+        raise ValueError(f"method must be 'nested' or 'refit', not {method!r}")
+    grid = dict(grid or FOREST_GRID)
+    regressor = forest_regressor(spec, **options)
+    if method == "refit":
+        return cross_validate(df, spec, regressor, grid, fold, metrics, model, parallelism, invalid)
+    rows = prepared(df.select(*spec.columns, fold), spec, invalid)
+    features = feature_pipeline(spec, invalid).fit(rows)
+    with_features = features.transform(rows)
+    slots = tuple(feature_slots(with_features, spec))
+    points = combinations_of(grid)
+    scores: dict[tuple, list] = {}
+    with kept(with_features.select(FEATURES, spec.target, fold)) as vectors:
+        folds = sorted(r[0] for r in vectors.select(fold).distinct().collect())
+        for others, axes in _nested_groups(regressor, points):
+            largest = others | {
+                "numTrees": max(axes["numTrees"]), "maxDepth": max(axes["maxDepth"]), "minInfoGain": min(axes["minInfoGain"]),
+            }
+            (params,) = param_grid(regressor, {name: (value,) for name, value in largest.items()})
+
+            def fit(held_out: int):
+                return regressor.fit(vectors.where(F.col(fold) != held_out), params)  # noqa: B023
+
+            with ThreadPool(parallelism) as pool:
+                fitted = pool.map(inheritable_thread_target(rows.sparkSession)(fit), folds)
+            found = nested_scores(
+                vectors, dict(zip(folds, fitted, strict=True)), spec.target, fold,
+                axes["numTrees"], axes["maxDepth"], axes["minInfoGain"],
+            )
+            for row in found.orderBy("fold").collect():
+                point = others | {
+                    "numTrees": row["trees"], "maxDepth": row["depth"], "minInfoGain": axes["minInfoGain"][row["least"]],
+                }
+                scores.setdefault(_key_of(point), []).append(row)
+        best_of = tuple(
+            _summarised(point, metric, [row[metric] for row in scores[_key_of(_full(regressor, point))]])
+            for metric in metrics
+            for point in points
+        )
+        best = _best([p for p in best_of if p.metric == metrics[0]]).params
+        (chosen,) = param_grid(regressor, {name: (value,) for name, value in best.items()})
+        stages = [*features.stages, regressor.fit(vectors, chosen)]
+    used = tuple(s.idx for s in slots)
+    return CvResult(model, best_of, best, FittedRegression(spec, PipelineModel(stages), slots, used, invalid))
+
+
+def _full(regressor: Estimator, point: Mapping[str, float]) -> dict[str, float]:
+    """A grid point with the nested parameters that the grid leaves out."""
+    return {name: regressor.getOrDefault(name) for name in NESTED} | dict(point)
+
+
+def _key_of(point: Mapping[str, float]) -> tuple:
+    return tuple(sorted(point.items()))
+
+
+def _nested_groups(regressor: Estimator, points: Sequence[Mapping[str, float]]) -> list[tuple[dict, dict]]:
+    """(parameters that need forests of their own, values of the nested ones) for all points."""
+    groups: dict[tuple, tuple[dict, dict]] = {}
+    for point in points:
+        full = _full(regressor, point)
+        others = {name: value for name, value in full.items() if name not in NESTED}
+        own, axes = groups.setdefault((_key_of(others), full["numTrees"] == 1), (others, {n: set() for n in NESTED}))
+        for name in NESTED:
+            axes[name].add(full[name])
+    return [(own, {n: sorted(v) for n, v in axes.items()}) for own, axes in groups.values()]
 
 
 def cv_report(spark: SparkSession, result: CvResult) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import keydrivers
 from keydrivers import operators as ops
+from keydrivers.operators.forest_path import forest_nodes, nested_scores
 from keydrivers.operators.moments import Moments, ridge_path
 from keydrivers.plans import (
     STRONG_SPEC,
@@ -17,7 +18,7 @@ from keydrivers.plans import (
     write_results,
 )
 from keydrivers.sources import read_table
-from workload.fixtures import NUMERIC_SPEC, ORDER_SPEC, PRIORITY_SPEC
+from workload.fixtures import NUMERIC_SPEC, ORDER_KEY, ORDER_SPEC, PRIORITY_SPEC
 
 GRID = (0.5, 1.5, 20_000.0)
 
@@ -147,6 +148,60 @@ def test_forest_grid(spark, folded):
     assert ops.score(result.fitted, folded).count() == folded.count()
 
 
+def test_points_of_a_nested_forest_are_its_cuts(spark, orders):
+    """Scores of the largest point are Spark's own; fewer trees, less depth and more gain cut the same trees."""
+    rows = ops.assign_folds(orders, ORDER_KEY, 2).persist()
+    grid = {"numTrees": (2, 5), "maxDepth": (0, 2, 4), "minInfoGain": (0.0, 1e8)}
+    found = ops.forest_cv(rows, ORDER_SPEC, grid, metrics=("r2", "rmse", "mae"))
+    means = {(*p.params.values(), p.metric): p.mean for p in found.points}
+    assert len(means) == 36
+    refitted = ops.forest_cv(
+        rows, ORDER_SPEC, {"numTrees": (5,), "maxDepth": (4,), "minInfoGain": (0.0,)}, metrics=("r2", "rmse", "mae"), method="refit"
+    )
+    for p in refitted.points:
+        assert means[5, 4, 0.0, p.metric] == pytest.approx(p.mean, rel=1e-9)
+    # Depth 0 is the mean of each tree's sample; more depth explains more.
+    assert abs(means[5, 0, 0.0, "r2"]) < 0.02
+    assert means[5, 2, 0.0, "r2"] < means[5, 4, 0.0, "r2"]
+    assert means[2, 4, 1e8, "r2"] != means[2, 4, 0.0, "r2"]
+    assert found.best in [p.params for p in found.points]
+    assert found.fitted.regressor.getNumTrees == found.best["numTrees"]
+    with pytest.raises(ValueError, match="nested"):
+        ops.forest_cv(rows, ORDER_SPEC, grid, method="other")
+
+
+def test_cuts_by_hand(spark, orders):
+    """A point below the largest one equals a walk over the nodes of the saved forest."""
+    rows = ops.assign_folds(orders, ORDER_KEY, 2).persist()
+    model = ops.fit_forest(rows, ORDER_SPEC, num_trees=3, max_depth=4, min_info_gain=0.0)
+    vectors = model.pipeline.transform(ops.prepared(rows, ORDER_SPEC)).select("features", "target", "fold")
+    nodes = {(r.tree, r.node): r for r in forest_nodes(model.regressor).collect()}
+
+    def cut(x, trees, depth, gain):
+        total = 0.0
+        for t in range(trees):
+            node = nodes[t, 0]
+            for _ in range(depth):
+                if node.left < 0 or node.gain < gain:
+                    break
+                left = x[node.feature] in node.categories if node.threshold is None else x[node.feature] <= node.threshold
+                node = nodes[t, node.left if left else node.right]
+            total += node.prediction
+        return total / trees
+
+    scores = nested_scores(vectors, {0: model.regressor, 1: model.regressor}, "target", "fold", (1, 3), (1, 3), (0.0, 1e9))
+    found = {(r.fold, r.trees, r.depth, r.least): r for r in scores.collect()}
+    data = vectors.collect()
+    for fold, trees, depth, least in found:
+        own = [(r.target, cut(r.features.toArray(), trees, depth, (0.0, 1e9)[least])) for r in data if r.fold == fold]
+        errors = [y - p for y, p in own]
+        row = found[fold, trees, depth, least]
+        assert row.n == len(own)
+        assert row.mae == pytest.approx(sum(map(abs, errors)) / len(errors))
+        assert row.rmse == pytest.approx((sum(e * e for e in errors) / len(errors)) ** 0.5)
+    assert len(found) == 16
+
+
 def test_whole_vehicle_analysis(spark, vehicles, tmp_path):
     grid = {"numTrees": (5,), "maxDepth": (4,), "minInfoGain": (0.01,)}
     found = analyse_vehicles(vehicles, forest_grid=grid, folds=3, parallelism=4)
@@ -175,7 +230,7 @@ def test_whole_vehicle_analysis(spark, vehicles, tmp_path):
 
 def test_no_rows_are_collected_in_the_library():
     """Driver-side results are bounded by columns, slots or groups, in these files only."""
-    allowed = {"profile.py": 1, "quantiles.py": 1, "moments.py": 1, "tuning.py": 1}
+    allowed = {"profile.py": 1, "quantiles.py": 1, "moments.py": 1, "tuning.py": 3}
     root = Path(keydrivers.__file__).parent
     for path in root.rglob("*.py"):
         if path.parent.name == "llm":

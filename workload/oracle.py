@@ -313,6 +313,18 @@ def _wide(cols: tuple[str, ...]) -> str:
     )
 
 
+def _wide_gaps(width: int) -> str:
+    columns = ", ".join(
+        f"CASE WHEN (l_orderkey * 7 + l_linenumber) % {width} <> {k} THEN "
+        f"(l_extendedprice + l_quantity * 500) * {1.0 + k}::DOUBLE + (l_partkey * {k + 3} % 997) * 100.0::DOUBLE END AS c{k:02d}"
+        for k in range(width)
+    )
+    names = [f"c{k:02d}" for k in range(width)]
+    return f"WITH gaps AS (SELECT {columns} FROM lineitem) " + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 8) AS r FROM gaps" for a in names for b in names
+    )
+
+
 def _index_of(table: str, key: str, cols: tuple[str, ...]) -> str:
     ctes = ", ".join(
         f"i{n} AS (SELECT {c}, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS DOUBLE) "
@@ -407,6 +419,37 @@ importances AS (
 {select}"""
 
 
+def _tree_cv(select: str) -> str:
+    """Scores of trees of depth 1 and 2 over the folds; ``points`` has their mean and spread."""
+    value = "CASE {b}.f WHEN 'n_lines' THEN n_lines ELSE order_year END".format
+    return f"""WITH {ORDER_FEATURES}, {MARKED},
+folded AS (SELECT *, {_fold('fold-42', 5, 'o_orderkey')} AS fold FROM marked WHERE split = 'train'),
+turns AS (SELECT DISTINCT fold AS held FROM folded),
+root AS (SELECT f.*, held AS node FROM folded f JOIN turns ON fold <> held),
+{_best_splits("root", "first_cut")},
+halves AS (
+  SELECT m.*, held, 2 * held + CASE WHEN {value(b="b")} <= b.t THEN 0 ELSE 1 END AS node
+  FROM folded m CROSS JOIN turns JOIN first_cut b ON b.node = held),
+below AS (SELECT * FROM halves WHERE fold <> held),
+{_best_splits("below", "second_cut")},
+quarters AS (
+  SELECT h.*, CASE WHEN {value(b="b")} <= b.t THEN 1 ELSE 2 END AS leaf
+  FROM halves h JOIN second_cut b USING (node)),
+shallow AS (SELECT node, avg(target) AS p FROM below GROUP BY node),
+deep AS (SELECT node, leaf, avg(target) AS p FROM quarters WHERE fold <> held GROUP BY node, leaf),
+scored AS (
+  SELECT 1 AS depth, held, target AS y, p FROM halves JOIN shallow USING (node) WHERE fold = held
+  UNION ALL SELECT 2, held, target, p FROM quarters JOIN deep USING (node, leaf) WHERE fold = held),
+scores AS (
+  SELECT depth, held, 1 - avg((y - p) * (y - p)) / var_pop(y) AS r2, sqrt(avg((y - p) * (y - p))) AS rmse,
+         avg(abs(y - p)) AS mae
+  FROM scored GROUP BY depth, held),
+points AS (
+  SELECT depth, metric, avg(score) AS mean, stddev_pop(score) AS std
+  FROM (UNPIVOT scores ON r2, rmse, mae INTO NAME metric VALUE score) u GROUP BY depth, metric)
+{select}"""
+
+
 TREE_IMPORTANCE = """SELECT feature, feature AS field, round(importance, 6) AS importance,
   CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM importances"""
 
@@ -585,6 +628,7 @@ FROM (SELECT range AS bin FROM range(1, 7)) e LEFT JOIN counted USING (bin)""",
 SELECT 'x' AS a, 'y' AS b, round(corr(x, y), 6) AS r FROM pairs
 UNION ALL SELECT 'y', 'x', round(corr(x, y), 6) FROM pairs
 UNION ALL SELECT unnest(['x', 'y']), unnest(['x', 'y']), 1.0""",
+        "correlation_wide_gaps": _wide_gaps(24),
         "linear_many_levels": """WITH rows AS (
   SELECT CAST(l_orderkey % 2200 AS VARCHAR) AS level, l_quantity AS x, l_extendedprice AS y FROM lineitem),
 means AS (SELECT level, avg(x) AS mx, avg(y) AS my FROM rows GROUP BY level),
@@ -593,8 +637,15 @@ effects AS (SELECT level, my - b * mx AS e, avg(my - b * mx) OVER () AS centre F
 SELECT 'level_vec_' || level AS feature, 'level' AS field, level AS category, round(e - centre, 2) + 0.0 AS coefficient
 FROM effects
 UNION ALL SELECT 'l_quantity', 'l_quantity', NULL, round(b, 2) + 0.0 FROM slope""",
-        "forest_cv": """SELECT 'forest' AS model, CAST(row_number() OVER (ORDER BY trees, depth) - 1 AS INTEGER)
-  AS point, unnest(['numTrees', 'maxDepth', 'minInfoGain']) AS param,
-  unnest([CAST(trees AS DOUBLE), depth, 0.01]) AS "value", 'r2' AS metric, true AS sound
-FROM (VALUES (25), (50)) t(trees) CROSS JOIN (VALUES (9), (12)) d(depth)""",
+        "tree_cv": _tree_cv(
+            "SELECT 'tree' AS model, CAST(depth - 1 AS INTEGER) AS point, param, "
+            "CASE param WHEN 'numTrees' THEN 1.0::DOUBLE WHEN 'maxDepth' THEN depth ELSE 0.0 END AS \"value\", "
+            "metric, round(mean, 4) AS mean, round(std, 4) AS std FROM points "
+            "CROSS JOIN (VALUES ('numTrees'), ('maxDepth'), ('minInfoGain')) p(param)"
+        ),
+        "best_tree": _tree_cv(
+            "SELECT 'tree' AS model, unnest(['numTrees', 'maxDepth', 'minInfoGain']) AS param, "
+            "unnest([1.0::DOUBLE, depth, 0.0]) AS \"value\" "
+            "FROM (SELECT * FROM points WHERE metric = 'r2' ORDER BY mean DESC LIMIT 1) b"
+        ),
     }

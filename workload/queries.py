@@ -586,13 +586,20 @@ def importance_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.importance_by_field(importances)
 
 
+def _forest_cv(spark, sf_dir):
+    train = ops.assign_folds(_train(spark, sf_dir), ORDER_KEY)
+    return ops.forest_cv(train, ORDER_SPEC, parallelism=4)
+
+
 @query
 def forest_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every point of the grid, with a mean R² that a fit to such data must reach."""
-    train = ops.assign_folds(_train(spark, sf_dir), ORDER_KEY)
-    found = ops.cv_report(spark, ops.forest_cv(train, ORDER_SPEC, parallelism=4))
-    sound = F.col("mean").between(0.5, 1.0) & F.col("std").between(0.0, 0.2)
-    return found.select("model", "point", "param", "value", "metric", sound.alias("sound"))
+    """Mean and spread of R² at every point of the grid."""
+    return ops.cv_report(spark, _forest_cv(spark, sf_dir))
+
+
+@query
+def best_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.best_params(spark, _forest_cv(spark, sf_dir))
 
 
 @query
@@ -661,6 +668,27 @@ def importance_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read_table(spark, path, result.schema), {"importance": 6})
 
 
+def _tree_cv(spark, sf_dir):
+    train = ops.assign_folds(_train(spark, sf_dir), ORDER_KEY)
+    grid = {"numTrees": (1,), "maxDepth": (1, 2), "minInfoGain": (0.0,)}
+    return ops.forest_cv(
+        train, TREE_SPEC, grid, model="tree", metrics=("r2", "rmse", "mae"), parallelism=4,
+        bootstrap=False, featureSubsetStrategy="all",
+    )
+
+
+@query
+def tree_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths 1 and 2 of a single tree, both from the deeper one of each fold."""
+    found = ops.cv_report(spark, _tree_cv(spark, sf_dir))
+    return rounded(found, {"mean": 4, "std": 4})
+
+
+@query
+def best_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.best_params(spark, _tree_cv(spark, sf_dir))
+
+
 @query
 def forest_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold for any forest: rows by split, importances that add up, slots by field."""
@@ -715,6 +743,20 @@ def correlation_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ops.correlation_matrix(rows, ["x", "y"]), {"r": 6})
 
 
+@query
+def correlation_wide_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 columns, each with gaps of its own: prices of lines at one of 24 places of a cycle are missing."""
+    lines = table(spark, sf_dir, "lineitem")
+    place = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 24
+    value = F.col("l_extendedprice") + F.col("l_quantity") * 500
+    columns = {
+        f"c{k:02d}": F.when(place != k, value * F.lit(1.0 + k) + F.pmod(F.col("l_partkey") * (k + 3), F.lit(997)) * 100.0)
+        for k in range(24)
+    }
+    rows = lines.select([c.alias(name) for name, c in columns.items()])
+    return rounded(ops.correlation_matrix(rows, list(columns)), {"r": 8})
+
+
 @query
 def linear_many_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More than 2,000 levels of a category."""
