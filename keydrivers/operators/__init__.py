@@ -1,8 +1,10 @@
 from .charts import (
     QUARTILES,
+    auto_histogram,
     box_stats,
     distribution_by,
     histogram,
+    scatter_points,
     scatter_sample,
     yearly_average,
 )
@@ -21,6 +23,7 @@ from .explain import (
     importance_by_field,
     model_metrics,
     overfit_report,
+    overfit_reports,
     residual_table,
     slot_table,
 )
@@ -33,7 +36,7 @@ from .features import (
     prepared,
 )
 from .forest_path import forest_nodes
-from .metrics import leaderboard, regression_metrics, stacked
+from .metrics import leaderboard, metrics_of_all, regression_metrics, stacked
 from .models import (
     FittedRegression,
     LinearFit,
@@ -44,6 +47,7 @@ from .models import (
     linear_regressor,
     model_pipeline,
     score,
+    score_all,
 )
 from .ordering import top_k
 from .profile import category_cardinality, category_values, null_profile

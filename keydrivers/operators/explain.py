@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import result_schema, rows_to_frame
-from .metrics import regression_metrics
-from .models import PREDICTION, FittedRegression, LinearFit, score
+from .metrics import metrics_of_all, regression_metrics
+from .models import PREDICTION, FittedRegression, LinearFit, score, score_all
 
 INTERCEPT = "(intercept)"
 
@@ -134,3 +136,16 @@ def overfit_report(
     return regression_metrics(score(model, marked), model.spec.target, by=split).select(
         F.lit(name).alias("model"), F.col(split).alias("split"), "n", "rmse", "mae", "r2"
     )
+
+
+def overfit_reports(
+    models: Mapping[str, LinearFit | FittedRegression], marked: DataFrame, split: str = "split"
+) -> DataFrame:
+    """``overfit_report`` of many models from one read of the rows and one aggregate."""
+    # Numbered, so that a model may have the name of a column.
+    columns = {f"__model{k}": name for k, name in enumerate(models)}
+    scored = score_all({c: models[name] for c, name in columns.items()}, marked)
+    targets = {c: models[name].spec.target for c, name in columns.items()}
+    found = metrics_of_all(scored, targets, by=split)
+    names = F.element_at(F.create_map(*[F.lit(x) for pair in columns.items() for x in pair]), F.col("model"))
+    return found.select(names.alias("model"), F.col(split).alias("split"), "n", "rmse", "mae", "r2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -56,3 +56,34 @@ def leaderboard(results: Iterable[DataFrame]) -> DataFrame:
     columns = ["model", "split", "n", "rmse", "mae", "r2"]
     rows = stacked(r.select(*columns) for r in results)
     return rows.orderBy("split", F.desc_nulls_last("r2"), "model")
+
+
+def metrics_of_all(
+    scored: DataFrame, targets: Mapping[str, str], by: Sequence[str] | str = ()
+) -> DataFrame:
+    """(by, model, n, rmse, mae, r2) for each column of predictions, in one aggregate.
+
+    ``targets`` names the label of each column of predictions. Rows as in ``regression_metrics``.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    sums, cells = [], []
+    for k, (prediction, label) in enumerate(targets.items()):
+        y = seen_value(label)
+        error = y - seen_value(prediction)
+        sums += [
+            F.count(error).alias(f"__n{k}"),
+            F.avg(error * error).alias(f"__mse{k}"),
+            F.avg(F.abs(error)).alias(f"__mae{k}"),
+            F.var_pop(F.when(error.isNotNull(), y)).alias(f"__var{k}"),
+        ]
+        mse = F.col(f"__mse{k}")
+        cells.append(
+            F.struct(
+                F.lit(prediction).alias("model"),
+                F.col(f"__n{k}").alias("n"),
+                F.sqrt(mse).alias("rmse"),
+                F.col(f"__mae{k}").alias("mae"),
+                (F.lit(1.0) - F.try_divide(mse, F.col(f"__var{k}"))).alias("r2"),
+            )
+        )
+    return scored.groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*cells)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,9 @@ PREDICTION = "prediction"
 FULL_FEATURES = "all_features"
 
 FOREST_SEED = 42
+# Levels of a category, the most frequent ones, whose effects every executor gets.
+HOT_LEVELS = 10_000
+SPREAD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -237,35 +241,94 @@ def fit_forest(
 
 
 def score(model: LinearFit | FittedRegression, df: DataFrame) -> DataFrame:
-    """The rows as they are, with a ``prediction`` column; no shuffle, and no target needed."""
-    spec = model.spec
-    missing = [c for c in spec.predictors if c not in df.columns]
-    if missing:
-        raise ValueError(f"columns not in the table: {missing}")
-    rows = named_categories(df.withColumn("__row", F.struct(*df.columns)), spec.categorical)
-    rows = require_values(rows, spec.numeric, model.invalid)
-    if isinstance(model, LinearFit):
-        return _score_linear(model, rows)
-    return model.pipeline.transform(rows).select("__row.*", PREDICTION)
-
-
-def _score_linear(model: LinearFit, rows: DataFrame) -> DataFrame:
-    """Coefficients times numbers, plus the effect of each level from a small lookup table.
-
-    The lookup tables have one row for each slot and a size that Spark knows, so it broadcasts them
-    unless there are very many. A missing or unseen category adds nothing.
+    """The rows as they are, with a ``prediction`` column; no shuffle of a hot level, and no target needed."""
+    return score_all({PREDICTION: model}, df)
+
+
+def score_all(models: Mapping[str, LinearFit | FittedRegression], df: DataFrame) -> DataFrame:
+    """The rows as they are, with a column of predictions for each model, by its name, from one read.
+
+    Linear models share one lookup for each category field, whose rows hold the effects in all of
+    them. A row that a model skips (``invalid="skip"``) is left out for all.
     """
-    prediction = F.lit(float(model.intercept))
-    for i, field in enumerate(model.spec.categorical):
-        levels = [s for s in model.slots if s.field == field]
-        effects = rows_to_frame(
-            rows.sparkSession,
-            [(s.category, float(model.coefficients[s.idx])) for s in levels],
-            result_schema(**{f"__level{i}": T.StringType(), f"__effect{i}": T.DoubleType()}),
-        )
-        rows = rows.join(effects, F.col(field) == F.col(f"__level{i}"), "left")
-        prediction = prediction + F.coalesce(F.col(f"__effect{i}"), F.lit(0.0))
-    for s in model.slots:
-        if s.category is None:
-            prediction = prediction + F.col(s.name) * F.lit(float(model.coefficients[s.idx]))
-    return rows.select("__row.*", prediction.alias(PREDICTION))
+    for model in models.values():
+        missing = [c for c in model.spec.predictors if c not in df.columns]
+        if missing:
+            raise ValueError(f"columns not in the table: {missing}")
+    rows = df.select(F.struct(*df.columns).alias("__row"))
+    linear = {name: m for name, m in models.items() if isinstance(m, LinearFit)}
+    if linear:
+        rows = _score_linear(linear, rows)
+    for name, model in models.items():
+        if name not in linear:
+            spec = model.spec
+            # The pipeline adds columns of its own; what is known so far waits in a struct.
+            held = rows.select(F.struct(*rows.columns).alias("__held"))
+            flat = held.select("__held", *[F.col(f"__held.__row.`{c}`").alias(c) for c in spec.predictors])
+            flat = require_values(named_categories(flat, spec.categorical), spec.numeric, model.invalid)
+            scored = model.pipeline.transform(flat)
+            rows = scored.select("__held.*", F.col(PREDICTION).alias(name))
+    return rows.select("__row.*", *models)
+
+
+def _score_linear(models: Mapping[str, LinearFit], rows: DataFrame) -> DataFrame:
+    """Coefficients times numbers, plus the effect of each level from a lookup table.
+
+    A missing or unseen category adds nothing.
+    """
+    specs = [m.spec for m in models.values()]
+    categorical = list(dict.fromkeys(c for spec in specs for c in spec.categorical))
+    numeric = list(dict.fromkeys(c for spec in specs for c in spec.numeric))
+    flat = rows.select(*rows.columns, *[F.col(f"__row.`{c}`").alias(c) for c in [*categorical, *numeric]])
+    flat = named_categories(flat, categorical)
+    for model in models.values():
+        flat = require_values(flat, model.spec.numeric, model.invalid)
+    predictions = {name: F.lit(float(m.intercept)) for name, m in models.items()}
+    for i, field in enumerate(categorical):
+        effects: dict[str, dict[str, float]] = {}
+        for name, model in models.items():
+            for s in model.slots:
+                if s.field == field and s.category is not None:
+                    effects.setdefault(s.category, {})[name] = float(model.coefficients[s.idx])
+        flat = _with_effects(flat, field, i, effects, list(models))
+        for k, name in enumerate(models):
+            if field in models[name].spec.categorical:
+                predictions[name] = predictions[name] + F.coalesce(F.col(f"__effect{i}_{k}"), F.lit(0.0))
+    for name, model in models.items():
+        for s in model.slots:
+            if s.category is None:
+                predictions[name] = predictions[name] + F.col(s.name) * F.lit(float(model.coefficients[s.idx]))
+    return flat.select(*rows.columns, *[p.alias(name) for name, p in predictions.items()])
+
+
+def _with_effects(
+    rows: DataFrame, field: str, i: int, effects: Mapping[str, Mapping[str, float]], names: Sequence[str]
+) -> DataFrame:
+    """Columns __effect<i>_<k>: the effect of the row's level of ``field`` in each model.
+
+    Levels come by falling frequency, so the first HOT_LEVELS hold every level with more than that share of the
+    rows. They are broadcast. Rows of other levels are dealt by their level, all the rest, missing
+    levels included, by a hash of the row, so that no task gets a hot level.
+    """
+    columns = [f"__effect{i}_{k}" for k in range(len(names))]
+    kinds = {c: T.DoubleType() for c in columns}
+    listed = [(level, *[by.get(name) for name in names]) for level, by in effects.items()]
+
+    def lookup(part: list[tuple], level: str, values: Sequence[str]) -> DataFrame:
+        schema = result_schema(**{level: T.StringType()}, **dict(zip(values, kinds.values(), strict=True)))
+        return rows_to_frame(rows.sparkSession, part, schema)
+
+    hot = F.broadcast(lookup(listed[:HOT_LEVELS], f"__hot{i}", columns))
+    joined = rows.join(hot, F.col(field) == F.col(f"__hot{i}"), "left")
+    if len(listed) <= HOT_LEVELS:
+        return joined.drop(f"__hot{i}")
+    colder = [f"{c}_cold" for c in columns]
+    cold = lookup(listed[HOT_LEVELS:], f"__cold{i}", colder).withColumn(f"__dealt{i}", F.lit(-1))
+    done = F.col(f"__hot{i}").isNotNull() | F.col(field).isNull()
+    spread = F.when(done, F.pmod(F.xxhash64("__row"), F.lit(SPREAD)).cast("int")).otherwise(-1)
+    level = F.when(~done, F.col(field)).otherwise("")
+    keyed = joined.withColumns({f"__spread{i}": spread, f"__level{i}": level})
+    same = (F.col(f"__spread{i}") == F.col(f"__dealt{i}")) & (F.col(f"__level{i}") == F.col(f"__cold{i}"))
+    both = keyed.join(cold, same, "left")
+    both = both.withColumns({c: F.coalesce(c, cc) for c, cc in zip(columns, colder, strict=True)})
+    return both.drop(f"__hot{i}", f"__cold{i}", f"__dealt{i}", f"__spread{i}", f"__level{i}", *colder)

@@ -1,4 +1,10 @@
-"""Exact quantiles by group, without gathering a group in one task."""
+"""Exact quantiles by group from two reads of the rows, without gathering a group in one task.
+
+The first read takes count, moments and a random sample of bounded size for each group; the sample gives a
+bracket around each wanted rank that holds it but for one case in 100,000. The second read counts the rows
+between the brackets and keeps the values inside, with their number. The counts prove for each rank
+that its bracket holds it; for one that does not, the rows are read again.
+"""
 
 from __future__ import annotations
 
@@ -19,13 +25,24 @@ CELLS = 4096
 BROADCAST_ROWS = 100_000
 
 
+# Rows in the sample of a group; half the width of a bracket in standard deviations of a sample's rank.
+SAMPLE = 16_384
+DEVIATIONS = 4.5
+
+
 @dataclass(frozen=True)
 class Quantiles:
-    """Quantiles by group, the number of groups, and their sizes as (g, n) with g a struct."""
+    """Quantiles by group with n, mean, std, min and max; the number of groups, and their sizes as
+    (g, n) with g a struct; and the rows in ``cells`` (g, region, v, n, lo, hi): values inside a bracket one by
+    one, stretches between brackets (v null) as a whole."""
 
     table: DataFrame
     groups: int
     sizes: DataFrame
+    cells: DataFrame | None = None
+
+
+MOMENTS = ("n", "mean", "std", "min", "max")
 
 
 def join_by_group(
@@ -88,14 +105,14 @@ def _within(
             for r in intervals.select("lo", "hi", "below").collect()
         ]
         return values.withColumn("span", F.coalesce(*spans)).where("span is not null").select(
-            "g", "v", "span.*"
+            "g", "v", "w", "span.*"
         )
     side = intervals.select(F.col("g").alias("ig"), "lo", "hi", "below")
     inside = v.between(F.col("lo"), F.col("hi"))
     return join_by_group(values, side, size["n"], sizes, size["ranks"], inside).drop("ig")
 
 
-def _pick(cells: DataFrame, intervals: DataFrame) -> DataFrame:
+def _pick(cells: DataFrame, intervals: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """For every wanted rank the cell that holds it; cells of an interval are a bounded list."""
     in_order = Window.partitionBy("g", "lo").orderBy("c_lo")
     placed = cells.withColumn("upto", F.col("below") + F.sum("n").over(in_order)).withColumn(
@@ -111,6 +128,7 @@ def _pick(cells: DataFrame, intervals: DataFrame) -> DataFrame:
         F.col("c_hi").alias("hi"),
         F.col("before").alias("below"),
         F.col("n").alias("inside"),
+        *also,
     ).agg(F.collect_set("rank").alias("ranks"))
 
 
@@ -138,7 +156,7 @@ def _narrowed(
     cells = (
         _within(values, intervals, size, sizes)
         .groupBy("g", "lo", "below", part.alias("part"))
-        .agg(F.count("*").alias("n"), F.min("v").alias("c_lo"), F.max("v").alias("c_hi"))
+        .agg(F.sum("w").alias("n"), F.min("v").alias("c_lo"), F.max("v").alias("c_hi"))
     )
     return _pick(cells, intervals)
 
@@ -150,7 +168,8 @@ def _order_statistics(
     most_ranks: int,
     rows_in_one_task: int,
 ) -> DataFrame:
-    """(g, rank, v): the values at the wanted zero-based ranks of each group.
+    """(g, rank, v): the values at the wanted zero-based ranks of each group; ``values`` are (g, v, w), a
+    value and how many rows have it.
 
     Every pass narrows the interval around a rank to one of ``CELLS`` parts, set to the least and
     greatest value found there, until few enough rows are left to list their distinct values.
@@ -173,7 +192,7 @@ def _order_statistics(
     distinct = (
         _within(values, left, size, sizes)
         .groupBy("g", "lo", "below", "v")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("w").alias("n"))
         .select("g", "lo", "below", "n", F.col("v").alias("c_lo"), F.col("v").alias("c_hi"))
     )
     found = _pick(distinct, left).select(
@@ -195,61 +214,159 @@ def _interpolated(p: float) -> Column:
     return F.when(at == after, at).otherwise(between)
 
 
+def _sampled(df: DataFrame, key: Column, value: str) -> DataFrame:
+    """(g, n, mean, std, min, max, sample): one read; a sample is a sorted array of SAMPLE values at most.
+
+    Rows fall into SAMPLE parts at random and each part keeps a random one, so samples are combined
+    before the shuffle. Chance changes the brackets, never a result.
+    """
+    v = F.col("v")
+    rows = df.select(key, seen_value(value).alias("v")).select(
+        "g", "v", F.floor(F.rand(1) * SAMPLE).alias("part"), F.when(v.isNotNull(), F.rand(2)).alias("order")
+    )
+    parts = rows.groupBy("g", "part").agg(
+        F.count(v).alias("n"),
+        F.avg(v).alias("mean"),
+        (F.var_pop(v) * F.count(v)).alias("square"),
+        F.min(v).alias("lo"),
+        F.max(v).alias("hi"),
+        F.min_by(v, "order").alias("some"),
+    )
+    part = F.when(F.col("n") > 0, F.struct("n", "mean", "square"))
+    groups = parts.groupBy("g").agg(
+        F.sum("n").alias("n"),
+        F.min("lo").alias("min"),
+        F.max("hi").alias("max"),
+        F.sort_array(F.collect_list("some")).alias("sample"),
+        F.collect_list(part).alias("parts"),
+    )
+
+    def total(of) -> Column:
+        return F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + of(p))
+
+    groups = groups.withColumn("mean", F.try_divide(total(lambda p: p["n"] * p["mean"]), F.col("n")))
+    around = total(lambda p: p["square"] + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    std = F.when(F.col("n") > 1, F.sqrt(around / (F.col("n") - 1)))
+    return groups.select("g", "n", "mean", std.alias("std"), "min", "max", "sample")
+
+
+def _bracket(rank: Column) -> Column:
+    """The sample's values so far around a rank that the rank lies between them."""
+    n, size = F.col("n"), F.size("sample")
+    p = (rank + 0.5) / n
+    reach = F.sqrt(p * (1 - p) * size) * DEVIATIONS + 1
+    low, high = F.floor(p * size - reach).cast("int"), F.ceil(p * size + reach).cast("int")
+    return F.struct(
+        F.when(low < 0, F.col("min")).otherwise(F.get("sample", F.greatest(low, F.lit(0)))).alias("lo"),
+        F.when(high >= size, F.col("max")).otherwise(F.get("sample", F.least(high, size - 1))).alias("hi"),
+    )
+
+
+def _disjoint(brackets: Column) -> Column:
+    """Brackets in order, those that meet as one."""
+    kind = "array<struct<lo:double,hi:double>>"
+
+    def add(done: Column, one: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], one["hi"]).alias("hi"))
+        meets = (F.size(done) > 0) & (one["lo"] <= F.try_element_at(done, F.lit(-1))["hi"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(
+            F.concat(done, F.array(one))
+        )
+
+    def first(done: Column, one: Column) -> Column:
+        return F.when(F.size(done) == 0, F.array(one)).otherwise(add(done, one))
+
+    return F.aggregate(F.sort_array(brackets), F.array().cast(kind), first)
+
+
+def _cells(values: DataFrame, brackets: DataFrame, most: int, groups: int, sizes: DataFrame | None) -> DataFrame:
+    """The second read: (g, region, v, n, lo, hi). Odd regions are brackets, even ones lie between."""
+    if sizes is None:
+        row = brackets.first()
+        spans = [(F.lit(b["lo"]), F.lit(b["hi"])) for b in row["brackets"]] if row else []
+        joined = values
+    else:
+        side = brackets.select(F.col("g").alias("ig"), "brackets")
+        joined = join_by_group(values, side, groups, sizes)
+        one = [F.get("brackets", F.lit(k)) for k in range(most)]
+        spans = [(b["lo"], b["hi"]) for b in one]
+    v, region = F.col("v"), F.lit(0)
+    for lo, hi in spans:
+        above = F.when(v > hi, 2).when(v >= lo, 1).otherwise(0)
+        region = region + F.coalesce(above, F.lit(0))
+    rows = joined.select("g", "v", region.alias("region"))
+    single = F.when(F.col("region") % 2 == 1, v)
+    return rows.groupBy("g", "region", single.alias("one")).agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    ).select("g", "region", F.col("one").alias("v"), "n", "lo", "hi")
+
+
 def quantiles_by(
     df: DataFrame,
     value: str,
     probs: Sequence[float],
     names: Sequence[str],
     by: Sequence[str] = (),
-    extra: Sequence[Column] = (),
     approx: bool = False,
     accuracy: int = 10_000,
     rows_in_one_task: int = ROWS_IN_ONE_TASK,
+    reach: float | None = None,
 ) -> Quantiles:
-    """Columns ``by``, further aggregates ``extra``, and one column for each quantile.
+    """Columns ``by``, n, mean, std, min and max, and one column for each quantile.
 
     Quantiles are linear between neighbouring values; nulls and NaN are left out. ``approx``
-    keeps one bounded sketch for each group. Exact quantiles are narrowed down pass by pass, where a
-    pass shuffles counts only, so that a group with a third of all rows is as good as any other, until
-    at most ``rows_in_one_task`` rows are left around a rank, whose distinct values are listed.
+    keeps one bounded sketch for each group. Exact quantiles come from two reads of ``df``; what the second
+    read keeps around a rank is narrowed down until at most ``rows_in_one_task`` rows are left, whose
+    distinct values are listed, so that a group with a third of all rows is as good as any other. With
+    ``reach`` the values around the fences, so many ranges of the outer quantiles beyond them, are
+    kept too.
     """
-    by, extra = list(by), list(extra)
+    by = list(by)
     v = seen_value(value)
     key = (_key(by) if by else F.lit(0)).alias("g")
     if approx:
         sketches = [F.percentile_approx(v, p, accuracy).alias(a) for p, a in zip(probs, names)]
-        table = checkpointed(df.groupBy(*by).agg(F.count(v).alias("__n"), *extra, *sketches))
-        sizes = table.select(key, F.col("__n").alias("n"))
-        return Quantiles(table.drop("__n"), table.count(), sizes)
-
-    # The other aggregates as one struct, so that their names cannot meet those used here.
-    extras = [F.struct(*extra).alias("extra")] if extra else []
-    bounds = checkpointed(
-        df.groupBy(*by)
-        .agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), *extras)
-        .select(key, "n", "lo", "hi", *(["extra"] if extra else []))
-    )
+        moments = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")]
+        moments += [F.min(v).alias("min"), F.max(v).alias("max")]
+        table = checkpointed(df.groupBy(*by).agg(*moments, *sketches))
+        return Quantiles(table, table.count(), table.select(key, "n"))
+
+    bounds = checkpointed(_sampled(df, key, value))
     groups = bounds.count()
     sizes = bounds.select("g", "n")
-    leading = (["g.*"] if by else []) + (["extra.*"] if extra else [])
-
+    leading = ["g.*"] if by else []
+    wanted = bounds.where(F.col("n") > 0)
+    ranks = [r for p in probs for r in _ranks(p)]
+    brackets = [_bracket(r) for r in ranks]
+    if reach is not None:
+        first, last = brackets[0], brackets[-1]
+        # Fences move with the outer quantiles: so far as these can lie, so far can the fences.
+        widest, least = last["hi"] - first["lo"], F.greatest(last["lo"] - first["hi"], F.lit(0.0))
+        fences = [
+            (first["lo"] - widest * reach, first["hi"] - least * reach),
+            (last["lo"] + least * reach, last["hi"] + widest * reach),
+        ]
+        brackets += [F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in fences]
+    kept = checkpointed(wanted.select("g", _disjoint(F.array(*brackets)).alias("brackets")))
+    by_group = sizes if by else None
     values = df.select(key, v.alias("v")).where(F.col("v").isNotNull())
-    wanted = bounds.where(F.col("n") > 0).select(
-        "g",
-        "lo",
-        "hi",
-        F.lit(0).cast("bigint").alias("below"),
-        F.col("n").alias("inside"),
-        F.array_distinct(F.array(*[r for p in probs for r in _ranks(p)])).alias("ranks"),
-    )
-    found = (
-        _order_statistics(
-            values, wanted, sizes if by else None, 2 * len(probs), rows_in_one_task
-        )
-        .groupBy("g")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at_rank"))
-    )
-    table = bounds.join(found, "g", "left").select(
-        *leading, *[_interpolated(p).alias(a) for p, a in zip(probs, names)]
+    cells = checkpointed(_cells(values, kept, len(brackets), groups, by_group))
+
+    regions = cells.groupBy("g", "region").agg(F.sum("n").alias("n"), F.min("lo").alias("c_lo"), F.max("hi").alias("c_hi"))
+    whole = wanted.select("g", F.lit(0).alias("lo"), F.lit(0).cast("bigint").alias("below"), F.array_distinct(F.array(*ranks)).alias("ranks"))
+    placed = regions.join(whole.select("g", "lo", "below"), "g")
+    held = checkpointed(_pick(placed, whole, also=["region"]))
+    proven = (F.col("region") % 2 == 1) | (F.col("lo") == F.col("hi"))
+    listed = cells.where(F.col("v").isNotNull()).select("g", "v", F.col("n").alias("w"))
+    most = len(ranks)
+    found = _order_statistics(listed, held.where(proven).drop("region"), by_group, most, rows_in_one_task)
+    missed = held.where(~proven).drop("region")
+    if missed.take(1):
+        single = values.withColumn("w", F.lit(1).cast("bigint"))
+        found = found.unionByName(_order_statistics(single, missed, by_group, most, rows_in_one_task))
+    found = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at_rank"))
+    table = bounds.drop("sample").join(found, "g", "left").select(
+        *leading, *MOMENTS, *[_interpolated(p).alias(a) for p, a in zip(probs, names)]
     )
-    return Quantiles(table, groups, sizes)
+    return Quantiles(table, groups, sizes, cells)

@@ -93,9 +93,7 @@ def analyse_drivers(
         box=ops.box_stats(df, spec.target),
         cv=ops.stacked(ops.cv_report(spark, r) for r in results.values()),
         best=ops.stacked(ops.best_params(spark, r) for r in results.values()),
-        leaderboard=ops.leaderboard(
-            ops.overfit_report(model, marked, name) for name, model in models.items()
-        ),
+        leaderboard=ops.leaderboard([ops.overfit_reports(models, marked)]),
         coefficients=coefficients,
         rollups={name: ops.field_rollup(c) for name, c in coefficients.items()},
         importance=importance,

@@ -52,12 +52,7 @@ def test_quantiles_by_group_equal_pandas(skewed, rows_in_one_task, monkeypatch):
 def test_quantiles_of_all_rows_equal_pandas(skewed, rows_in_one_task):
     df, pdf = skewed
     found = ops.quantiles_by(
-        df,
-        "v",
-        [0.25, 0.5],
-        ["a", "b"],
-        extra=[F.count("v").alias("n")],
-        rows_in_one_task=rows_in_one_task,
+        df, "v", [0.25, 0.5], ["a", "b"], rows_in_one_task=rows_in_one_task
     ).table.first()
     assert found["n"] == pdf.v.count()
     assert [found["a"], found["b"]] == pytest.approx(pdf.v.quantile([0.25, 0.5]).tolist())
@@ -79,6 +74,95 @@ def test_joins_beyond_the_broadcast_bound_give_the_same(skewed, monkeypatch, bou
     assert run() == with_broadcast
 
 
+@pytest.mark.parametrize(("sample", "deviations"), [(64, 4.5), (16, 0.0), (3, -9.0)])
+def test_brackets_from_small_samples(skewed, monkeypatch, sample, deviations):
+    """Narrow brackets, and such that miss their rank, so that the rows are read again."""
+    df, pdf = skewed
+    monkeypatch.setattr("keydrivers.operators.quantiles.SAMPLE", sample)
+    monkeypatch.setattr("keydrivers.operators.quantiles.DEVIATIONS", deviations)
+    for few in (10**6, 20):
+        found = ops.quantiles_by(df, "v", [0.1, 0.5, 0.9], ["a", "b", "c"], ["g"], rows_in_one_task=few)
+        rows = {r["g"]: [r["n"], r["mean"], r["std"], r["min"], r["max"], r["a"], r["b"], r["c"]] for r in found.table.collect()}
+        for group, part in pdf[pdf.g != "empty"].groupby("g", dropna=False):
+            v = part.v.dropna()
+            expected = [len(v), v.mean(), v.std(), v.min(), v.max(), *v.quantile([0.1, 0.5, 0.9])]
+            assert rows[group if isinstance(group, str) else None] == pytest.approx(expected, rel=1e-12)
+    boxes = {r["g"]: r for r in ops.box_stats(df, "v", "g").collect()}
+    for group, part in pdf[pdf.g != "empty"].groupby("g", dropna=False):
+        v = part.v.dropna()
+        q1, q3 = v.quantile([0.25, 0.75])
+        kept = v[(v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))]
+        box = boxes[group if isinstance(group, str) else None]
+        assert (box["n"], box["n_outliers"]) == (len(v), len(v) - len(kept))
+        assert (box["whisker_low"], box["whisker_high"]) == (kept.min(), kept.max())
+
+
+def counted_reads(spark, rows):
+    """Rows that tell how often they are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return rows.mapInArrow(count, rows.schema), seen
+
+
+@pytest.mark.parametrize("few", [10**6, 200])
+def test_two_reads_give_boxes_and_distributions(spark, few, monkeypatch):
+    """Whatever the size of the groups, and also where what is kept is narrowed further."""
+    n = 120_000
+    rows = spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id % 7 END AS g", "randn(3) * 100 AS v").persist()
+    monkeypatch.setattr("keydrivers.operators.quantiles.ROWS_IN_ONE_TASK", few)
+    for run in (
+        lambda df: ops.box_stats(df, "v", "g"),
+        lambda df: ops.box_stats(df, "v"),
+        lambda df: ops.distribution_by(df, "g", "v"),
+        lambda df: ops.quantiles_by(df, "v", [0.3, 0.99], ["a", "b"], ["g"], rows_in_one_task=few).table,
+    ):
+        df, seen = counted_reads(spark, rows)
+        run(df).collect()
+        assert seen.value == 2 * n
+    small = ops.quantiles_by(rows, "v", [0.25, 0.5, 0.75], ["a", "b", "c"], reach=1.5).cells
+    assert small.where("v is not null").count() < 0.2 * n
+
+
+@pytest.mark.parametrize("bins", [2, 7, 20])
+def test_automatic_histogram(spark, bins):
+    """One read; bins of a power of two that hold all values, whatever their range and order."""
+    rng = np.random.default_rng(8)
+    for values in (
+        rng.normal(size=4000) * 3 + 100, np.r_[np.zeros(50), 1e-9, 5e8], np.array([7.5]), -np.arange(1000.0),
+        np.r_[1e300, -1e300, 0.1], np.r_[2.0**52 + np.arange(64)], np.r_[-3e-300, 0.0, 2e-301],
+    ):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(6)
+        df, seen = counted_reads(spark, rows)
+        found = ops.auto_histogram(df, "v", bins).collect()
+        assert seen.value == len(values) + 2
+        assert [r["bin"] for r in found] == list(range(1, len(found) + 1)) and len(found) <= bins
+        assert found[0]["n"] > 0 and found[-1]["n"] > 0 and sum(r["n"] for r in found) == len(values)
+        width = found[0]["upper"] - found[0]["lower"]
+        for r in found:
+            assert r["upper"] - r["lower"] == width and np.frexp(width)[0] == 0.5
+            assert r["n"] == ((values >= r["lower"]) & (values < r["upper"])).sum()
+        if len(values) > 1:
+            # Half the width would need too many bins.
+            assert np.floor(values.max() / (width / 2)) - np.floor(values.min() / (width / 2)) + 1 > bins
+    empty = spark.createDataFrame([(None,)], "v double")
+    assert ops.auto_histogram(empty, "v").count() == 0
+
+
+def test_scatter_points(spark):
+    rows = spark.range(5000).selectExpr("id % 2500 AS k", "id AS x", "id * 2.0 AS y", "id % 2 AS pair")
+    first = sorted(map(tuple, ops.scatter_points(rows, "x", "y", 40, ["k", "pair"], extra=["k"]).collect()))
+    again = sorted(map(tuple, ops.scatter_points(rows.repartition(13), "x", "y", 40, ["k", "pair"], extra=["k"]).collect()))
+    assert first == again and len(first) == 40
+    more = set(map(tuple, ops.scatter_points(rows, "x", "y", 90, ["k", "pair"], extra=["k"]).collect()))
+    assert set(first) < more
+    assert ops.scatter_points(rows.limit(7), "x", "y", 40, ["k", "pair"]).count() == 7
+
+
 def test_quantiles_next_to_infinity(spark):
     rows = [(float(i),) for i in range(200)] + [(float("inf"),), (float("-inf"),)] * 3
     df = spark.createDataFrame(rows, "v double")
@@ -181,9 +265,9 @@ def test_infinities_do_not_stop_the_narrowing(spark, monkeypatch):
     listed = []
     pick = quantiles._pick
 
-    def spy(cells, intervals):
+    def spy(cells, intervals, **options):
         listed.append(cells.groupBy("g", "lo").count().agg({"count": "max"}).first()[0])
-        return pick(cells, intervals)
+        return pick(cells, intervals, **options)
 
     monkeypatch.setattr(quantiles, "_pick", spy)
     found = quantiles.quantiles_by(df, "v", [0.5], ["m"], rows_in_one_task=100).table.first()

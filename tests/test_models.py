@@ -267,3 +267,58 @@ def test_numeric_only_and_categorical_only_specs(vehicles):
     assert len(ops.fit_linear(vehicles, only).slots) == 9
     assert len(ops.fit_linear_pipeline(vehicles, only).used) == 7
     assert len(ops.fit_linear(vehicles, FeatureSpec(("cylinders",), (), only.target)).slots) == 1
+
+
+def test_many_models_in_one_read(spark, orders):
+    """Reports and predictions of all models equal those of each; the rows are read once."""
+    marked = ops.mark_split(orders, ["o_orderkey"]).persist()
+    train = marked.where("split = 'train'")
+    models = {
+        "numeric": ops.fit_linear(train, NUMERIC_SPEC),
+        "target": ops.fit_linear(train, ORDER_SPEC, 20_000.0),
+        "pipeline": ops.fit_linear(train, PRIORITY_SPEC, method="pipeline"),
+        "forest": ops.fit_forest(train, ORDER_SPEC, num_trees=3, max_depth=3),
+    }
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = {(r.model, r.split): r for r in ops.overfit_reports(models, marked.mapInArrow(count, marked.schema)).collect()}
+    assert seen.value == marked.count()
+    assert len(found) == 8
+    for name, model in models.items():
+        for r in ops.overfit_report(model, marked, name).collect():
+            other = found[name, r.split]
+            assert r.n == other.n
+            for c in ("rmse", "mae", "r2"):
+                assert other[c] == pytest.approx(r[c], rel=1e-9)
+    scored = ops.score_all({"a": models["forest"], "b": models["target"]}, marked)
+    assert scored.columns == [*marked.columns, "a", "b"]
+    one = {r.o_orderkey: r.prediction for r in ops.score(models["forest"], marked).collect()}
+    assert {r.o_orderkey: r.a for r in scored.collect()} == pytest.approx(one)
+
+
+def test_lookup_beyond_the_broadcast_levels(spark, monkeypatch):
+    """A level on a third of the rows, nulls on another: no task gets more than its share."""
+    monkeypatch.setattr("keydrivers.operators.models.HOT_LEVELS", 3)
+    level = "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('l', id % 500) END"
+    rows = spark.range(30_000).selectExpr("id", f"{level} AS level", "id % 17 AS x", "id % 17 * 2.0 + id % 500 AS y")
+    spec = FeatureSpec(("x",), ("level",), "y")
+    model = ops.fit_linear(rows, spec)
+    found = ops.score(model, rows.where("id < 29000"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(dealt) == 8 and max(dealt) < 1.6 * sum(dealt) / 8
+        scored = {r.id: r.prediction for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    monkeypatch.undo()
+    expected = {r.id: r.prediction for r in ops.score(model, rows.where("id < 29000")).collect()}
+    assert scored == pytest.approx(expected) and len(scored) == 29_000

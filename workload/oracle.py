@@ -542,6 +542,20 @@ WHERE e.bin BETWEEN 1 AND 22 OR n > 0""",
             "SELECT o_orderkey, n_lines, target FROM order_features "
             f"WHERE {_unit('scatter-42', 'o_orderkey')} < 0.1"
         ),
+        "scatter_points": _order_query(
+            "SELECT o_orderkey, n_lines, target FROM order_features "
+            f"ORDER BY {_unit('scatter-42', 'o_orderkey')}, o_orderkey LIMIT 500"
+        ),
+        "auto_histogram": """WITH ends AS (SELECT min(c_acctbal) AS least, max(c_acctbal) AS greatest FROM customer),
+width AS (
+  SELECT pow(2.0::DOUBLE, min(e)) AS w, floor(any_value(least) / pow(2.0::DOUBLE, min(e))) AS low,
+         floor(any_value(greatest) / pow(2.0::DOUBLE, min(e))) AS high
+  FROM ends, range(-30, 30) r(e)
+  WHERE floor(greatest / pow(2.0::DOUBLE, e)) - floor(least / pow(2.0::DOUBLE, e)) < 30),
+counted AS (SELECT floor(c_acctbal / w) AS cell, count(*) AS n FROM customer, width GROUP BY cell)
+SELECT CAST(cell - low + 1 AS INTEGER) AS bin, cell * w AS lower, (cell + 1) * w AS upper, coalesce(n, 0) AS n
+FROM (SELECT unnest(range(CAST(low AS BIGINT), CAST(high AS BIGINT) + 1))::DOUBLE AS cell, low, w FROM width) c
+LEFT JOIN counted USING (cell)""",
         "hash_split": f"""SELECT l_orderkey, l_linenumber,
   CASE WHEN {_unit('42', 'l_orderkey', 'l_linenumber')} < 0.8 THEN 'train' ELSE 'test' END AS side
 FROM lineitem""",
@@ -601,6 +615,17 @@ SELECT slot, field, count(*) AS n FROM every GROUP BY slot, field""",
         "tree_metrics": _tree(
             f"SELECT 'tree' AS model, * FROM ({_metrics('SELECT * FROM leaves', 'split')}) q"
         ),
+        "tree_leaderboard": " UNION ALL ".join(
+            f"SELECT * FROM ({sql}) m{i}"
+            for i, sql in enumerate(
+                (
+                    _model_report("linear_numeric", ORDER_NUMERIC, ()),
+                    _tree(f"SELECT 'tree' AS model, * FROM ({_metrics('SELECT * FROM leaves', 'split')}) q"),
+                    _model_report("ridge_full", *FULL, 20000.0),
+                    _model_report("linear_priority", *PRIORITY),
+                )
+            )
+        ),
         "tree_importance": _tree(TREE_IMPORTANCE),
         "importance_csv": _tree(TREE_IMPORTANCE),
         "tree_importance_by_field": _tree(

@@ -242,7 +242,7 @@ def line_price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["l_returnflag", "l_linestatus"],
         rows_in_one_task=100,
     )
-    return rounded(found.table, _CUTS)
+    return rounded(found.table.select("l_returnflag", "l_linestatus", *_CUTS), _CUTS)
 
 
 @query
@@ -283,6 +283,19 @@ def scatter_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.scatter_points(
+        order_features(spark, sf_dir), "n_lines", "target", 500, ORDER_KEY, extra=ORDER_KEY
+    )
+
+
+@query
+def auto_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins that follow from the balances, some of which are below zero."""
+    return ops.auto_histogram(table(spark, sf_dir, "customer"), "c_acctbal", 30)
+
+
 # --- Split, folds, features ----------------------------------------------------------------
 
 
@@ -475,10 +488,7 @@ def linear_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     with kept(marked) as rows:
         train = rows.where("split = 'train'")
         models = {name: ops.fit_linear(train, *how) for name, how in candidates.items()}
-    found = ops.leaderboard(
-        ops.overfit_report(model, marked, name) for name, model in models.items()
-    )
-    return rounded(found, _METRICS)
+    return rounded(ops.leaderboard([ops.overfit_reports(models, marked)]), _METRICS)
 
 
 # --- Tuning --------------------------------------------------------------------------------
@@ -612,9 +622,22 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
             "ridge_full": ops.fit_linear(train, ORDER_SPEC, STRONG_PENALTY),
             "forest": ops.fit_forest(train, ORDER_SPEC),
         }
-    return ops.leaderboard(
-        ops.overfit_report(model, marked, name) for name, model in models.items()
-    )
+    return ops.leaderboard([ops.overfit_reports(models, marked)])
+
+
+@query
+def tree_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear models, a ridge and a tree on one table, scored in one read."""
+    marked, tree = _tree(spark, sf_dir)
+    with kept(marked) as rows:
+        train = rows.where("split = 'train'")
+        models = {
+            "linear_numeric": ops.fit_linear(train, NUMERIC_SPEC),
+            "tree": tree,
+            "ridge_full": ops.fit_linear(train, ORDER_SPEC, STRONG_PENALTY),
+            "linear_priority": ops.fit_linear(train, PRIORITY_SPEC),
+        }
+    return rounded(ops.leaderboard([ops.overfit_reports(models, marked)]), _METRICS)
 
 
 # --- One tree, whose splits SQL can find ----------------------------------------------------
