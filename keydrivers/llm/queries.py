@@ -19,7 +19,7 @@ from .spelling import spelling_variants
 from .token_counts import count_tokens
 from .token_files import checksums, read_tokens, write_tokens
 from .url_filter import filtered
-from .warc import read_archives, write_archives
+from .warc import lookup, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,7 +78,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    """The addresses of all pages are looked up in the index, and their records read by range."""
+    pages = table(spark, sf_dir, "pages")
+    records = lookup(write_archives(pages), pages, payload=False)
     return records.select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )

@@ -17,7 +17,7 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -32,6 +32,7 @@ from .common import filesystem, fresh_name, letters, on_executors, picked, slice
 BLOCK = 1000
 FILES_AT_ONCE = 50_000
 BATCH_BYTES = 4 << 20
+READ_BYTES = 32 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = "urn:x-page:"
@@ -183,6 +184,7 @@ class Index:
         start, size = struct.unpack("<QQ", self._read(self.file.size() - 16, 16))
         self.last, self.directory = json.loads(zlib.decompress(self._read(start, size)))
         self.keys = [key for key, _, _ in self.directory]
+        self.at: int | None = None
 
     def _read(self, start: int, size: int) -> bytes:
         self.file.seek(start)
@@ -194,17 +196,22 @@ class Index:
         return [json.loads(line) for line in raw.split("\n")]
 
     def find(self, key: str) -> Iterator[list]:
-        """The captures of a key: from the last block that begins before it, as long as they last."""
+        """The captures of a key: from the last block that begins before it, as long as they last.
+
+        The last block is kept, as keys that are asked for in order mostly lie in the same one.
+        """
         k = max(bisect.bisect_left(self.keys, key) - 1, 0)
         while k < len(self.keys) and self.keys[k] <= key:
-            lines = self.block(k)
-            keys = [line[0] for line in lines]
-            yield from lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+            if self.at != k:
+                self.at, self.lines = k, self.block(k)
+                self.line_keys = [line[0] for line in self.lines]
+            found = bisect.bisect_left(self.line_keys, key), bisect.bisect_right(self.line_keys, key)
+            yield from self.lines[found[0] : found[1]]
             k += 1
 
 
 MANIFEST = (
-    "part int, warc string, index string, n_records bigint, n_blocks bigint, "
+    "part int, warc string, index string, n_records bigint, n_blocks bigint, n_bytes bigint, "
     "first_key string, last_key string"
 )
 
@@ -244,6 +251,7 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", **colum
                 "index": f"{base}.index",
                 "n_records": index.n,
                 "n_blocks": len(index.directory),
+                "n_bytes": offset,
                 "first_key": index.first,
                 "last_key": index.last,
             }
@@ -257,12 +265,12 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", **colum
 _MANIFEST_TYPES = pa.schema(
     [("part", pa.int32())]
     + [(c, pa.string()) for c in ("warc", "index")]
-    + [(c, pa.int64()) for c in ("n_records", "n_blocks")]
+    + [(c, pa.int64()) for c in ("n_records", "n_blocks", "n_bytes")]
     + [(c, pa.string()) for c in ("first_key", "last_key")]
 )
 RECORD = (
     "page_id bigint, url string, record_type string, payload_bytes bigint, "
-    "payload_digest string, refers_to bigint, payload binary"
+    "payload_digest string, refers_to bigint"
 )
 _RECORD_TYPES = pa.schema(
     [
@@ -272,67 +280,95 @@ _RECORD_TYPES = pa.schema(
         ("payload_bytes", pa.int64()),
         ("payload_digest", pa.string()),
         ("refers_to", pa.int64()),
-        ("payload", pa.binary()),
     ]
 )
+_WITH_PAYLOAD = _RECORD_TYPES.append(pa.field("payload", pa.binary()))
+
+
+def _schema(payload: bool) -> str:
+    return RECORD + ", payload binary" * payload
+
 
+def _records(captures: Iterable[tuple[str, list]], payload: bool) -> Iterator[pa.RecordBatch]:
+    """Range reads of (archive, capture) in order, in batches of bounded size.
 
-def _records(warc: str, captures) -> Iterator[pa.RecordBatch]:
-    """Range reads of captures in file order, in batches of bounded size."""
-    store, at = filesystem(warc)
-    rows, held = [], 0
-    with store.open_input_file(at) as file:
-        for _, _, offset, length in captures:
-            file.seek(offset)
-            rows.append(parsed(gzip.decompress(file.read(length))))
-            held += len(rows[-1]["payload"] or b"") + 200
-            if held > BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist(rows, _RECORD_TYPES)
-                rows, held = [], 0
+    The digest of every payload is verified here; the payload goes on only if it is asked for.
+    """
+    kinds = _WITH_PAYLOAD if payload else _RECORD_TYPES
+    rows, held, path, file = [], 0, None, None
+    for warc, (_, _, offset, length) in captures:
+        if warc != path:
+            if file is not None:
+                file.close()
+            store, at = filesystem(warc)
+            path, file = warc, store.open_input_file(at)
+        file.seek(offset)
+        row = parsed(gzip.decompress(file.read(length)))
+        if not payload:
+            del row["payload"]
+        rows.append(row)
+        held += len(row.get("payload") or b"") + 200
+        if held > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+            rows, held = [], 0
+    if file is not None:
+        file.close()
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, _RECORD_TYPES)
+        yield pa.RecordBatch.from_pylist(rows, kinds)
+
+
+def _dealt(manifest: DataFrame) -> DataFrame:
+    """Archives dealt to tasks by their bytes, about READ_BYTES each."""
+    total = manifest.agg(F.sum("n_bytes"), F.count("*")).first()
+    tasks = min(-(-(total[0] or 0) // READ_BYTES), total[1])
+    return manifest.repartition(max(1, tasks))
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
+def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
     """All records, block after block of the index: page_id, url, record_type, payload_bytes,
-    payload_digest, refers_to, payload (null for a revisit)."""
+    payload_digest, refers_to and, if asked for, payload (null for a revisit)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list]]:
         for batch in batches:
             for row in batch.to_pylist():
                 index = Index(row["index"])
                 for k in range(len(index.keys)):
-                    yield from _records(row["warc"], index.block(k))
+                    for capture in index.block(k):
+                        yield row["warc"], capture
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _records(captures(batches), payload)
 
-    slots = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(slots, "part").mapInArrow(run, RECORD)
+    return _dealt(manifest).mapInArrow(run, _schema(payload))
 
 
-def lookup(manifest: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """The records of the wanted addresses, by bisection and range reads.
+def lookup(manifest: DataFrame, urls: DataFrame, url_col: str = "url", payload: bool = True) -> DataFrame:
+    """The records of the wanted addresses, by bisection and range reads; columns of ``read_archives``.
 
-    The files' first and last keys go to the tasks in runs of a bounded number of files. Addresses
-    that were not captured give no rows, repeated ones give their records once.
+    Keys are dealt by range and come in order, so a task opens the few files of its range and each index
+    block once. The files' first and last keys go to the tasks in runs of a bounded number of files.
+    Addresses that were not captured give no rows, repeated ones give their records once; a null
+    address is an empty one.
     """
     spark = manifest.sparkSession
     wanted = urls.select(capture_key(letters(F.col(f"`{url_col}`"))).alias("key"))
-    wanted = wanted.distinct().sortWithinPartitions("key")
+    wanted = wanted.distinct().repartitionByRange("key").sortWithinPartitions("key")
     found = None
     files: list = []
     ordered = manifest.orderBy("first_key", "last_key", "part")
     for row in ordered.toLocalIterator():
         files.append((row["first_key"], row["last_key"], row["warc"], row["index"]))
         if len(files) == FILES_AT_ONCE:
-            part = _lookup_in(spark, wanted, files)
+            part = _lookup_in(spark, wanted, files, payload)
             found, files = part if found is None else found.union(part), []
-    part = _lookup_in(spark, wanted, files)
+    part = _lookup_in(spark, wanted, files, payload)
     return part if found is None else found.union(part)
 
 
-def _lookup_in(spark, wanted: DataFrame, files: list) -> DataFrame:
+def _lookup_in(spark, wanted: DataFrame, files: list, payload: bool) -> DataFrame:
     shared = spark.sparkContext.broadcast(files)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list]]:
         files = shared.value
         lasts = [last for _, last, _, _ in files]
         at, index = None, None
@@ -342,7 +378,11 @@ def _lookup_in(spark, wanted: DataFrame, files: list) -> DataFrame:
                 while k < len(files) and files[k][0] <= key:
                     if at != k:
                         at, index = k, Index(files[k][3])
-                    yield from _records(files[k][2], index.find(key))
+                    for capture in index.find(key):
+                        yield files[k][2], capture
                     k += 1
 
-    return wanted.mapInArrow(run, RECORD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _records(captures(batches), payload)
+
+    return wanted.mapInArrow(run, _schema(payload))

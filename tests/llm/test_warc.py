@@ -72,3 +72,16 @@ def test_archives_are_plain_gzip_members(spark):
     row = write_archives(made_up(spark).where("page_id < 20")).first()
     raw = gzip.decompress(open(row["warc"].removeprefix("file:"), "rb").read())
     assert raw.count(b"WARC/1.1\r\n") == row["n_records"]
+
+
+def test_lookup_of_all_pages_equals_sequential_read(spark, sf_dir, monkeypatch):
+    """Records, their order aside, with payloads and without; small blocks and files."""
+    monkeypatch.setattr(warc, "BLOCK", 7)
+    for pages in (made_up(spark), spark.read.parquet(f"{sf_dir}/pages.parquet")):
+        manifest = write_archives(pages.repartition(5)).cache()
+        sequential = sorted(map(tuple, read_archives(manifest).collect()), key=repr)
+        assert sorted(map(tuple, lookup(manifest, pages).collect()), key=repr) == sequential
+        short = sorted((r[:6] for r in sequential), key=repr)
+        assert sorted(map(tuple, lookup(manifest, pages, payload=False).collect()), key=repr) == short
+        assert sorted(map(tuple, read_archives(manifest, payload=False).collect()), key=repr) == short
+        assert len(short) == pages.count()
