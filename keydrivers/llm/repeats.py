@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from keydrivers.sources import scratch_dir
 
-from .common import as_bytes, deleted, dropped, letters, on_executors, picked, slices, stored
+from .common import as_bytes, deleted, dropped, is_empty, letters, on_executors, picked, slices, stored
 from .suffix_sort import Blocks, Buckets, Bytes, Scratch, sorted_suffixes
 
 LENGTH = 100
@@ -305,10 +305,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit: int =
     shared = stored(counts.select("seed"), "seeds")
     kept = runs.join(shared, "seed").groupBy("doc_id", "version")
     kept = kept.agg(F.collect_list(F.struct("start", "n", "seed", "weight")).alias("runs"))
-    kept = stored(kept, "kept-runs")
     pieces = _joined(texts, kept, "inner").mapInArrow(_cut(length), f"{PLACE}, seed bigint, weight bigint, piece binary")
     pieces = stored(pieces, "pieces")
-    for done in (runs, shared, kept):
+    for done in (runs, shared):
         dropped(done)
 
     first = pieces.where("seed is not null")
@@ -322,8 +321,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit: int =
     cold = first.join(often, "seed", "left_anti").repartition(shards, "seed").sortWithinPartitions(*order)
     found = cold.mapInArrow(_sorted_shard(folder, length, limit), PLACE)
     whole = pieces.where("seed is null").select("doc_id", "version", "start", "n")
-    several = _single_strings(first.join(often, "seed", "left_semi"), length)
-    result = stored(found.unionAll(whole).unionAll(several), "repeats")
+    found = found.unionAll(whole)
+    if not is_empty(often):
+        found = found.unionAll(_single_strings(first.join(often, "seed", "left_semi"), length))
+    result = stored(found, "repeats")
     dropped(pieces)
     deleted(spark, folder)
     return result
