@@ -36,6 +36,7 @@ from .features import (
     prepared,
 )
 from .forest_path import forest_nodes
+from .levels import level_index, slot_frame, with_level_index
 from .metrics import leaderboard, metrics_of_all, regression_metrics, stacked
 from .models import (
     FittedRegression,

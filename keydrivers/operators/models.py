@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..sources import result_schema, rows_to_frame
 from ..spec import FeatureSpec
+from . import levels
 from .features import (
     FEATURES,
     Slot,
@@ -32,9 +33,6 @@ PREDICTION = "prediction"
 FULL_FEATURES = "all_features"
 
 FOREST_SEED = 42
-# Levels of a category, the most frequent ones, whose effects every executor gets.
-HOT_LEVELS = 10_000
-SPREAD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -119,11 +117,11 @@ def linear_from_moments(
     ((intercept, beta),) = ridge_path(train, (reg_param,))
     if reg_param == 0.0:
         for field in spec.categorical:
-            levels = [s.idx for s in slots if s.field == field]
+            own = [s.idx for s in slots if s.field == field]
             # Rows without a level hold the intercept apart from the levels.
-            if levels and field in moments.never_missing:
-                centre = float(beta[levels].mean())
-                beta[levels] -= centre
+            if own and field in moments.never_missing:
+                centre = float(beta[own].mean())
+                beta[own] -= centre
                 intercept += centre
     spread = np.sqrt(np.clip(np.diag(train.scatter), 0.0, None) / max(train.n - 1.0, 1.0))
     return LinearFit(spec, slots, reg_param, intercept, beta, spread, invalid)
@@ -306,29 +304,12 @@ def _with_effects(
 ) -> DataFrame:
     """Columns __effect<i>_<k>: the effect of the row's level of ``field`` in each model.
 
-    Levels come by falling frequency, so the first HOT_LEVELS hold every level with more than that share of the
-    rows. They are broadcast. Rows of other levels are dealt by their level, all the rest, missing
-    levels included, by a hash of the row, so that no task gets a hot level.
+    Levels come by falling frequency, so the first ones hold every level with more than its share.
     """
     columns = [f"__effect{i}_{k}" for k in range(len(names))]
-    kinds = {c: T.DoubleType() for c in columns}
+    schema = result_schema(level=T.StringType(), **{c: T.DoubleType() for c in columns})
     listed = [(level, *[by.get(name) for name in names]) for level, by in effects.items()]
-
-    def lookup(part: list[tuple], level: str, values: Sequence[str]) -> DataFrame:
-        schema = result_schema(**{level: T.StringType()}, **dict(zip(values, kinds.values(), strict=True)))
-        return rows_to_frame(rows.sparkSession, part, schema)
-
-    hot = F.broadcast(lookup(listed[:HOT_LEVELS], f"__hot{i}", columns))
-    joined = rows.join(hot, F.col(field) == F.col(f"__hot{i}"), "left")
-    if len(listed) <= HOT_LEVELS:
-        return joined.drop(f"__hot{i}")
-    colder = [f"{c}_cold" for c in columns]
-    cold = lookup(listed[HOT_LEVELS:], f"__cold{i}", colder).withColumn(f"__dealt{i}", F.lit(-1))
-    done = F.col(f"__hot{i}").isNotNull() | F.col(field).isNull()
-    spread = F.when(done, F.pmod(F.xxhash64("__row"), F.lit(SPREAD)).cast("int")).otherwise(-1)
-    level = F.when(~done, F.col(field)).otherwise("")
-    keyed = joined.withColumns({f"__spread{i}": spread, f"__level{i}": level})
-    same = (F.col(f"__spread{i}") == F.col(f"__dealt{i}")) & (F.col(f"__level{i}") == F.col(f"__cold{i}"))
-    both = keyed.join(cold, same, "left")
-    both = both.withColumns({c: F.coalesce(c, cc) for c, cc in zip(columns, colder, strict=True)})
-    return both.drop(f"__hot{i}", f"__cold{i}", f"__dealt{i}", f"__spread{i}", f"__level{i}", *colder)
+    hot = rows_to_frame(rows.sparkSession, listed[: levels.HOT_LEVELS], schema)
+    rest = listed[levels.HOT_LEVELS :]
+    cold = rows_to_frame(rows.sparkSession, rest, schema) if rest else None
+    return levels.joined_levels(rows, field, hot, cold, columns, F.xxhash64("__row"))

@@ -24,6 +24,10 @@ from .products import (
 )
 
 
+# Second moments that the driver may hold.
+MOST_BYTES = 4 << 30
+
+
 @dataclass(frozen=True)
 class Moments:
     """Row count, means and centred second moments of the slots and, last, of the target."""
@@ -136,6 +140,12 @@ def design_moments(
             counts[r.levels[0]] = counts.get(r.levels[0], 0) + r.n
     slots = _slots_of(counts, spec)
     p = len(slots)
+    n_folds = len({r.fold for r in level_sums}) or 1
+    needed = n_folds * (p + 1) ** 2 * 8
+    if needed > MOST_BYTES:
+        raise ValueError(
+            f"{n_folds} folds of {p} slots take {needed / 1e9:.1f} GB on the driver: use method='pipeline'"
+        )
     # Where each measure stands: its slot, and for the target the place after all slots.
     place = {s.name: s.idx for s in slots}
     at = np.array([place[c] for c in spec.numeric] + [p])

@@ -303,7 +303,7 @@ def test_many_models_in_one_read(spark, orders):
 
 def test_lookup_beyond_the_broadcast_levels(spark, monkeypatch):
     """A level on a third of the rows, nulls on another: no task gets more than its share."""
-    monkeypatch.setattr("keydrivers.operators.models.HOT_LEVELS", 3)
+    monkeypatch.setattr("keydrivers.operators.levels.HOT_LEVELS", 3)
     level = "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('l', id % 500) END"
     rows = spark.range(30_000).selectExpr("id", f"{level} AS level", "id % 17 AS x", "id % 17 * 2.0 + id % 500 AS y")
     spec = FeatureSpec(("x",), ("level",), "y")
@@ -322,3 +322,10 @@ def test_lookup_beyond_the_broadcast_levels(spark, monkeypatch):
     monkeypatch.undo()
     expected = {r.id: r.prediction for r in ops.score(model, rows.where("id < 29000")).collect()}
     assert scored == pytest.approx(expected) and len(scored) == 29_000
+
+
+def test_too_many_slots_for_the_driver(spark, monkeypatch):
+    monkeypatch.setattr("keydrivers.operators.moments.MOST_BYTES", 10_000)
+    rows = spark.range(500).selectExpr("CAST(id % 100 AS STRING) AS level", "id * 1.0 AS x", "id * 2.0 AS y")
+    with pytest.raises(ValueError, match="pipeline"):
+        ops.fit_linear(rows, FeatureSpec(("x",), ("level",), "y"))

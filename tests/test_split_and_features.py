@@ -133,3 +133,35 @@ def test_missing_number_can_be_skipped(vehicles):
     assert skipped.coefficients == pytest.approx(whole.coefficients)
     with pytest.raises(ValueError, match="invalid"):
         ops.prepared(holes, spec, "maybe")
+
+
+def test_level_index_as_a_table(spark, monkeypatch):
+    """The same numbers as Spark's indexer, missing, empty and unseen ones included; also beyond the broadcast levels."""
+    level = "CASE WHEN id % 4 = 0 THEN 'hot' WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN '' ELSE concat('l', CAST(sqrt(id % 700) AS INT)) END"
+    rows = spark.range(9_000).selectExpr("id", f"{level} AS c", "id % 5 AS index", "double(id) AS y")
+    spec = FeatureSpec(("index",), ("c",), "y")
+    indexer = ops.index_categories(spec).fit(ops.prepared(rows, spec))
+    expected = {name: float(k) for k, name in enumerate(indexer.labelsArray[0])}
+    found = ops.level_index(rows, "c")
+    assert {r.category: r["index"] for r in found.collect()} == expected
+    assert found.agg({"n": "sum"}).first()[0] == rows.where("c is not null").count()
+    more = rows.unionByName(spark.createDataFrame([(-1, "unseen", 0, 0.0)], rows.schema))
+    for hot in (10_000, 2):
+        monkeypatch.setattr("keydrivers.operators.levels.HOT_LEVELS", hot)
+        numbered = ops.with_level_index(more, "c", found)
+        assert numbered.columns == [*rows.columns, "c_idx"]
+        got = numbered.collect()
+        assert len(got) == 9_001
+        names = {"": "(empty)"}
+        assert all(r.c_idx == expected.get(names.get(r.c, r.c), len(expected)) for r in got)
+    with_features = ops.feature_pipeline(spec).fit(ops.prepared(rows, spec)).transform(ops.prepared(rows, spec))
+    slots = [(s.idx, s.name, s.field, s.category) for s in ops.feature_slots(with_features, spec)]
+    assert sorted(map(tuple, ops.slot_frame(rows, spec).collect())) == slots
+
+
+def test_level_index_keeps_categories_off_the_driver(spark):
+    """300,000 categories: what reaches the driver is a count for each part."""
+    rows = spark.range(600_000).selectExpr("concat('c', id % 300000) AS c")
+    index = ops.level_index(rows, "c")
+    got = index.selectExpr("count(*) AS n", "min(index) AS lo", "max(index) AS hi", "count(DISTINCT index) AS d").first()
+    assert tuple(got) == (300_000, 0.0, 299_999.0, 300_000)

@@ -562,6 +562,15 @@ FROM lineitem""",
         "folds": "SELECT l_orderkey, l_linenumber, "
         f"{_fold('fold-42', 5, 'l_orderkey', 'l_linenumber')} AS fold FROM lineitem",
         "category_index": _index_of("part", "p_partkey", ("p_brand", "p_type")),
+        "level_index": _index_of("part", "p_partkey", ("p_brand", "p_type")),
+        "slot_table_of_parts": """WITH names AS (
+  SELECT p_name AS category, row_number() OVER (ORDER BY count(*) DESC, p_name) - 1 AS idx FROM part GROUP BY p_name),
+kinds AS (
+  SELECT p_type AS category, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1
+         + (SELECT count(*) FROM names) AS idx FROM part GROUP BY p_type)
+SELECT idx, 'p_name_vec_' || category AS slot, 'p_name' AS field, category FROM names
+UNION ALL SELECT idx, 'p_type_vec_' || category, 'p_type', category FROM kinds
+UNION ALL SELECT (SELECT count(*) FROM names) + (SELECT count(*) FROM kinds), 'p_size', 'p_size', NULL""",
         "feature_slot_totals": _slot_totals(),
         "linear_numeric": _fit(COEFFICIENTS, ORDER_NUMERIC),
         "ridge_numeric": _fit(COEFFICIENTS, ORDER_NUMERIC, (), (20000.0,)),

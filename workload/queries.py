@@ -324,6 +324,21 @@ def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed.select("p_partkey", "p_brand", "p_brand_idx", "p_type", "p_type_idx")
 
 
+@query
+def level_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``category_index`` from tables of categories."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    for c in ("p_brand", "p_type"):
+        parts = ops.with_level_index(parts, c, ops.level_index(parts, c))
+    return parts
+
+
+@query
+def slot_table_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = FeatureSpec(("p_size",), ("p_name", "p_type"), "p_retailprice")
+    return ops.slot_frame(table(spark, sf_dir, "part"), spec)
+
+
 @query
 def feature_slot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum over all rows of every slot of the feature vector, under the name of the slot."""
