@@ -45,6 +45,7 @@ from .models import (
     fit_linear,
     fit_linear_pipeline,
     forest_regressor,
+    linear_path,
     linear_regressor,
     model_pipeline,
     score,

@@ -27,6 +27,7 @@ from .features import (
     prepared,
     require_values,
 )
+from .gradient import gradient_path
 from .moments import DesignMoments, design_moments, ridge_path
 
 PREDICTION = "prediction"
@@ -116,17 +117,38 @@ def linear_from_moments(
     train, slots = moments.total(), moments.slots
     ((intercept, beta),) = ridge_path(train, (reg_param,))
     if reg_param == 0.0:
-        for field in spec.categorical:
-            own = [s.idx for s in slots if s.field == field]
-            # Rows without a level hold the intercept apart from the levels.
-            if own and field in moments.never_missing:
-                centre = float(beta[own].mean())
-                beta[own] -= centre
-                intercept += centre
+        intercept = _centred(beta, intercept, spec, slots, moments.never_missing)
     spread = np.sqrt(np.clip(np.diag(train.scatter), 0.0, None) / max(train.n - 1.0, 1.0))
     return LinearFit(spec, slots, reg_param, intercept, beta, spread, invalid)
 
 
+def _centred(
+    beta: np.ndarray, intercept: float, spec: FeatureSpec, slots: Sequence[Slot], never_missing: frozenset[str]
+) -> float:
+    """Levels as differences from their mean, in place; returns the intercept that goes with them."""
+    for field in spec.categorical:
+        own = [s.idx for s in slots if s.field == field]
+        # Rows without a level hold the intercept apart from the levels.
+        if own and field in never_missing:
+            centre = float(beta[own].mean())
+            beta[own] -= centre
+            intercept += centre
+    return intercept
+
+
+def linear_path(
+    df: DataFrame, spec: FeatureSpec, grid: Sequence[float], invalid: str = "error"
+) -> list[LinearFit]:
+    """A fit for each penalty by conjugate gradients, all from the same passes; see ``fit_linear``."""
+    slots, fits, spread, full = gradient_path(df, spec, grid, _no_gaps(invalid))
+    found = []
+    for penalty, (intercept, beta) in zip(grid, fits, strict=True):
+        if penalty == 0.0:
+            intercept = _centred(beta, intercept, spec, slots, full)
+        found.append(LinearFit(spec, slots, penalty, intercept, beta, spread, invalid))
+    return found
+
+
 def fit_linear(
     df: DataFrame,
     spec: FeatureSpec,
@@ -139,13 +161,16 @@ def fit_linear(
     The model equals that of Spark's ``LinearRegression``, its penalty on standardised predictors
     and target included. ``method="moments"`` solves it from two aggregates over the rows, without
     building vectors; the driver holds slots² numbers. ``method="pipeline"`` is
-    ``fit_linear_pipeline``, for designs of very many slots or models to be served by Spark ML. The
-    caller chooses; tables and scores of either are the same.
+    ``fit_linear_pipeline``, for models to be served by Spark ML. ``method="gradient"`` is for designs of
+    very many slots: the driver holds a few numbers for each, and every step of the solver is one
+    aggregate over the rows. The caller chooses; tables and scores of each are the same.
     """
     if method == "pipeline":
         return fit_linear_pipeline(df, spec, reg_param, invalid)
+    if method == "gradient":
+        return linear_path(df, spec, (reg_param,), invalid)[0]
     if method != "moments":
-        raise ValueError(f"method must be 'moments' or 'pipeline', not {method!r}")
+        raise ValueError(f"method must be 'moments', 'pipeline' or 'gradient', not {method!r}")
     moments = design_moments(df, spec, invalid=_no_gaps(invalid))
     return linear_from_moments(moments, spec, reg_param, invalid)
 

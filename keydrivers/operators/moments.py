@@ -144,7 +144,7 @@ def design_moments(
     needed = n_folds * (p + 1) ** 2 * 8
     if needed > MOST_BYTES:
         raise ValueError(
-            f"{n_folds} folds of {p} slots take {needed / 1e9:.1f} GB on the driver: use method='pipeline'"
+            f"{n_folds} folds of {p} slots take {needed / 1e9:.1f} GB on the driver: use method='gradient' or 'pipeline'"
         )
     # Where each measure stands: its slot, and for the target the place after all slots.
     place = {s.name: s.idx for s in slots}

@@ -329,3 +329,29 @@ def test_too_many_slots_for_the_driver(spark, monkeypatch):
     rows = spark.range(500).selectExpr("CAST(id % 100 AS STRING) AS level", "id * 1.0 AS x", "id * 2.0 AS y")
     with pytest.raises(ValueError, match="pipeline"):
         ops.fit_linear(rows, FeatureSpec(("x",), ("level",), "y"))
+
+
+@pytest.mark.parametrize("penalties", [(0.0,), (0.0, 10.0, 20_000.0)])
+def test_gradients_equal_moments(spark, orders, penalties):
+    rows = orders.withColumn("o_orderstatus", F.when(F.col("order_year") != 1995, F.col("o_orderstatus")))
+    for penalty, fit in zip(penalties, ops.linear_path(rows, ORDER_SPEC, penalties), strict=True):
+        other = ops.fit_linear(rows, ORDER_SPEC, penalty)
+        assert [s.name for s in fit.slots] == [s.name for s in other.slots]
+        assert fit.coefficients == pytest.approx(other.coefficients, rel=1e-6, abs=1e-3)
+        assert fit.intercept == pytest.approx(other.intercept, rel=1e-6)
+        assert fit.spread == pytest.approx(other.spread, rel=1e-8)
+
+
+def test_gradients_over_many_levels(spark):
+    """100,000 levels: the fit holds some numbers for each, where second moments would take 80 GB."""
+    rows = spark.range(400_000).selectExpr(
+        "concat('l', id % 100000) AS level", "double(id % 37) AS x", "double(id % 37) * 3 + id % 100000 % 50 AS y"
+    )
+    spec = FeatureSpec(("x",), ("level",), "y")
+    model = ops.fit_linear(rows, spec, method="gradient")
+    assert len(model.slots) == 100_001
+    assert model.coefficients[-1] == pytest.approx(3.0, rel=1e-6)
+    found = {s.category: model.coefficients[s.idx] for s in model.slots[:-1]}
+    assert found["l49"] - found["l0"] == pytest.approx(49.0, rel=1e-6)
+    with pytest.raises(ValueError, match="gradient"):
+        ops.fit_linear(rows, spec)

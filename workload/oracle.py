@@ -671,6 +671,15 @@ effects AS (SELECT level, my - b * mx AS e, avg(my - b * mx) OVER () AS centre F
 SELECT 'level_vec_' || level AS feature, 'level' AS field, level AS category, round(e - centre, 2) + 0.0 AS coefficient
 FROM effects
 UNION ALL SELECT 'l_quantity', 'l_quantity', NULL, round(b, 2) + 0.0 FROM slope""",
+        "gradient_many_levels": """WITH rows AS (
+  SELECT CAST(l_orderkey % 2200 AS VARCHAR) AS level, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+means AS (SELECT level, avg(x) AS mx, avg(y) AS my FROM rows GROUP BY level),
+slope AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS b FROM rows JOIN means USING (level)),
+effects AS (SELECT level, my - b * mx AS e, avg(my - b * mx) OVER () AS centre FROM means CROSS JOIN slope)
+SELECT 'level_vec_' || level AS feature, 'level' AS field, level AS category, round(e - centre, 2) + 0.0 AS coefficient
+FROM effects
+UNION ALL SELECT 'l_quantity', 'l_quantity', NULL, round(b, 2) + 0.0 FROM slope""",
+        "gradient_full": _fit(COEFFICIENTS, *FULL, (20000.0,)),
         "tree_cv": _tree_cv(
             "SELECT 'tree' AS model, CAST(depth - 1 AS INTEGER) AS point, param, "
             "CASE param WHEN 'numTrees' THEN 1.0::DOUBLE WHEN 'maxDepth' THEN depth ELSE 0.0 END AS \"value\", "

@@ -781,6 +781,25 @@ def correlation_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ops.correlation_matrix(rows, ["x", "y"]), {"r": 6})
 
 
+@query
+def gradient_many_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``linear_many_levels`` without second moments on the driver."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 2200).cast("string").alias("level"), "l_quantity", "l_extendedprice"
+    )
+    spec = FeatureSpec(("l_quantity",), ("level",), "l_extendedprice")
+    found = ops.coefficient_table(spark, ops.fit_linear(lines, spec, method="gradient"))
+    return rounded(found.select("feature", "field", "category", "coefficient"), {"coefficient": 2})
+
+
+@query
+def gradient_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four numbers and three categories, with a penalty."""
+    return _coefficients(
+        spark, sf_dir, ORDER_SPEC, STRONG_PENALTY, lambda df, spec, penalty: ops.fit_linear(df, spec, penalty, method="gradient")
+    )
+
+
 @query
 def correlation_wide_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 columns, each with gaps of its own: prices of lines at one of 24 places of a cycle are missing."""
