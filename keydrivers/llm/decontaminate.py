@@ -29,8 +29,8 @@ PLACES = 4 << 20
 @dataclass(frozen=True)
 class Alignment:
     """Runs of ``seed`` words lead to pairs; with two, every pair of a leak has one. Items of fewer
-    than ``min_words`` words prove nothing and are not searched. A pair is a leak if its score is at
-    least ``min_score``, where 1 is a whole and exact copy."""
+    than ``min_words`` words leak only as a whole and exactly, as half of them proves nothing. A pair of
+    a longer one is a leak if its score is at least ``min_score``, where 1 is a whole and exact copy."""
 
     seed: int = 2
     min_words: int = 8
@@ -39,7 +39,6 @@ class Alignment:
     gap: int = -2
     min_score: float = 0.5
 
-
     def least(self, n: int) -> int:
         """The score from which on an item of n words has leaked."""
         return math.ceil(self.min_score * self.match * n - 1e-9)
@@ -100,11 +99,16 @@ class Items:
     def __init__(self, rows: list[tuple[int, bytes]], how: Alignment):
         words = Words(bare)
         self.ids, self.words = [], []
+        # Short items by their number of words and the hash of all of them.
+        self.short: dict[int, dict[int, list]] = {}
         for item_id, text in rows:
             found = words.hashes(text)
             if len(found) >= how.min_words:
                 self.ids.append(item_id)
                 self.words.append(found)
+            elif len(found):
+                whole = int(windows(found, len(found))[0])
+                self.short.setdefault(len(found), {}).setdefault(whole, []).append(item_id)
         runs = [windows(w, how.seed) for w in self.words]
         every = np.concatenate(runs) if runs else np.empty(0, np.uint64)
         self.runs, run_of = np.unique(every, return_inverse=True)
@@ -117,6 +121,13 @@ class Items:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.runs & np.uint64((1 << 20) - 1)] = True
 
+    def whole(self, words: np.ndarray) -> Iterator[int | None]:
+        """Short items all of whose words stand in a document in a row."""
+        for n, items in self.short.items():
+            if n <= len(words):
+                for found in np.intersect1d(windows(words, n), np.array(list(items), np.uint64)):
+                    yield from items[int(found)]
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of a document's runs that an item has, and their numbers."""
         at = np.flatnonzero(self.filter[hashes & np.uint64((1 << 20) - 1)])
@@ -182,6 +193,10 @@ def _surroundings(at: list[int], reach: int) -> Iterator[tuple[int, int]]:
 def _aligned(docs: DataFrame, items, how: Alignment) -> DataFrame:
     def leaks(doc_id, words: np.ndarray):
         known = items.value
+        for item_id in known.whole(words):
+            yield doc_id, item_id, 1.0
+        if not known.ids:
+            return
         for item, at in known.places(windows(words, how.seed), how.seed):
             wanted = known.words[item]
             parts = [words[a:b] for a, b in _surroundings(at, int(known.span[item]))]
@@ -218,7 +233,7 @@ def leaks(
 ) -> DataFrame:
     """doc_id, item_id and score of every document that holds a copy of an item; no other rows.
 
-    Null and empty texts hold nothing, and null or short items are in nothing. Rows without an id
+    Null and empty texts hold nothing, and null or empty items are in nothing. Rows without an id
     give leaks without one. Repeated rows of documents give repeated leaks, repeated items one each.
     Other columns are not carried. Items are broadcast in blocks of some MB and each block reads the
     documents once.
@@ -231,7 +246,7 @@ def leaks(
     found = spark.createDataFrame([], LEAKS)
     for block in _blocks(tests.withColumn("item_id", F.col("item_id").cast("bigint"))):
         known = Items(block, how)
-        if not known.ids:
+        if not known.ids and not known.short:
             continue
         shared = spark.sparkContext.broadcast(known)
         found = found.unionByName(_aligned(rows, shared, how))
@@ -239,6 +254,13 @@ def leaks(
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, how: Alignment = Alignment()) -> DataFrame:
-    """The documents that hold no item. Rows without an id cannot be named and stay."""
+    """The documents that hold no item. Rows without an id go by their text."""
     leaked = leaks(docs, items, how).select(F.col("doc_id").alias("id")).where("id is not null")
-    return without_ids(docs, stored(leaked.distinct(), "leaked"))
+    named = without_ids(docs.where("doc_id is not null"), stored(leaked.distinct(), "leaked"))
+    nameless = docs.where("doc_id is null").select(
+        F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("doc_id")
+    )
+    texts = nameless.select("doc_id", F.col("row.text").alias("text"))
+    bad = stored(leaks(texts, items, how).select(F.col("doc_id").alias("id")).distinct(), "leaked-texts")
+    kept = nameless.join(bad, F.col("doc_id") == F.col("id"), "left_anti").select("row.*")
+    return named.unionByName(kept)

@@ -47,6 +47,10 @@ def brute_force(docs, items, how=Alignment()):
             if len(wanted) >= how.min_words and set(wanted) & set(words):
                 if plain_alignment(wanted, words, how) >= how.min_score:
                     found.add((i, k))
+            elif wanted and len(wanted) < how.min_words:
+                n = len(wanted)
+                if any(words[a : a + n] == wanted for a in range(len(words) - n + 1)):
+                    found.add((i, k))
     return found
 
 
@@ -79,10 +83,8 @@ def test_against_brute_force_on_copies_edits_and_clean_text(spark):
     tests = spark.createDataFrame(items, "item_id bigint, text string")
     found = {(r.doc_id, r.item_id) for r in leaks(frame, tests).collect()}
     true = brute_force(docs, items)
-    assert found <= true
-    # Pairs that align without any run of three words in common are not proposed.
-    assert len(true - found) <= 0.02 * len(true)
-    gone = {d for d, _ in found} - {None}
+    assert found == true
+    gone = {d for d, _ in found}
     kept = [r.doc_id for r in without_leaks(frame, tests).collect()]
     assert sorted(kept, key=repr) == sorted((d for d, _ in docs if d not in gone), key=repr)
 
@@ -140,3 +142,22 @@ def test_bounds_leave_no_leak_out():
         if plain_alignment(item, words, how) >= how.min_score:
             assert [k for k, _ in known.places(windows(hashes, how.seed), how.seed)] == [0]
             assert how.possible(known.words[0], hashes)
+
+
+def test_short_items_leak_as_a_whole(spark):
+    items = spark.createDataFrame(
+        [(1, "Seven words make up this test item."), (2, "two words"), (3, "Solo"), (4, None), (5, ""), (6, "two words")],
+        "item_id bigint, text string",
+    )
+    texts = ["x seven words MAKE up this test item, y", "seven words make up this item", "words two words", "solo. words", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = sorted((r.doc_id, r.item_id, r.score) for r in leaks(docs, items).collect())
+    assert found == [(0, 1, 1.0), (2, 2, 1.0), (2, 6, 1.0), (3, 3, 1.0)]
+
+
+def test_rows_without_an_id_lose_their_leaks(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(None, f"before {item} after", "a"), (None, "clean text of a row", "b"), (None, None, "c"), (7, item, "d"), (8, "clean", "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, id string")
+    assert sorted(r.id for r in without_leaks(docs, items).collect()) == ["b", "c", "e"]
