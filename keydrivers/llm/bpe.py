@@ -102,6 +102,10 @@ class ByteBpe:
         parts = self.fragments(token.encode())
         return tuple(chain.from_iterable(map(self.by_fragment.__getitem__, parts)))
 
+    def forget(self) -> None:
+        self.by_fragment.clear()
+        self.by_pre_token.clear()
+
     def pre_tokens(self, text: str) -> list[str]:
         """The library's pre-tokens of a text without special strings."""
         if not UNCOMMON.search(text):

@@ -33,21 +33,25 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(blob.value)
-        for part in slices(batches, "text"):
-            encoded = [np.array(bpe.encode(x), dtype=np.int32) for x in as_texts(part.column("text"))]
-            ends = np.cumsum([0, *map(len, encoded)])
-            ids = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.concatenate(encoded), pa.int32())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array(np.diff(ends), pa.int64()),
-                    ids,
-                    pa.array([bpe.decode(x.tolist()) for x in encoded], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "token_ids", "decoded"],
-            )
+        try:
+            for part in slices(batches, "text"):
+                encoded = [np.array(bpe.encode(x), dtype=np.int32) for x in as_texts(part.column("text"))]
+                ends = np.cumsum([0, *map(len, encoded)])
+                ids = pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(np.concatenate(encoded), pa.int32())
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array(np.diff(ends), pa.int64()),
+                        ids,
+                        pa.array([bpe.decode(x.tolist()) for x in encoded], pa.string()),
+                    ],
+                    ["doc_id", "n_tokens", "token_ids", "decoded"],
+                )
+        finally:
+            # The worker goes on with other stages, which have no use for what is remembered here.
+            bpe.forget()
 
     rows = picked(docs, doc_id=id_col, text=text_col)
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
