@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe, public, vocabulary
-from .common import as_texts, picked, slices
+from .common import as_texts, give_back, picked, slices
 
 SCHEMA = "doc_id bigint, n_tokens bigint, token_ids array<int>, decoded string"
 
@@ -52,6 +52,7 @@ def encode_decode(
         finally:
             # The worker goes on with other stages, which have no use for what is remembered here.
             bpe.forget()
+            give_back()
 
     rows = picked(docs, doc_id=id_col, text=text_col)
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))

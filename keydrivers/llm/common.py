@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -76,6 +77,15 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def give_back() -> None:
+    """Return memory that a task no longer uses: its worker lives on beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with about SLICE_BYTES in ``column``."""
     for batch in batches:
@@ -90,6 +100,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

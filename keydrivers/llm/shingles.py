@@ -9,7 +9,7 @@ import xxhash
 
 from .common import BoundedCache
 
-CACHE = 400_000
+CACHE = 150_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
