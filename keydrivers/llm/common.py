@@ -49,6 +49,15 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def boxed(df: DataFrame, **columns: str | Column) -> DataFrame:
+    """Every row as one struct ``row``, beside columns under the names an operator works with.
+
+    So the caller's columns, all of which an operator keeps, never meet its own; ``row.*`` is the row.
+    """
+    named = {n: F.col(f"`{c}`") if isinstance(c, str) else c for n, c in columns.items()}
+    return df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write rows to the shared scratch folder once, and read on from there.
 

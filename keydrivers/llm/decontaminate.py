@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, on_executors, picked, slices, stored
+from .common import as_bytes, boxed, on_executors, picked, slices, stored
 from .id_filter import without_ids
 from .shingles import Words, bare, windows
 
@@ -257,9 +257,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, how: Alignment = Alignment(
     """The documents that hold no item. Rows without an id go by their text."""
     leaked = leaks(docs, items, how).select(F.col("doc_id").alias("id")).where("id is not null")
     named = without_ids(docs.where("doc_id is not null"), stored(leaked.distinct(), "leaked"))
-    nameless = docs.where("doc_id is null").select(
-        F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("doc_id")
-    )
+    nameless = boxed(docs.where("doc_id is null"), doc_id=F.xxhash64("text"))
     texts = nameless.select("doc_id", F.col("row.text").alias("text"))
     bad = stored(leaks(texts, items, how).select(F.col("doc_id").alias("id")).distinct(), "leaked-texts")
     kept = nameless.join(bad, F.col("doc_id") == F.col("id"), "left_anti").select("row.*")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, dropped, on_executors, picked, slices, stored
+from .common import as_bytes, boxed, dropped, is_empty, on_executors, picked, slices, stored
 from .components import components
 from .id_filter import only_ids, without_ids
 from .shingles import Words, mixed, shingle_set
@@ -228,7 +228,7 @@ def linked_classes(classes: DataFrame, texts_of, how: Similarity) -> DataFrame:
         .select(*_ordered("a", "b"))
         .distinct()
     )
-    texts = texts_of(members.select("id").distinct())
+    texts = texts_of(stored(members.select("id").distinct(), "candidates"))
     links = stored(confirmed(best, texts, how), "links")
     found = stored(components(links), "components")
 
@@ -417,11 +417,10 @@ def without_copies(
     """
     found = near_duplicates(docs, how, id_col, text_col)
     copies = stored(found.where("not kept").select(F.col("doc_id").alias("id")).distinct(), "copies")
-    own = F.col(f"`{id_col}`")
     rest = without_ids(docs, copies, id_col)
-    again = docs.groupBy(own.alias("__id")).count().where("count > 1 and __id is not null")
-    again = stored(again.select("__id"), "repeated-ids")
-    if not again.take(1):
+    again = picked(docs, id=id_col).where("id is not null").groupBy("id").count().where("count > 1")
+    again = stored(again.select("id"), "repeated-ids")
+    if is_empty(again):
         return rest
-    once = rest.join(again, own == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return rest.join(again, own == F.col("__id"), "left_anti").unionByName(once)
+    once = boxed(only_ids(rest, again, id_col), own=id_col).dropDuplicates(["own"]).select("row.*")
+    return without_ids(rest, again, id_col).unionByName(once)

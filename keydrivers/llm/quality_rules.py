@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import letters, picked, stored
+from .common import boxed, letters, picked, stored
 
 # What separates words, and what counts as a symbol.
 SPACES = " \t\n\x0b\f\r"
@@ -138,10 +138,10 @@ def accepted(
     """
     counts = stored(document_counts(docs, rules, id_col, text_col, host_col), "rule-counts")
     rejected = host_verdicts(counts, rules).where("rejected")
-    rejected = stored(rejected.select(F.col("host").alias("__host")), "rejected-hosts")
+    rejected = stored(rejected.select(F.col("host").alias("bad")), "rejected-hosts")
     words = _words(letters(F.col(f"`{text_col}`")))
-    sound = docs.where(~let(words, lambda w: _fails(w, rules)))
-    return sound.join(rejected, F.col(f"`{host_col}`") == F.col("__host"), "left_anti")
+    sound = boxed(docs.where(~let(words, lambda w: _fails(w, rules))), host=host_col)
+    return sound.join(rejected, F.col("host") == F.col("bad"), "left_anti").select("row.*")
 
 
 def host_verdicts(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import letters, picked
+from .common import boxed, letters, picked
 from .quality_rules import let
 
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -220,7 +220,8 @@ def with_spans(
     meeting: bool = False,
 ) -> DataFrame:
     """Add two arrays of (start, kind, stop), in code points: the spans of fixed shapes, and those
-    with the spans of high entropy that meet none of them, or with all if ``meeting``.
+    with the spans of high entropy that meet none of them, or with all if ``meeting``. Columns of
+    the caller that have these two names are replaced.
 
     A null text counts as empty and has no spans. Kinds are positions in KINDS.
     """
@@ -234,10 +235,10 @@ def with_spans(
 
         return F.filter(spans, lambda e: ~meets(e))
 
-    rows = docs.withColumns({base_name: F.sort_array(base), "__entropy": found})
-    more = F.col("__entropy") if meeting else apart(F.col("__entropy"), F.col(base_name))
-    every = F.sort_array(F.concat(F.col(base_name), more))
-    return rows.withColumn(all_name, every).drop("__entropy")
+    rows = boxed(docs.drop(base_name, all_name), base=F.sort_array(base), found=found)
+    more = F.col("found") if meeting else apart(F.col("found"), F.col("base"))
+    every = F.sort_array(F.concat("base", more))
+    return rows.select("row.*", F.col("base").alias(base_name), every.alias(all_name))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,9 +266,8 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") ->
 
     Spans that overlap get one mark, so what a span of high entropy has beside a fixed shape goes too.
     """
-    names = {"base_name": "__base", "all_name": "__all"}
-    rows = with_spans(docs, text_col, **names, meeting=True)
-    text = F.col(f"`{text_col}`")
+    rows = with_spans(boxed(docs, text=text_col), meeting=True)
+    text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -278,10 +278,10 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") ->
         )
 
     cleaned = F.aggregate(
-        F.col("__all"),
+        F.col("all_spans"),
         start,
         step,
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    changed = F.when(F.size("__all") > 0, cleaned).otherwise(text)
-    return rows.withColumn(text_col, changed).drop("__base", "__all")
+    changed = F.when(F.size("all_spans") > 0, cleaned).otherwise(text)
+    return rows.select(F.col("row").withField(f"`{text_col}`", changed).alias("row")).select("row.*")

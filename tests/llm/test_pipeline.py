@@ -46,3 +46,24 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir, no_docs, edge_docs)
         assert stage(spark, no_docs, sf_dir).count() == 0, name
     once = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
     assert sorted(r.doc_id for r in once if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 10]
+
+
+def test_columns_of_any_name_pass_through_every_stage(spark, sf_dir):
+    names = ["__h", "__entropy", "__id", "__maybe", "__host", "__base", "__all", "__wanted_id"]
+    names += ["row", "own", "wanted", "id", "host", "bad", "base", "found", "base_spans", "all_spans", "a.b"]
+    words = " ".join(f"w{i}" for i in range(60))
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    texts = [words, words, words + " token=abcdefgh", words + " " + item, None, words]
+    rows = [(i if i < 5 else None, t, "s", *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    rows.append(rows[2])
+    schema = ", ".join(["doc_id bigint", "text string", "source string", *[f"`{n}` string" for n in names]])
+    docs = spark.createDataFrame(rows, schema)
+    kept = {"quality_rules": [0, 1, 2, 2, 3, None], "near_dedup": [0, 3, 4, None], "decontamination": [0, 1, 2, 2, 4, None]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        result = stage(spark, docs, sf_dir)
+        assert [c for c in result.columns if c != "n_chars"] == docs.columns, name
+        found = result.collect()
+        ids = kept.get(name, [0, 1, 2, 2, 3, 4, None])
+        assert sorted((r.doc_id for r in found), key=str) == sorted(ids, key=str), name
+        own = {tuple(r[n] for n in names) for r in found}
+        assert own <= {r[3:] for r in rows}, name
