@@ -111,22 +111,21 @@ _NAMES = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_
 ASSIGN_SQL = f"({_NAMES})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 
 
-def _places(name: str, pattern: str) -> str:
+def _places(name: str, pattern: str, source: str = "texts") -> str:
     """CTE ``name``: matches of a pattern and their positions; pieces and matches follow each other."""
     return f"""{name} AS (
   SELECT doc_id, m, sum(length(s) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - length(m) AS start
   FROM (
     SELECT doc_id, k, ms[k] AS m, ss[k] AS s
     FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ss
-          FROM texts WHERE regexp_matches(t, '{pattern}')) l,
+          FROM {source} WHERE regexp_matches(t, '{pattern}')) l,
          unnest(range(1, len(ms) + 1)) u(k)) p)"""
 
 
 def _high(name: str, source: str, how) -> str:
     """CTE ``name``: from the first to the last window of high entropy in each candidate."""
     limit = math.floor((math.log2(how.window) - how.bits) * how.window * UNIT)
-    wanted = [f"regexp_matches(m, '{need}')" for need in how.needs]
-    wanted += [f"NOT contains(lower(m), '{part}')" for part in ALLOWED]
+    wanted = ["true", *[f"regexp_matches(m, '{need}')" for need in how.needs]]
     return f"""{name} AS (
   SELECT doc_id, start + min(i) AS start, start + max(i) + {how.window} AS stop
   FROM (
@@ -150,7 +149,13 @@ def _listed(spans: str) -> str:
     )
 
 
-_RUNS = ", ".join(_places(f"run{k}", c.run) for k, c in enumerate(CLASSES))
+def _without_allowed(text: str) -> str:
+    for part in ALLOWED:
+        text = f"regexp_replace({text}, '{_any_case(part)}', '{' ' * len(part)}', 'g')"
+    return text
+
+
+_RUNS = ", ".join(_places(f"run{k}", c.run, "plain") for k, c in enumerate(CLASSES))
 _HIGHS = ", ".join(_high(f"high{k}", f"run{k}", c) for k, c in enumerate(CLASSES))
 _ALL_HIGH = " UNION ".join(f"SELECT * FROM high{k}" for k in range(len(CLASSES)))
 
@@ -163,13 +168,26 @@ base AS (
   WHERE length(regexp_extract(m, '{ASSIGN_SQL}', 2)) >= {MIN_ASSIGNED}
   UNION ALL SELECT doc_id, start, 1, start + length(m) FROM accessed
   UNION ALL SELECT doc_id, start, 2, start + length(m) FROM hexed),
+plain AS (SELECT doc_id, {_without_allowed("t")} AS t FROM texts),
 {_RUNS}, {_HIGHS},
 high AS ({_ALL_HIGH}),
+-- Edges of the base spans inside each span of high entropy, between its own ends.
+edges AS (
+  SELECT e.doc_id, e.start, e.stop, b.start AS lo, b.stop AS hi
+  FROM high e JOIN base b ON b.doc_id = e.doc_id AND b.start < e.stop AND e.start < b.stop
+  UNION ALL SELECT doc_id, start, stop, start, start FROM high
+  UNION ALL SELECT doc_id, start, stop, stop, stop FROM high),
+beside AS (
+  SELECT DISTINCT doc_id, past AS start, lo AS stop
+  FROM (
+    SELECT doc_id, lo, max(greatest(hi, start)) OVER (
+      PARTITION BY doc_id, start, stop ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past
+    FROM edges) p
+  WHERE past < lo),
 spans AS (
   SELECT doc_id, start, kind, stop FROM base
   UNION ALL
-  SELECT doc_id, start, {len(KINDS) - 1}, stop FROM high e
-  WHERE NOT EXISTS (FROM base b WHERE b.doc_id = e.doc_id AND b.start < e.stop AND e.start < b.stop)),
+  SELECT doc_id, start, {len(KINDS) - 1}, stop FROM beside),
 base_listed AS ({_listed("base")}),
 all_listed AS ({_listed("spans")}),
 counts AS (

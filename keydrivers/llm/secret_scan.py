@@ -3,12 +3,13 @@
 Candidates are runs of characters of one class. A window slides over each; the counts of its
 characters change by one in and one out at every step, and so does the sum of n*log2(n) that gives
 Shannon's entropy. Sums are whole numbers (in units of 2**-20), so the order of steps cannot change a
-verdict. Candidates with an allowed part are left alone.
+verdict. Allowed parts cut a candidate: only windows that touch none of them are judged.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -181,13 +182,20 @@ def high_part(text: Column, how: EntropyClass) -> Column:
     return let(numbers, walk)
 
 
-def _entropy(text: Column, how: EntropyClass, allowed: tuple[str, ...]) -> Column:
+def without_allowed(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
+    """Blanks in place of allowed parts, in either case, one kind after the other."""
+    blank = text
+    for part in allowed:
+        blank = F.regexp_replace(blank, f"(?i){re.escape(part)}", " " * len(part))
+    any_part = "|".join(map(re.escape, allowed))
+    return F.when(text.rlike(f"(?i){any_part}"), blank).otherwise(text) if allowed else text
+
+
+def _entropy(text: Column, how: EntropyClass) -> Column:
     def spans(match: Column, begin: Column) -> Column:
         wanted = F.lit(True)
         for need in how.needs:
             wanted = wanted & match.rlike(need)
-        for part in allowed:
-            wanted = wanted & ~F.contains(F.lower(match), F.lit(part))
         part = let(
             high_part(match, how),
             lambda p: F.when(
@@ -220,23 +228,38 @@ def with_spans(
     meeting: bool = False,
 ) -> DataFrame:
     """Add two arrays of (start, kind, stop), in code points: the spans of fixed shapes, and those
-    with the spans of high entropy that meet none of them, or with all if ``meeting``. Columns of
-    the caller that have these two names are replaced.
+    with what spans of high entropy have beside them, or with all of those if ``meeting``. Columns
+    of the caller that have these two names are replaced.
 
     A null text counts as empty and has no spans. Kinds are positions in KINDS.
     """
-    text = letters(F.col(f"`{text_col}`"))
+    rows = boxed(docs.drop(base_name, all_name), text=letters(F.col(f"`{text_col}`")))
+    text, plain = F.col("text"), F.col("plain")
+    rows = rows.select("row", "text", without_allowed(text, allowed).alias("plain"))
     base = F.concat(*[_base(text, k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX))])
-    found = F.array_distinct(F.concat(*[_entropy(text, c, allowed) for c in classes]))
+    found = F.array_distinct(F.concat(*[_entropy(plain, c) for c in classes]))
+    rows = rows.select("row", F.sort_array(base).alias("base"), found.alias("found"))
+
+    def beside(e: Column) -> Column:
+        """The pieces of a span that the sorted base spans leave."""
+
+        def step(a: Column, b: Column) -> Column:
+            piece = F.array(_span(a["at"], len(KINDS) - 1, b["start"]))
+            return F.struct(
+                F.greatest(a["at"], b["stop"]).alias("at"),
+                F.concat(a["out"], F.when(a["at"] < b["start"], piece).otherwise(_none())).alias("out"),
+            )
 
-    def apart(spans: Column, from_: Column) -> Column:
-        def meets(e: Column) -> Column:
-            return F.exists(from_, lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"]))
+        def rest(a: Column) -> Column:
+            last = F.array(_span(a["at"], len(KINDS) - 1, e["stop"]))
+            return F.concat(a["out"], F.when(a["at"] < e["stop"], last).otherwise(_none()))
 
-        return F.filter(spans, lambda e: ~meets(e))
+        met = F.filter("base", lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"]))
+        start = F.struct(e["start"].alias("at"), _none().alias("out"))
+        return F.aggregate(met, start, step, rest)
 
-    rows = boxed(docs.drop(base_name, all_name), base=F.sort_array(base), found=found)
-    more = F.col("found") if meeting else apart(F.col("found"), F.col("base"))
+    high = F.col("found")
+    more = high if meeting else F.array_distinct(F.flatten(F.transform(high, beside)))
     every = F.sort_array(F.concat("base", more))
     return rows.select("row.*", F.col("base").alias(base_name), every.alias(all_name))
 
