@@ -8,9 +8,11 @@ largest forest of a fold is fitted once; one scan scores all points of all folds
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel
@@ -56,7 +58,7 @@ def forest_arrays(model: RandomForestRegressionModel) -> dict[str, np.ndarray]:
 
     A forest has at most trees * 2 ** (depth + 1) nodes, a bound that the grid sets.
     """
-    found = forest_nodes(model).orderBy("tree", "node").toArrow()
+    found = forest_nodes(model).toArrow().sort_by([("tree", "ascending"), ("node", "ascending")])
     if found.num_rows > MOST_NODES:
         raise ValueError(
             f"{found.num_rows} nodes are too many for one forest in a task: use method='refit' or a smaller grid"
@@ -148,13 +150,16 @@ def nested_scores(
     trees: Sequence[int],
     depths: Sequence[int],
     gains: Sequence[float],
+    parallelism: int = 2,
 ) -> DataFrame:
     """(fold, trees, depth, least, n, rmse, mae, r2) of the rows of each fold under the forest of that fold.
 
     ``least`` is the place of a least gain in ``gains``. One scan; what is shuffled is one row for each task, fold and point.
     """
     spark = vectors.sparkSession
-    forests = {f: forest_arrays(m) for f, m in models.items()}
+    with ThreadPool(parallelism) as pool:
+        arrays_of = pool.map(inheritable_thread_target(spark)(forest_arrays), models.values())
+    forests = dict(zip(models, arrays_of, strict=True))
     used = sorted({int(s) for a in forests.values() for s in a["feature"] if s >= 0}) or [0]
     place = np.full(max(used) + 2, 0)
     place[used] = np.arange(len(used))

@@ -34,6 +34,7 @@ PREDICTION = "prediction"
 FULL_FEATURES = "all_features"
 
 FOREST_SEED = 42
+ROWS_A_PARTITION = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -110,6 +111,16 @@ def forest_regressor(
     )
 
 
+def for_trees(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows in as few partitions as keep all cores busy, none much larger than a task holds.
+
+    In every pass each partition sends sums for all open nodes of all trees, however few its rows: what is
+    shuffled grows with the partitions.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(cores, -(-n // ROWS_A_PARTITION)))
+
+
 def linear_from_moments(
     moments: DesignMoments, spec: FeatureSpec, reg_param: float, invalid: str = "error"
 ) -> LinearFit:
@@ -253,7 +264,7 @@ def fit_forest(
     with_features = features.transform(rows)
     slots = feature_slots(with_features, spec)
     regressor = forest_regressor(spec, num_trees, max_depth, min_info_gain, seed, **options)
-    forest = regressor.fit(with_features.select(FEATURES, spec.target))
+    forest = regressor.fit(for_trees(with_features.select(FEATURES, spec.target), rows.count()))
     return FittedRegression(
         spec,
         PipelineModel([*features.stages, forest]),

@@ -26,6 +26,7 @@ from .models import (
     FittedRegression,
     LinearFit,
     fit_linear_pipeline,
+    for_trees,
     forest_regressor,
     linear_from_moments,
     linear_regressor,
@@ -173,11 +174,12 @@ def cross_validate(
     slots = tuple(feature_slots(with_features, spec))
     maps = param_grid(regressor, grid)
     with kept(with_features.select(FEATURES, spec.target, fold)) as vectors:
-        folds = sorted(r[0] for r in vectors.select(fold).distinct().collect())
+        sizes = {r[0]: r["count"] for r in vectors.groupBy(fold).count().collect()}
+        folds, n = sorted(sizes), sum(sizes.values())
 
         def fit_and_score(task: tuple[int, int]) -> dict[str, float | None]:
             held_out, i = task
-            fitted = regressor.fit(vectors.where(F.col(fold) != held_out), maps[i])
+            fitted = regressor.fit(for_trees(vectors.where(F.col(fold) != held_out), n - sizes[held_out]), maps[i])
             scored = fitted.transform(vectors.where(F.col(fold) == held_out))
             return regression_metrics(scored, spec.target).first().asDict()
 
@@ -194,7 +196,7 @@ def cross_validate(
             fitted = fit_linear_pipeline(df, spec, best["regParam"], invalid)
         else:
             chosen = maps[combinations_of(grid).index(best)]
-            stages = [*features.stages, regressor.fit(vectors, chosen)]
+            stages = [*features.stages, regressor.fit(for_trees(vectors, n), chosen)]
             used = tuple(s.idx for s in slots)
             fitted = FittedRegression(spec, PipelineModel(stages), slots, used, invalid)
     return CvResult(model, points, best, fitted)
@@ -235,7 +237,8 @@ def forest_cv(
     points = combinations_of(grid)
     scores: dict[tuple, list] = {}
     with kept(with_features.select(FEATURES, spec.target, fold)) as vectors:
-        folds = sorted(r[0] for r in vectors.select(fold).distinct().collect())
+        sizes = {r[0]: r["count"] for r in vectors.groupBy(fold).count().collect()}
+        folds, n = sorted(sizes), sum(sizes.values())
         for others, axes in _nested_groups(regressor, points):
             largest = others | {
                 "numTrees": max(axes["numTrees"]), "maxDepth": max(axes["maxDepth"]), "minInfoGain": min(axes["minInfoGain"]),
@@ -243,13 +246,13 @@ def forest_cv(
             (params,) = param_grid(regressor, {name: (value,) for name, value in largest.items()})
 
             def fit(held_out: int):
-                return regressor.fit(vectors.where(F.col(fold) != held_out), params)  # noqa: B023
+                return regressor.fit(for_trees(vectors.where(F.col(fold) != held_out), n - sizes[held_out]), params)  # noqa: B023
 
             with ThreadPool(parallelism) as pool:
                 fitted = pool.map(inheritable_thread_target(rows.sparkSession)(fit), folds)
             found = nested_scores(
-                vectors, dict(zip(folds, fitted, strict=True)), spec.target, fold,
-                axes["numTrees"], axes["maxDepth"], axes["minInfoGain"],
+                for_trees(vectors, n), dict(zip(folds, fitted, strict=True)), spec.target, fold,
+                axes["numTrees"], axes["maxDepth"], axes["minInfoGain"], parallelism,
             )
             for row in found.orderBy("fold").collect():
                 point = others | {
@@ -263,7 +266,7 @@ def forest_cv(
         )
         best = _best([p for p in best_of if p.metric == metrics[0]]).params
         (chosen,) = param_grid(regressor, {name: (value,) for name, value in best.items()})
-        stages = [*features.stages, regressor.fit(vectors, chosen)]
+        stages = [*features.stages, regressor.fit(for_trees(vectors, n), chosen)]
     used = tuple(s.idx for s in slots)
     return CvResult(model, best_of, best, FittedRegression(spec, PipelineModel(stages), slots, used, invalid))
 

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 import keydrivers
@@ -19,6 +20,7 @@ from keydrivers.plans import (
 )
 from keydrivers.sources import read_table
 from workload.fixtures import NUMERIC_SPEC, ORDER_KEY, ORDER_SPEC, PRIORITY_SPEC
+from workload.queries import QUERIES
 
 GRID = (0.5, 1.5, 20_000.0)
 
@@ -238,3 +240,28 @@ def test_no_rows_are_collected_in_the_library():
         text = path.read_text()
         assert not re.search(r"toPandas|localCheckpoint|crossJoin|toLocalIterator|\.rdd\b", text), path
         assert len(re.findall(r"\.collect\(\)", text)) == allowed.get(path.name, 0), path
+
+
+def test_forests_are_fitted_on_few_partitions(spark, folded, monkeypatch):
+    """Each partition sends sums for all nodes in every pass, so small rows must not come in many."""
+    seen = []
+    fit = RandomForestRegressor.fit
+
+    def watched(self, rows, params=None):
+        seen.append(rows.rdd.getNumPartitions())
+        return fit(self, rows, params)
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", watched)
+    cores = spark.sparkContext.defaultParallelism
+    rows = folded.repartition(cores + 30)
+    grid = {"numTrees": (2,), "maxDepth": (1,), "minInfoGain": (0.0,)}
+    for method in ("nested", "refit"):
+        ops.forest_cv(rows, PRIORITY_SPEC, grid, method=method)
+    ops.fit_forest(rows, PRIORITY_SPEC, num_trees=2, max_depth=1)
+    assert len(seen) == 9
+    assert max(seen) <= cores
+
+
+@pytest.mark.parametrize("name", ["forest_overfit", "leaderboard"])
+def test_reports_of_forests_join_no_rows_again(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).inputFiles() == []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keydrivers import FeatureSpec
 from keydrivers import operators as ops
-from keydrivers.sources import kept, read_table, schema_report, scratch_dir, write_table
+from keydrivers.sources import checkpointed, kept, read_table, schema_report, scratch_dir, write_table
 
 from .fixtures import (
     NUMERIC_SPEC,
@@ -588,26 +588,32 @@ def ridge_cv_full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forest(spark, sf_dir) -> tuple[DataFrame, ops.FittedRegression]:
-    marked = _marked(spark, sf_dir)
-    with kept(marked) as rows:
+    """The scores of a forest on both sides of the split, from the rows it was fitted on, and the forest."""
+    with kept(_marked(spark, sf_dir)) as rows:
         model = ops.fit_forest(rows.where("split = 'train'"), ORDER_SPEC)
-    return marked, model
+        # A row for each side; taken here, the rows are not joined again for it.
+        report = checkpointed(ops.overfit_report(model, rows, "forest"))
+    return report, model
+
+
+def _forest_alone(spark, sf_dir) -> ops.FittedRegression:
+    with kept(_train(spark, sf_dir)) as rows:
+        return ops.fit_forest(rows, ORDER_SPEC)
 
 
 @query
 def forest_overfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked, model = _forest(spark, sf_dir)
-    return ops.overfit_report(model, marked, "forest")
+    return _forest(spark, sf_dir)[0]
 
 
 @query
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.feature_importance(spark, _forest(spark, sf_dir)[1])
+    return ops.feature_importance(spark, _forest_alone(spark, sf_dir))
 
 
 @query
 def importance_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    importances = ops.feature_importance(spark, _forest(spark, sf_dir)[1])
+    importances = ops.feature_importance(spark, _forest_alone(spark, sf_dir))
     return ops.importance_by_field(importances)
 
 
@@ -629,15 +635,16 @@ def best_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = _marked(spark, sf_dir)
-    with kept(marked) as rows:
+    with kept(_marked(spark, sf_dir)) as rows:
         train = rows.where("split = 'train'")
         models = {
             "linear_full": ops.fit_linear(train, ORDER_SPEC),
             "ridge_full": ops.fit_linear(train, ORDER_SPEC, STRONG_PENALTY),
             "forest": ops.fit_forest(train, ORDER_SPEC),
         }
-    return ops.leaderboard([ops.overfit_reports(models, marked)])
+        # Two rows for each model; taken here, the rows are not joined again for them.
+        reports = checkpointed(ops.overfit_reports(models, rows))
+    return ops.leaderboard([reports])
 
 
 @query
@@ -730,9 +737,8 @@ def best_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forest_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold for any forest: rows by split, importances that add up, slots by field."""
-    marked, model = _forest(spark, sf_dir)
+    report, model = _forest(spark, sf_dir)
     importances = ops.feature_importance(spark, model)
-    report = ops.overfit_report(model, marked, "forest")
     total = importances.agg(F.round(F.sum("importance"), 6).alias("value"))
     slots = importances.groupBy("field").agg(F.count("*").cast("double").alias("value"))
     fields = ops.importance_by_field(importances).agg(F.round(F.sum("importance"), 6).alias("value"))
