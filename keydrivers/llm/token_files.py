@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -49,6 +50,8 @@ WORD = re.compile(
 # Texts on which Python and the library could differ: other scripts, combining marks, odd white
 # space, the capital that becomes two letters, and whatever may begin a special string.
 UNCOMMON = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f-\\xa0\\xad\\u0130\\u0180-\\U0010ffff]|<\\|")
+# The same for Arrow, which looks through a column at once.
+UNCOMMON_RE2 = "[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x{a0}\\x{ad}\\x{130}\\x{180}-\\x{10ffff}]|<\\|"
 
 
 class WordBpe:
@@ -60,11 +63,10 @@ class WordBpe:
 
     def __init__(self, blob: bytes):
         self.library = library(blob)
-        self.ends = {i for token, i in self.library.get_vocab().items() if token.endswith("</w>")}
-        self.of_word = BoundedCache(self._one, CACHE)
-
-    def _one(self, word: str) -> bytes:
-        return self.whole(word)
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.of_word = BoundedCache(self.whole, CACHE)
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
@@ -80,18 +82,21 @@ class WordBpe:
         joined = [" ".join(run) for run in runs]
         encoded = self.library.encode_batch_fast(joined, add_special_tokens=False)
         for run, found in zip(runs, encoded, strict=True):
-            start, pieces, ids = 0, [], found.ids
-            for at, i in enumerate(ids, 1):
-                if i in self.ends:
-                    pieces.append(np.array(ids[start:at], dtype="<u4").tobytes())
-                    start = at
-            if len(pieces) != len(run) or start != len(ids):
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            if len(cuts) == len(run) + 1 and cuts[-1] == ids.nbytes:
+                raw = ids.tobytes()
+                pieces = [raw[i:k] for i, k in zip(cuts, cuts[1:], strict=False)]
+            else:
                 pieces = [self.whole(word) for word in run]
             self.of_word.update(zip(run, pieces, strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if UNCOMMON.search(x) else WORD.findall(x.lower()) for x in texts]
-        self.learn({w for found in words if found for w in found})
+    def encode(self, texts: list[str], uncommon: list[bool] | None = None) -> list[bytes]:
+        """``uncommon``: whether UNCOMMON is found in each text, where the caller knows."""
+        if uncommon is None:
+            uncommon = [bool(UNCOMMON.search(x)) for x in texts]
+        words = [None if odd else WORD.findall(x.lower()) for x, odd in zip(texts, uncommon, strict=True)]
+        self.learn(set().union(*[found for found in words if found]))
         known = self.of_word.__getitem__
         return [
             self.whole(text) if found is None else b"".join(map(known, found))
@@ -248,7 +253,9 @@ def write_tokens(
                 store.create_dir(root, recursive=True)
                 path, sink = f"{folder}/{name}", store.open_output_stream(f"{root}/{name}", None)
                 writer = Writer(sink)
-            encoded = bpe.encode(as_texts(batch.column("text")))
+            texts = batch.column("text")
+            uncommon = pc.match_substring_regex(texts, UNCOMMON_RE2).to_pylist()
+            encoded = bpe.encode(as_texts(texts), uncommon)
             for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 writer.add(doc_id, tokens + end)
         if sink is not None:
