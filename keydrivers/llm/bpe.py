@@ -10,8 +10,8 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import tiktoken
 
@@ -22,7 +22,7 @@ SPLIT = "'(?:[sdmt]|ll|ve|re)| ?[{L}]+| ?[{N}]+| ?[^\\s{L}{N}]+|\\s+(?!\\S)|\\s+
 
 # Below this code point Python and the library agree on what a letter, number or space is.
 COMMON = 0x250
-CACHE = 200_000
+CACHE = 50_000
 
 
 def _class_of(initial: str) -> str:
@@ -83,7 +83,8 @@ class ByteBpe:
         core = tiktoken.Encoding("bpe", pat_str=".", mergeable_ranks=self.ranks, special_tokens={})
         self.merge = core._core_bpe.encode_single_piece
         self.inside = frozenset(p for token in self.ranks for p in zip(token, token[1:], strict=False))
-        self.by_fragment = BoundedCache(lambda x: tuple(self.merge(x)), CACHE)
+        # Ids as 32-bit numbers in bytes: a tuple of them takes five times the memory.
+        self.by_fragment = BoundedCache(lambda x: array("i", self.merge(x)).tobytes(), CACHE)
         self.by_pre_token = BoundedCache(self.encode_pre_token, CACHE)
         self.bytes_of = {i: token for token, i in self.ranks.items()}
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
@@ -98,9 +99,8 @@ class ByteBpe:
         cuts = [i for i, pair in enumerate(zip(piece, piece[1:], strict=False), 1) if pair not in inside]
         return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
 
-    def encode_pre_token(self, token: str) -> tuple[int, ...]:
-        parts = self.fragments(token.encode())
-        return tuple(chain.from_iterable(map(self.by_fragment.__getitem__, parts)))
+    def encode_pre_token(self, token: str) -> bytes:
+        return b"".join(map(self.by_fragment.__getitem__, self.fragments(token.encode())))
 
     def forget(self) -> None:
         self.by_fragment.clear()
@@ -125,15 +125,19 @@ class ByteBpe:
             elif part:
                 yield part, None
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
+        found: list[bytes] = []
         known = self.by_pre_token.__getitem__
         for part, special in self.segments(text):
             if part is None:
-                ids.append(special)
+                found.append(array("i", [special]).tobytes())
             else:
-                ids.extend(chain.from_iterable(map(known, self.pre_tokens(part))))
-        return ids
+                found.extend(map(known, self.pre_tokens(part)))
+        return b"".join(found)
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

@@ -35,7 +35,7 @@ def encode_decode(
         bpe = byte_bpe(blob.value)
         try:
             for part in slices(batches, "text"):
-                encoded = [np.array(bpe.encode(x), dtype=np.int32) for x in as_texts(part.column("text"))]
+                encoded = [np.frombuffer(bpe.packed(x), dtype=np.int32) for x in as_texts(part.column("text"))]
                 ends = np.cumsum([0, *map(len, encoded)])
                 ids = pa.ListArray.from_arrays(
                     pa.array(ends, pa.int32()), pa.array(np.concatenate(encoded), pa.int32())

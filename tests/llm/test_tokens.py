@@ -8,11 +8,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from keydrivers.llm.bpe import byte_bpe, library, public
 from keydrivers.llm.bpe_codec import digests, encode_decode
 from keydrivers.llm.token_counts import count_tokens
 from keydrivers.llm.token_files import (
+    UNCOMMON,
+    UNCOMMON_RE2,
     TokenFile,
     Writer,
     checksums,
@@ -142,3 +145,17 @@ def test_token_files_round_trip(spark, edge_docs, no_docs):
     tokens = {r.doc_id: bytes(r.tokens) for r in wanted.collect()}
     assert {r.doc_id: bytes(r.tokens) for r in read_documents(wanted).collect()} == tokens
     assert read_tokens(write_tokens(no_docs)).count() == 0
+
+
+def test_arrow_finds_the_same_uncommon_characters():
+    texts = [chr(c) for c in range(0x250)] + ["日", "\U0001f600", "\u0301", "<|", "<", "|<", "a\nb", "", "a\x00", "é<|"]
+    found = pc.match_substring_regex(pa.array(texts), UNCOMMON_RE2).to_pylist()
+    assert found == [bool(UNCOMMON.search(x)) for x in texts]
+
+
+def test_remembered_ids_are_small():
+    bpe = byte_bpe(blob("byte_bpe_50k.json"))
+    text = "A sequence of some words, 1234567 <|endoftext|> and ümläuts"
+    assert bpe.encode(text) == bpe.library.encode(text, add_special_tokens=False).ids
+    assert all(isinstance(x, bytes) and len(x) % 4 == 0 for x in bpe.by_pre_token.values())
+    assert bpe.by_pre_token.limit <= 50_000
