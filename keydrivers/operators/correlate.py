@@ -48,6 +48,9 @@ def _direct(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def _from_products(df: DataFrame, cols: Sequence[str], compiled_width: int) -> DataFrame:
     """(a, b, r) of all pairs of columns in their order, a column with itself included."""
+    if len(cols) > compiled_width:
+        # Matrix products of one read serve complete columns too.
+        return _from_moments(df, cols)
     stats = column_stats(df, cols)
     if not stats.complete:
         return _from_moments(df, cols)
@@ -82,10 +85,11 @@ def _from_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def correlation_matrix(
     df: DataFrame, cols: Iterable[str], compiled_width: int = COMPILED_WIDTH
 ) -> DataFrame:
-    """Long form (a, b, r) of the full symmetric matrix, in two passes over the data.
+    """Long form (a, b, r) of the full symmetric matrix, in two passes over the data, or one for wide tables.
 
     The first pass gives means and null counts; the second sums products around the means, or,
-    where values are missing, merges means and centred products of every pair over its own rows. A
+    where values are missing, merges means and centred products of every pair over its own rows. More than
+    ``compiled_width`` columns take the latter alone, gaps or not. A
     column or pair without spread has no correlation: null, also with itself.
     """
     cols = list(cols)

@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keydrivers import operators as ops
 
@@ -86,3 +87,17 @@ def test_one_pass_over_gaps(spark):
     df = spark.range(100).selectExpr(*[f"CASE WHEN id % {k + 2} > 0 THEN id * {k} + rand({k}) END AS c{k}" for k in range(30)])
     plan = ops.correlation_matrix(df, df.columns)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and len(plan) < 60_000
+
+
+def test_wide_columns_are_read_once(spark, monkeypatch):
+    """Means and counts of every column beforehand would be a read of their own."""
+    from keydrivers.operators import correlate
+
+    monkeypatch.setattr(correlate, "column_stats", lambda *_: pytest.fail("read for column statistics"))
+    x = F.col("id").cast("double")
+    columns = {f"c{k}": F.when(F.col("id") % 14 != k, x * (k + 1.0)) for k in range(13)} | {"flat": F.lit(7.1)}
+    rows = spark.range(500).select([c.alias(name) for name, c in columns.items()])
+    found = {(r.a, r.b): r.r for r in ops.correlation_matrix(rows, list(columns)).collect()}
+    assert len(found) == 14 * 14
+    assert all((r is None) == ("flat" in pair) for pair, r in found.items())
+    assert all(abs(r - 1.0) < 1e-9 for r in found.values() if r is not None)
