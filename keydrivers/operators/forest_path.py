@@ -151,20 +151,33 @@ def nested_scores(
     depths: Sequence[int],
     gains: Sequence[float],
     parallelism: int = 2,
+) -> DataFrame:
+    """``scores_of_arrays`` of the forest of each fold."""
+    with ThreadPool(parallelism) as pool:
+        arrays_of = pool.map(inheritable_thread_target(vectors.sparkSession)(forest_arrays), models.values())
+    forests = dict(zip(models, arrays_of, strict=True))
+    return scores_of_arrays(vectors, forests, target, fold, trees, depths, gains)
+
+
+def scores_of_arrays(
+    vectors: DataFrame,
+    forests: Mapping[int, dict[str, np.ndarray]],
+    target: str,
+    fold: str,
+    trees: Sequence[int],
+    depths: Sequence[int],
+    gains: Sequence[float],
 ) -> DataFrame:
     """(fold, trees, depth, least, n, rmse, mae, r2) of the rows of each fold under the forest of that fold.
 
-    ``least`` is the place of a least gain in ``gains``. One scan; what is shuffled is one row for each task, fold and point.
+    Forests are as ``forest_arrays`` gives them. ``least`` is the place of a least gain in ``gains``. One scan; what is
+    shuffled is one row for each task, fold and point.
     """
     spark = vectors.sparkSession
-    with ThreadPool(parallelism) as pool:
-        arrays_of = pool.map(inheritable_thread_target(spark)(forest_arrays), models.values())
-    forests = dict(zip(models, arrays_of, strict=True))
     used = sorted({int(s) for a in forests.values() for s in a["feature"] if s >= 0}) or [0]
     place = np.full(max(used) + 2, 0)
     place[used] = np.arange(len(used))
-    for arrays in forests.values():
-        arrays["feature"] = place[arrays["feature"]]
+    forests = {f: arrays | {"feature": place[arrays["feature"]]} for f, arrays in forests.items()}
     centre = vectors.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
     shared = spark.sparkContext.broadcast(forests)
     slicer = VectorSlicer(inputCol=FEATURES, outputCol="__slots", indices=used)

@@ -115,10 +115,19 @@ def for_trees(rows: DataFrame, n: int) -> DataFrame:
     """``n`` rows in as few partitions as keep all cores busy, none much larger than a task holds.
 
     In every pass each partition sends sums for all open nodes of all trees, however few its rows: what is
-    shuffled grows with the partitions.
+    shuffled grows with the partitions. They are a multiple of the cores, so that none waits for the last ones.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.coalesce(max(cores, -(-n // ROWS_A_PARTITION)))
+    return rows.coalesce(cores * max(1, -(-n // (cores * ROWS_A_PARTITION))))
+
+
+def forests_at_once(rows: DataFrame, n: int, most: int) -> int:
+    """How many forests of ``n`` rows to fit at a time: ``most``, or as many as have no more rows than full partitions.
+
+    Each fit keeps its rows with a count and a node for each tree; beyond memory, these go to disk and back in every pass.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(most, cores * ROWS_A_PARTITION // max(n, 1)))
 
 
 def linear_from_moments(

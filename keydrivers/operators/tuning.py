@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 from itertools import product
 from multiprocessing.pool import ThreadPool
@@ -11,7 +12,7 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark import inheritable_thread_target
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 
 from ..sources import kept, result_schema, rows_to_frame
 from ..spec import FeatureSpec
-from .features import FEATURES, feature_pipeline, feature_slots, prepared
-from .forest_path import NESTED, nested_scores
+from .features import FEATURES, Slot, feature_pipeline, feature_slots, prepared
+from .forest_path import NESTED, forest_arrays, scores_of_arrays
 from .metrics import regression_metrics
 from .models import (
     FittedRegression,
@@ -28,6 +29,7 @@ from .models import (
     fit_linear_pipeline,
     for_trees,
     forest_regressor,
+    forests_at_once,
     linear_from_moments,
     linear_regressor,
 )
@@ -150,6 +152,27 @@ def ridge_cv(
     return CvResult(model, points, best, fitted)
 
 
+@contextmanager
+def _vectors(
+    df: DataFrame, spec: FeatureSpec, fold: str, invalid: str, trees: bool
+) -> Iterator[tuple[PipelineModel, tuple[Slot, ...], DataFrame]]:
+    """(feature stages, slots, kept vectors). ``df`` is computed once for all that read it.
+
+    For ``trees`` the rows of a partition lie in the order of their predictors. A pass adds every row to the sums
+    of one node of each tree; neighbours then meet the same nodes, whose sums the processor still has at hand.
+    """
+    with ExitStack() as stack:
+        with kept(prepared(df.select(*spec.columns, fold), spec, invalid)) as rows:
+            features = feature_pipeline(spec, invalid).fit(rows)
+            if trees:
+                rows = for_trees(rows, rows.count()).sortWithinPartitions(*spec.predictors)
+            with_features = features.transform(rows)
+            slots = tuple(feature_slots(with_features, spec))
+            vectors = stack.enter_context(kept(with_features.select(FEATURES, spec.target, fold)))
+            vectors.count()  # from here on the vectors stand for the rows
+        yield features, slots, vectors
+
+
 def cross_validate(
     df: DataFrame,
     spec: FeatureSpec,
@@ -168,24 +191,21 @@ def cross_validate(
     best point. ``fold`` holds fold numbers, as ``assign_folds`` gives. Linear regressors are refitted
     by ``fit_linear``'s pipeline, so that without a penalty their levels are centred too.
     """
-    rows = prepared(df.select(*spec.columns, fold), spec, invalid)
-    features = feature_pipeline(spec, invalid).fit(rows)
-    with_features = features.transform(rows)
-    slots = tuple(feature_slots(with_features, spec))
     maps = param_grid(regressor, grid)
-    with kept(with_features.select(FEATURES, spec.target, fold)) as vectors:
+    trees = isinstance(regressor, RandomForestRegressor)
+    with _vectors(df, spec, fold, invalid, trees) as (features, slots, vectors):
         sizes = {r[0]: r["count"] for r in vectors.groupBy(fold).count().collect()}
         folds, n = sorted(sizes), sum(sizes.values())
 
         def fit_and_score(task: tuple[int, int]) -> dict[str, float | None]:
             held_out, i = task
-            fitted = regressor.fit(for_trees(vectors.where(F.col(fold) != held_out), n - sizes[held_out]), maps[i])
+            fitted = regressor.fit(for_trees(vectors.where(F.col(fold) != held_out), n), maps[i])
             scored = fitted.transform(vectors.where(F.col(fold) == held_out))
             return regression_metrics(scored, spec.target).first().asDict()
 
         tasks = list(product(folds, range(len(maps))))
-        with ThreadPool(parallelism) as pool:
-            found = dict(zip(tasks, pool.map(inheritable_thread_target(rows.sparkSession)(fit_and_score), tasks)))
+        with ThreadPool(forests_at_once(vectors, n, parallelism) if trees else parallelism) as pool:
+            found = dict(zip(tasks, pool.map(inheritable_thread_target(df.sparkSession)(fit_and_score), tasks)))
         points = tuple(
             _summarised(params, metric, [found[f, i][metric] for f in folds])
             for metric in metrics
@@ -222,6 +242,7 @@ def forest_cv(
     points of all folds are scored in one scan. Parameters other than ``numTrees``, ``maxDepth`` and
     ``minInfoGain`` get forests of their own, as does a single tree, which Spark grows differently.
     ``method="refit"``: every point of every fold is fitted by itself, on its own samples.
+    ``parallelism`` fits run at a time, fewer where their rows would not fit side by side.
     ``options`` are further parameters of Spark's regressor.
     """
     if method not in ("nested", "refit"):
@@ -230,13 +251,9 @@ def forest_cv(
     regressor = forest_regressor(spec, **options)
     if method == "refit":
         return cross_validate(df, spec, regressor, grid, fold, metrics, model, parallelism, invalid)
-    rows = prepared(df.select(*spec.columns, fold), spec, invalid)
-    features = feature_pipeline(spec, invalid).fit(rows)
-    with_features = features.transform(rows)
-    slots = tuple(feature_slots(with_features, spec))
     points = combinations_of(grid)
     scores: dict[tuple, list] = {}
-    with kept(with_features.select(FEATURES, spec.target, fold)) as vectors:
+    with _vectors(df, spec, fold, invalid, trees=True) as (features, slots, vectors):
         sizes = {r[0]: r["count"] for r in vectors.groupBy(fold).count().collect()}
         folds, n = sorted(sizes), sum(sizes.values())
         for others, axes in _nested_groups(regressor, points):
@@ -245,14 +262,15 @@ def forest_cv(
             }
             (params,) = param_grid(regressor, {name: (value,) for name, value in largest.items()})
 
-            def fit(held_out: int):
-                return regressor.fit(for_trees(vectors.where(F.col(fold) != held_out), n - sizes[held_out]), params)  # noqa: B023
+            def fit(held_out: int) -> dict[str, np.ndarray]:
+                # As arrays at once: the driver's JVM holds the forests that are being fitted, not those of all folds.
+                return forest_arrays(regressor.fit(for_trees(vectors.where(F.col(fold) != held_out), n), params))  # noqa: B023
 
-            with ThreadPool(parallelism) as pool:
-                fitted = pool.map(inheritable_thread_target(rows.sparkSession)(fit), folds)
-            found = nested_scores(
+            with ThreadPool(forests_at_once(vectors, n, parallelism)) as pool:
+                fitted = pool.map(inheritable_thread_target(df.sparkSession)(fit), folds, chunksize=1)
+            found = scores_of_arrays(
                 for_trees(vectors, n), dict(zip(folds, fitted, strict=True)), spec.target, fold,
-                axes["numTrees"], axes["maxDepth"], axes["minInfoGain"], parallelism,
+                axes["numTrees"], axes["maxDepth"], axes["minInfoGain"],
             )
             for row in found.orderBy("fold").collect():
                 point = others | {
